@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ["windows"]
+FAMILIES = ["windows", "scores", "scalars"]
 
 
 def _load():

@@ -10,8 +10,8 @@ def over_probability(mu: Column, line: float, dispersion: float = 0.0) -> Column
     """P(count > line) at a half-integer line.
 
     Poisson when ``dispersion`` is zero, else negative binomial with variance
-    ``mu + dispersion * mu**2``. The lower tail is summed by the ratio of
-    neighbouring probabilities, so no special function is needed.
+    ``mu + dispersion * mu**2``. The lower tail is a nested product of the
+    ratios of neighbouring probabilities: plain arithmetic inside codegen.
     """
     k = int(line // 1)
     mu = mu.cast("double")
@@ -19,26 +19,16 @@ def over_probability(mu: Column, line: float, dispersion: float = 0.0) -> Column
         size = 1.0 / dispersion
         fail = mu / (F.lit(size) + mu)
         first = F.pow(1 - fail, F.lit(size))
-
-        def ratio(i: Column) -> Column:
-            return (i - 1 + size) / i * fail
+        ratios = [F.lit((i - 1 + size) / i) * fail for i in range(1, k + 1)]
     else:
         first = F.exp(-mu)
-
-        def ratio(i: Column) -> Column:
-            return mu / i
-
+        ratios = [mu / i for i in range(1, k + 1)]
     if k < 0:
         return F.when(mu.isNotNull(), F.lit(1.0))
-    if k == 0:
-        return 1 - first
-    start = F.struct(first.alias("p"), first.alias("total"))
-
-    def step(acc: Column, i: Column) -> Column:
-        p = acc["p"] * ratio(i.cast("double"))
-        return F.struct(p.alias("p"), (acc["total"] + p).alias("total"))
-
-    return 1 - F.aggregate(F.sequence(F.lit(1), F.lit(k)), start, step)["total"]
+    tail = F.lit(1.0)
+    for ratio in reversed(ratios):
+        tail = 1 + ratio * tail
+    return 1 - first * tail
 
 
 def recency_weight(age: Column, half_life: float | None) -> Column:

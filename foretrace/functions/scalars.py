@@ -14,7 +14,7 @@ CALIBRATION_LABELS = ["<40%", "40-45%", "45-50%", "50-55%", "55-60%", ">60%"]
 EDGE_EDGES = [-1.0, -0.05, -0.02, 0.02, 0.05, 1.0]
 EDGE_LABELS = ["< -5%", "-5..-2%", "-2..+2%", "+2..+5%", "> +5%"]
 PREGAME_STATES = ["FUT", "PRE"]
-FINAL_STATES = ["OFF", "FINAL"]
+FINAL_STATES = ["OFF", "FINAL", "OVER"]
 RATIO_EPSILON = 1e-9
 MIN_FEATURE_COVERAGE = 0.70
 
