@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ["windows", "scores", "scalars"]
+FAMILIES = ["windows", "scores", "scalars", "tables"]
 
 
 def _load():

@@ -49,3 +49,19 @@ def favoured(prob_home: Column, price_home: Column) -> dict[str, Column]:
         "market_p": F.when(home, price_home).otherwise(1 - price_home),
         "edge": F.when(home, prob_home - price_home).otherwise(price_home - prob_home),
     }
+
+
+def mean_half_even(value: Column, digits: int) -> Column:
+    """Mean of values that have ``digits`` places, rounded half-even to as many.
+
+    An aggregate over whole units: sums of integers are exact in any order, so
+    a tie is a tie on every run and every partitioning.
+    """
+    unit = 10**digits
+    total = F.sum(F.round(value * unit).cast("bigint"))
+    n = F.count(value)
+    low = F.floor(total / n)
+    low = low - (low * n > total).cast("bigint")
+    twice = 2 * (total - low * n)
+    up = (twice > n) | ((twice == n) & (low % 2 != 0))
+    return F.when(n > 0, (low + up.cast("bigint")) / unit)

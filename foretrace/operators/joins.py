@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foretrace.functions import scalars as S
+from foretrace.functions.odds import fair_pair, mean_half_even
 from foretrace.operators.history import first_per_group
 from foretrace.sources.merge import newest, oldest
 
@@ -120,11 +121,9 @@ def last_meetings(slate: DataFrame, matches: DataFrame, day: Column, n: int = 3)
 
 def consensus(quotes: DataFrame) -> DataFrame:
     """Mean fair price and mean total across the books of a game."""
-    from foretrace.functions.odds import fair_pair
-
     home, away = fair_pair(F.col("home_ml"), F.col("away_ml"), digits=4)
     return quotes.where(F.col("home_ml").isNotNull() & F.col("away_ml").isNotNull()).groupBy("game_id").agg(
-        F.bround(F.avg(home), 4).alias("prob_home_win"), F.bround(F.avg(away), 4).alias("prob_away_win"),
+        mean_half_even(home, 4).alias("prob_home_win"), mean_half_even(away, 4).alias("prob_away_win"),
         F.bround(F.avg("total"), 2).alias("total"), F.count("*").alias("n_books"))
 
 
