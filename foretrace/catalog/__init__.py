@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ["windows", "scores", "scalars", "tables"]
+FAMILIES = ["windows", "scores", "scalars", "tables", "documents"]
 
 
 def _load():
