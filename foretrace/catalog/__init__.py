@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ["windows", "scores", "scalars", "tables", "documents"]
+FAMILIES = ["windows", "scores", "scalars", "tables", "documents", "ratings"]
 
 
 def _load():
