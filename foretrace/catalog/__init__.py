@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ["windows", "scores", "scalars", "tables", "documents", "ratings"]
+FAMILIES = ["windows", "scores", "scalars", "tables", "documents", "ratings", "models"]
 
 
 def _load():

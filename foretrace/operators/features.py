@@ -110,14 +110,17 @@ def strength_columns() -> list[str]:
     return [f"{s}_vs_{label}_l{STRENGTH_WINDOW}" for label in ("strong", "weak") for s in STRENGTH_STATS]
 
 
-def strength_features(facts: DataFrame, row_bound: int | None = None) -> DataFrame:
-    """Means against strong and weak opponents among the last twenty games."""
-    features = [
+def strength_feature_list() -> list[Feature]:
+    return [
         Rolling(f"{s}_vs_{label}_l{STRENGTH_WINDOW}", F.when(F.col("opp_is_strong") == flag, F.col(s)),
                 STRENGTH_WINDOW, STRENGTH_MIN)
         for flag, label in ((1, "strong"), (0, "weak")) for s in STRENGTH_STATS
     ]
-    return with_history(facts, BY_SEASON, IN_SEASON, features, row_bound)
+
+
+def strength_features(facts: DataFrame, row_bound: int | None = None) -> DataFrame:
+    """Means against strong and weak opponents among the last twenty games."""
+    return with_history(facts, BY_SEASON, IN_SEASON, strength_feature_list(), row_bound)
 
 
 def rest_days(sides: DataFrame, row_bound: int | None = None) -> DataFrame:

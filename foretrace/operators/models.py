@@ -1,10 +1,39 @@
-"""Model tables and fits."""
+"""Model tables, walk-forward folds and ``pyspark.ml`` fits.
+
+Fits run on Spark: the driver loops over folds, model kinds or parameter sets
+(all short lists) and sees metrics, never rows. A fold is chosen by a filter on
+the season, so its rows are not copied.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import json
+import random
+from collections.abc import Sequence
+from dataclasses import dataclass, field
+
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import GeneralizedLinearRegression, IsotonicRegression
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from foretrace.functions.counts import recency_weight
+from foretrace.operators.history import games_before, with_history
+from foretrace.session import pin
+
+# Identifiers and targets that are never features.
+NOT_FEATURES = ["game_id", "season", "game_date", "game_num", "game_type", "league", "home_id", "away_id", "target",
+                "home_win", "team_id", "player_id", "goalie_id"]
+FOREST = {"numTrees": 200, "maxDepth": 6, "minInstancesPerNode": 20, "featureSubsetStrategy": "sqrt", "seed": 42}
+BOOST_DEPTH_FIRST = {"maxIter": 60, "maxDepth": 3, "stepSize": 0.05, "subsamplingRate": 0.8, "seed": 42}
+BOOST_SHALLOW = {"maxIter": 80, "maxDepth": 2, "stepSize": 0.05, "subsamplingRate": 0.8, "seed": 42}
+ISOTONIC_MIN, PLATT_MIN, CALIBRATION_SHARE = 400, 50, 0.15
+MIN_TRAIN, MIN_TEST = 100, 50
+POISSON_ALPHA = 0.1
+
 
 def season_ages(rows: DataFrame) -> DataFrame:
     """Age of each season counted from the newest, as (season, age).
@@ -13,3 +42,359 @@ def season_ages(rows: DataFrame) -> DataFrame:
     """
     return rows.select("season").distinct().select(
         "season", (F.row_number().over(Window.orderBy(F.desc("season"))) - 1).cast("bigint").alias("age"))
+
+
+def feature_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
+    """Numeric columns that are neither identifiers nor targets."""
+    numeric = {"double", "float", "int", "bigint", "smallint"}
+    skip = {*NOT_FEATURES, *exclude}
+    return [c for c, t in df.dtypes if t in numeric and c not in skip]
+
+
+# ---- folds and chunks -------------------------------------------------------
+
+def walk_forward(rows: DataFrame) -> DataFrame:
+    """Every row with each fold it takes part in and its role there.
+
+    Fold k tests on season k and trains on all earlier ones. The fold table has
+    one row per season pair; rows join it on the season, so the expansion is
+    the number of folds and no more.
+    """
+    seasons = rows.select("season").distinct()
+    line = Window.orderBy("season").rowsBetween(Window.unboundedPreceding, 0)
+    upto = F.collect_list("season").over(line)
+    table = seasons.select(F.col("season").alias("test_season"), upto.alias("used")).where(F.size("used") > 1)
+    table = table.select(
+        (F.size("used") - 1).cast("bigint").alias("fold"), "test_season", F.explode("used").alias("season"))
+    role = F.when(F.col("season") == F.col("test_season"), "test").otherwise("train")
+    return rows.join(table.withColumn("role", role), "season")
+
+
+def folds_of(rows: DataFrame) -> list[tuple[list, object]]:
+    """(training seasons, test season) pairs; only season labels reach the driver."""
+    seasons = sorted(r[0] for r in rows.select("season").distinct().collect())
+    return [(seasons[:i], seasons[i]) for i in range(1, len(seasons))]
+
+
+def chronological_rank(rows: DataFrame, order: Sequence[str], row_bound: int | None = None) -> DataFrame:
+    """Add ``position`` (0-based) and ``of`` over all rows.
+
+    A rank over everything is one history; beyond the split size it is ranked
+    chunk by chunk, never in one task.
+    """
+    total = rows.agg(F.count("*").alias("of"))
+    keyed = rows.withColumn("_all", F.lit(0))
+    ranked = with_history(keyed, ["_all"], order, [games_before("position")], row_bound)
+    return ranked.drop("_all").withColumn("_one", F.lit(0)).join(
+        F.broadcast(total.withColumn("_one", F.lit(0))), "_one").drop("_one")
+
+
+def oof_chunks(rows: DataFrame, order: Sequence[str], chunks: int = 3, row_bound: int | None = None) -> DataFrame:
+    """Contiguous out-of-fold chunks; the remainder falls to the last one."""
+    ranked = chronological_rank(rows, order, row_bound)
+    size = F.greatest(F.floor(F.col("of") / chunks), F.lit(1))
+    return ranked.withColumn("chunk", F.least(F.floor(F.col("position") / size), F.lit(chunks - 1)).cast("bigint"))
+
+
+def ensemble_mean(parts: Sequence[DataFrame], key: str = "game_id", value: str = "prob") -> DataFrame:
+    """Mean probability over several models' predictions of the same rows."""
+    union = parts[0].select(key, value)
+    for part in parts[1:]:
+        union = union.unionByName(part.select(key, value))
+    return union.groupBy(key).agg(F.avg(value).alias(value), F.count("*").alias("n_models"))
+
+
+def impute_means(rows: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Column means of the training rows, one row per group."""
+    return rows.groupBy(*by).agg(*[F.avg(c).alias(c) for c in columns])
+
+
+# ---- classifiers ------------------------------------------------------------
+
+@dataclass
+class Fit:
+    """A fitted classifier with its columns and optional calibration."""
+
+    model: PipelineModel
+    columns: list[str]
+    kind: str
+    calibration: object | None = None
+    method: str = "none"
+    metadata: dict = field(default_factory=dict)
+
+    def score(self, rows: DataFrame) -> DataFrame:
+        """Add ``prob``; rows keep their own columns."""
+        ready = with_columns_present(rows, self.columns)
+        out = self.model.transform(ready).withColumn("_raw", vector_to_array("probability")[1])
+        if self.method == "isotonic":
+            out = self.calibration.transform(out).withColumn("prob", F.col("_iso"))
+        elif self.method == "platt":
+            out = self.calibration.transform(out.drop("probability", "rawPrediction", "prediction"))
+            out = out.withColumn("prob", vector_to_array("probability")[1])
+        else:
+            out = out.withColumn("prob", F.col("_raw"))
+        return out.select(*rows.columns, "prob")
+
+
+def with_columns_present(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Features as doubles; an absent one becomes a null column."""
+    have = set(rows.columns)
+    extra = [F.lit(None).cast("double").alias(c) for c in columns if c not in have]
+    own = [F.col(c).cast("double").alias(c) if c in set(columns) else F.col(c) for c in rows.columns]
+    return rows.select(*own, *extra)
+
+
+def usable_columns(rows: DataFrame, columns: Sequence[str]) -> list[str]:
+    """Columns with at least one value: the imputer cannot mean an empty one."""
+    filled = rows.agg(*[F.count(c).alias(c) for c in columns]).first()
+    return [c for c in columns if filled[c] > 0]
+
+
+def classifier(kind: str, n_rows: int, label: str = "target", **params):
+    if kind == "logistic":
+        # An L2 penalty of C = 1 on a summed loss is 1 / n on Spark's mean loss.
+        return LogisticRegression(labelCol=label, regParam=1.0 / max(n_rows, 1), maxIter=200, **params)
+    if kind == "forest":
+        return RandomForestClassifier(labelCol=label, **{**FOREST, **params})
+    if kind == "boost":
+        return GBTClassifier(labelCol=label, **{**BOOST_DEPTH_FIRST, **params})
+    if kind == "boost_shallow":
+        return GBTClassifier(labelCol=label, **{**BOOST_SHALLOW, **params})
+    raise ValueError(f"unknown model kind {kind}")
+
+
+def fit_classifier(train: DataFrame, columns: Sequence[str], kind: str = "logistic", label: str = "target", **params) -> Fit:
+    """Mean-impute, scale and fit; all-null columns are left out."""
+    columns = usable_columns(train, columns)
+    ready = with_columns_present(train.where(F.col(label).isNotNull()), columns)
+    filled = [f"_f_{c}" for c in columns]
+    stages = [
+        Imputer(strategy="mean", inputCols=list(columns), outputCols=filled),
+        VectorAssembler(inputCols=filled, outputCol="_vector"),
+        StandardScaler(withMean=True, withStd=True, inputCol="_vector", outputCol="features"),
+        classifier(kind, ready.count(), label, **params),
+    ]
+    return Fit(Pipeline(stages=stages).fit(ready), list(columns), kind)
+
+
+def calibrate(fit: Fit, held_out: DataFrame, label: str = "target", method: str = "auto") -> Fit:
+    """Isotonic with 400 rows or more, Platt with 50, else none."""
+    n = held_out.where(F.col(label).isNotNull()).count()
+    if method == "auto":
+        method = "isotonic" if n >= ISOTONIC_MIN else "platt" if n >= PLATT_MIN else "none"
+    elif (method == "isotonic" and n < ISOTONIC_MIN) or (method == "platt" and n < PLATT_MIN):
+        method = "none"
+    if method == "none":
+        return fit
+    raw = Fit(fit.model, fit.columns, fit.kind).score(held_out.where(F.col(label).isNotNull())).withColumnRenamed("prob", "_raw")
+    if method == "isotonic":
+        stage = IsotonicRegression(labelCol=label, featuresCol="_raw", predictionCol="_iso").fit(raw)
+    else:
+        stage = Pipeline(stages=[
+            VectorAssembler(inputCols=["_raw"], outputCol="_raw_vector"),
+            LogisticRegression(labelCol=label, featuresCol="_raw_vector", regParam=1.0 / n, maxIter=200),
+        ]).fit(raw)
+    return Fit(fit.model, fit.columns, fit.kind, stage, method)
+
+
+def split_newest(rows: DataFrame, order: Sequence[str], share: float = CALIBRATION_SHARE,
+                 row_bound: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(older part, newest ``share``) in chronological order."""
+    ranked = chronological_rank(rows, order, row_bound)
+    late = F.col("position") >= F.floor(F.col("of") * (1 - share))
+    keep = rows.columns
+    return ranked.where(~late).select(*keep), ranked.where(late).select(*keep)
+
+
+def brier(scored: DataFrame, label: str = "target") -> float:
+    return scored.agg(F.avg(F.pow(F.col("prob") - F.col(label), F.lit(2)))).first()[0]
+
+
+def run_walk_forward(matrix: DataFrame, columns: Sequence[str], kind: str = "logistic", order: Sequence[str] = ("season", "game_num", "game_id"),
+                     calibrated: bool = False, label: str = "target", **params) -> DataFrame:
+    """Out-of-sample probabilities of every fold: (game_id, season, target, prob)."""
+    parts = []
+    for train_seasons, test_season in folds_of(matrix):
+        train = matrix.where(F.col("season").isin(train_seasons) & F.col(label).isNotNull())
+        test = matrix.where(F.col("season") == test_season)
+        if calibrated:
+            older, newest = split_newest(train, order)
+            fit = calibrate(fit_classifier(older, columns, kind, label, **params), newest, label)
+        else:
+            fit = fit_classifier(train, columns, kind, label, **params)
+        parts.append(fit.score(test).select("game_id", "season", label, "prob"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def ensemble_walk_forward(matrix: DataFrame, columns: Sequence[str], kinds: Sequence[str], label: str = "target") -> DataFrame:
+    """Mean of several models' out-of-sample probabilities."""
+    runs = [run_walk_forward(matrix, columns, k, label=label) for k in kinds]
+    mean = ensemble_mean(runs).drop("n_models")
+    return runs[0].drop("prob").join(mean, "game_id")
+
+
+def stack(train: DataFrame, test: DataFrame, columns: Sequence[str], kinds: Sequence[str], order: Sequence[str],
+          chunks: int = 3, label: str = "target") -> DataFrame:
+    """Stacked probabilities of ``test``.
+
+    Base models predict each contiguous chunk from the other chunks; a logistic
+    regression on those predictions combines base models refitted on all rows.
+    """
+    placed = pin(oof_chunks(train.where(F.col(label).isNotNull()), order, chunks))
+    rows = []
+    for chunk in range(chunks):
+        rest, held = placed.where(F.col("chunk") != chunk), placed.where(F.col("chunk") == chunk)
+        if rest.count() < MIN_TRAIN:
+            continue
+        scored = held.select("game_id", label)
+        for kind in kinds:
+            part = fit_classifier(rest, columns, kind, label).score(held).select("game_id", F.col("prob").alias(f"p_{kind}"))
+            scored = scored.join(part, "game_id")
+        rows.append(scored)
+    oof = rows[0]
+    for part in rows[1:]:
+        oof = oof.unionByName(part)
+    names = [f"p_{k}" for k in kinds]
+    meta = fit_classifier(pin(oof), names, "logistic", label)
+    final = test
+    for kind in kinds:
+        part = fit_classifier(train, columns, kind, label).score(test).select("game_id", F.col("prob").alias(f"p_{kind}"))
+        final = final.join(part, "game_id")
+    return meta.score(final).select(*test.columns, "prob")
+
+
+def random_search(matrix: DataFrame, columns: Sequence[str], kind: str, space: dict[str, Sequence], trials: int,
+                  label: str = "target", seed: int = 42) -> tuple[dict, float]:
+    """Lowest-Brier parameters on the second newest season, the newest unseen."""
+    seasons = sorted(r[0] for r in matrix.select("season").distinct().collect())
+    train = matrix.where(F.col("season").isin(seasons[:-2]))
+    held = matrix.where((F.col("season") == seasons[-2]) & F.col(label).isNotNull())
+    draw = random.Random(seed)
+    best: tuple[dict, float] = ({}, float("inf"))
+    for _ in range(trials):
+        params = {name: draw.choice(list(values)) for name, values in space.items()}
+        score = brier(fit_classifier(train, columns, kind, label, **params).score(held), label)
+        if score < best[1]:
+            best = (params, score)
+    return best
+
+
+def importances(fit: Fit) -> list[tuple[str, float]]:
+    """Features by importance or by absolute weight; a short driver-side list."""
+    last = fit.model.stages[-1]
+    values = last.featureImportances if hasattr(last, "featureImportances") else last.coefficients
+    return sorted(zip(fit.columns, (float(x) for x in values.toArray())), key=lambda t: -abs(t[1]))
+
+
+def select_features(train: DataFrame, test: DataFrame, columns: Sequence[str], sizes: Sequence[int],
+                    kind: str = "forest", label: str = "target", **params) -> list[tuple[int, float]]:
+    """Brier of the top-n features, ranked inside the training seasons only."""
+    full = fit_classifier(train, columns, kind, label, **params)
+    ranked = [c for c, _ in importances(full)]
+    held = test.where(F.col(label).isNotNull())
+    out = []
+    for size in sorted({min(s, len(ranked)) for s in sizes}):
+        fit = full if size == len(ranked) else fit_classifier(train, ranked[:size], kind, label, **params)
+        out.append((size, brier(fit.score(held), label)))
+    return out
+
+
+def permutation_importance(fit: Fit, rows: DataFrame, columns: Sequence[str], label: str = "target", seed: int = 7) -> DataFrame:
+    """Rise in Brier when one column is shuffled between rows.
+
+    A shuffle is a join of the rows with the column's values, both numbered by
+    a seeded random order; numbering goes through the split-safe rank.
+    """
+    held = pin(rows.where(F.col(label).isNotNull()))
+    base = brier(fit.score(held), label)
+    out = []
+    for c in columns:
+        order = ["_h", "game_id"]
+        slots = chronological_rank(held.withColumn("_h", F.xxhash64("game_id", F.lit(seed))), order).drop("_h", "of")
+        values = chronological_rank(
+            held.select("game_id", F.col(c).alias("_v")).withColumn("_h", F.xxhash64("game_id", F.lit(seed + 1))), order)
+        mixed = slots.join(values.select("position", "_v"), "position").drop(c, "position").withColumnRenamed("_v", c)
+        out.append((c, brier(fit.score(mixed), label) - base))
+    return rows.sparkSession.createDataFrame(out, "feature string, brier_rise double")
+
+
+# ---- counts -----------------------------------------------------------------
+
+def fit_counts(train: DataFrame, columns: Sequence[str], label: str, half_life: float | None = 0.5,
+               alpha: float = POISSON_ALPHA) -> tuple[Fit, float]:
+    """Poisson regression with recency weights, and its drift factor.
+
+    The factor compares actual and predicted means on the newest season; under
+    a log link scaling the prediction equals shifting the intercept.
+    """
+    columns = usable_columns(train, columns)
+    ages = season_ages(train)
+    ready = with_columns_present(train.where(F.col(label).isNotNull()), columns).join(F.broadcast(ages), "season")
+    ready = ready.withColumn("_weight", recency_weight(F.col("age"), half_life)).withColumn("_label", F.col(label).cast("double"))
+    filled = [f"_f_{c}" for c in columns]
+    model = Pipeline(stages=[
+        Imputer(strategy="mean", inputCols=list(columns), outputCols=filled),
+        VectorAssembler(inputCols=filled, outputCol="_vector"),
+        StandardScaler(withMean=True, withStd=True, inputCol="_vector", outputCol="features"),
+        GeneralizedLinearRegression(family="poisson", link="log", labelCol="_label", weightCol="_weight", regParam=alpha,
+                                    maxIter=50, predictionCol="pred"),
+    ]).fit(ready)
+    newest = model.transform(ready.where("age = 0")).agg(F.avg("_label").alias("y"), F.avg("pred").alias("p")).first()
+    factor = newest["y"] / newest["p"] if newest["p"] and newest["p"] > 0 else 1.0
+    return Fit(model, list(columns), "poisson", metadata={"factor": factor}), factor
+
+
+def predict_counts(fit: Fit, rows: DataFrame, extra_factor: float = 1.0) -> DataFrame:
+    """Add ``pred``, scaled by the drift factor and an optional in-season one."""
+    ready = with_columns_present(rows, fit.columns)
+    scale = fit.metadata.get("factor", 1.0) * extra_factor
+    return fit.model.transform(ready).select(*rows.columns, (F.col("pred") * F.lit(float(scale))).alias("pred"))
+
+
+def counts_walk_forward(rows: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
+    """Out-of-sample count forecasts; folds too small to trust are skipped."""
+    parts = []
+    for train_seasons, test_season in folds_of(rows):
+        train, test = rows.where(F.col("season").isin(train_seasons)), rows.where(F.col("season") == test_season)
+        if train.count() < MIN_TRAIN or test.count() < MIN_TEST:
+            continue
+        fit, _ = fit_counts(train, columns, label)
+        parts.append(predict_counts(fit, test).select("game_id", "season", F.col(label).cast("double").alias("y"), "pred"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+# ---- persistence ------------------------------------------------------------
+
+def save_fit(fit: Fit, path: str) -> None:
+    """Write the model, its calibration and its column list."""
+    fit.model.write().overwrite().save(f"{path}/model")
+    if fit.calibration is not None:
+        fit.calibration.write().overwrite().save(f"{path}/calibration")
+    spark = SparkSession.active()
+    text = json.dumps({"columns": fit.columns, "kind": fit.kind, "method": fit.method, **fit.metadata})
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
+
+
+def load_fit(spark, path: str) -> Fit:
+    from pyspark.ml.regression import IsotonicRegressionModel
+
+    meta = json.loads(spark.read.text(f"{path}/metadata").first()[0])
+    stage = None
+    if meta["method"] == "isotonic":
+        stage = IsotonicRegressionModel.load(f"{path}/calibration")
+    elif meta["method"] == "platt":
+        stage = PipelineModel.load(f"{path}/calibration")
+    known = {"columns", "kind", "method"}
+    return Fit(PipelineModel.load(f"{path}/model"), meta["columns"], meta["kind"], stage, meta["method"],
+               {k: v for k, v in meta.items() if k not in known})
+
+
+def log_metrics(metrics: DataFrame, path: str, run: str) -> None:
+    """Append fold metrics to a table of runs."""
+    metrics.withColumn("run", F.lit(run)).write.mode("append").parquet(path)
