@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ["windows", "scores", "scalars", "tables", "documents", "ratings", "models"]
+FAMILIES = ["windows", "scores", "scalars", "tables", "documents", "ratings", "models", "streams"]
 
 
 def _load():

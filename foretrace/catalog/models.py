@@ -14,6 +14,7 @@ from foretrace.operators import forecasts as C
 from foretrace.operators import models as M
 from foretrace.operators.history import with_history
 from foretrace.plans import matrix as A
+from foretrace.session import pin
 from foretrace.sources.views import Views
 
 
@@ -148,7 +149,6 @@ def model_rows(v: Views):
     """A small matrix for the fits: form, rest and ratings."""
     from foretrace.operators import joins as J
     from foretrace.operators import ratings as R
-    from foretrace.session import pin
 
     features = Y.rolling(["won", "xgf_pct", "goals_for"], [5, 10])
     form = with_history(team_facts(v), Y.BY_SEASON, Y.IN_SEASON, features, v.match_bound)
@@ -183,5 +183,5 @@ def poisson_walk_forward(v: Views):
     """Out-of-sample shot-count forecasts against climatology, per line."""
     rows = A.sog_training(v.shots, v.matches, team_context(v), None, v.shot_bound)
     columns = [*A.SOG_OWN, *[f"opp_{c}" for c in A.OPP_DEFENCE]]
-    out = M.counts_walk_forward(rows.withColumn("game_id", F.col("game_id")), columns, "sog")
+    out = M.counts_walk_forward(pin(rows.select("game_id", "season", "sog", *columns)), columns, "sog")
     return rounded(C.count_scoring(out, [1.5, 2.5, 3.5]))
