@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ["windows", "scores", "scalars", "tables", "documents", "ratings", "models", "streams"]
+FAMILIES = ["windows", "scores", "scalars", "tables", "documents", "ratings", "models", "plans", "streams"]
 
 
 def _load():

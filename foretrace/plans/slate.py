@@ -6,8 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foretrace.functions import scalars as S
+from foretrace.operators import facts as X
+from foretrace.operators import features as Y
+from foretrace.operators import ratings as R
+from foretrace.operators.history import snapshot_next, with_history
 from foretrace.operators.features import DEFAULT_REST, PAIR_WINDOW
-from foretrace.operators.joins import attach_sides, last_event_before, last_meetings
+from foretrace.operators.joins import attach_prices, attach_sides, last_event_before, last_meetings
 
 
 def mark_started(preds: DataFrame, schedule: DataFrame) -> DataFrame:
@@ -66,3 +70,63 @@ def slate_features(slate: DataFrame, snapshots: dict[str, tuple[DataFrame, list[
         if prefix:
             out = attach_sides(out, frame, names, prefix=prefix, keys=())
     return out
+
+
+def team_snapshots(shots: DataFrame, matches: DataFrame, season: int, replayed: DataFrame, row_bound: int | None = None,
+                   shot_bound: int | None = None) -> dict[str, tuple[DataFrame, list[str]]]:
+    """Next-event features of every family, from the functions that train.
+
+    Families that restart each season read that season only; goalie form and
+    ratings read the whole history. ``shots`` and ``matches`` hold what was
+    played before the slate; ``replayed`` is their pinned rating pass.
+    """
+    now = F.col("season") == season
+    facts = X.team_games(shots.where(now), matches.where(now).select("game_id", "home_win"))
+    strong = Y.opponent_strength(facts, R.pregame(replayed))
+
+    def team_family(history: DataFrame, features) -> tuple[DataFrame, list[str]]:
+        names = [f.name for f in features]
+        build = lambda h: with_history(h, ["team_id"], Y.IN_SEASON, features, row_bound)
+        return snapshot_next(build, history, None, "team_id", Y.IN_SEASON, names), names
+
+    team = team_family(strong, [*Y.team_feature_list(), *Y.strength_feature_list()])
+    special = team_family(X.special_teams(shots.where(now)), Y.rolling(Y.SPECIAL_STATS, Y.SPECIAL_WINDOWS))
+    goalies = X.goalie_games(shots).where("is_starter")
+    form = Y.rolling(Y.GOALIE_FORM_STATS, Y.GOALIE_FORM_WINDOWS)
+    names = [f.name for f in form]
+    goalie = snapshot_next(
+        lambda h: with_history(h, ["goalie_id"], Y.CAREER, form, shot_bound), goalies, None, "goalie_id", Y.CAREER, names)
+    starter = Y.likely_starter(goalies).join(goalie, "goalie_id").select("team_id", *names)
+    return {"": team, "st_": special, "g_": (starter, names)}
+
+
+def slate_matrix(slate: DataFrame, shots: DataFrame, matches: DataFrame, sides: DataFrame, season: int, day: Column,
+                 opener: Column, params: R.EloParams = R.EloParams(), row_bound: int | None = None,
+                 shot_bound: int | None = None, groups: DataFrame | None = None) -> DataFrame:
+    """The feature matrix of scheduled games, column for column as in training."""
+    from foretrace.session import pin
+
+    past = F.col("game_date") < day
+    played, seen, legs = matches.where(past), shots.where(past), sides.where(past)
+    replayed = pin(R.elo_pass(played, params))
+    snapshots = team_snapshots(seen, played, season, replayed, row_bound, shot_bound)
+    rows = slate_features(slate, snapshots)
+    rows = slate_context(rows, legs, played, day, opener)
+    if groups is not None:
+        rows = rows.join(Y.group_flags(slate, groups).select("game_id", "same_division", "same_conference"), "game_id", "left")
+    entering = R.entering(R.finals(replayed), F.lit(season), params)
+    rated = attach_sides(rows, entering, ["elo"], keys=())
+    return rated
+
+
+def score_slate(rows: DataFrame, fit, schedule: DataFrame, prices: DataFrame | None, day: Column, model_name: str,
+                predicted_at: Column) -> DataFrame:
+    """Guard, score, price and stamp a slate; the rows of the prediction log."""
+    present = rows.columns
+    covered = rows.withColumn("feature_coverage", S.coverage(fit.columns, present))
+    kept = publish_guard(covered).where("usable")
+    scored = fit.score(kept).withColumnRenamed("prob", "prob_home_win").withColumn("game_date", day)
+    if prices is not None:
+        scored = attach_prices(scored, prices)
+    out = mark_started(scored, schedule).where(~F.col("already_started"))
+    return out.withColumn("model_name", F.lit(model_name)).withColumn("predicted_at", predicted_at)
