@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from foretrace.catalog.fixtures import with_views
 from foretrace.sources.views import Views
@@ -33,8 +32,8 @@ def query(name: str, sql: str | None = None):
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round every double so that both engines agree on the last digit."""
-    return df.select(*[
-        (F.round(F.col(c), digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes
+    return df.selectExpr(*[
+        f"round(`{c}`, {digits}) + 0.0D AS `{c}`" if t == "double" else f"`{c}`" for c, t in df.dtypes
     ])
 
 

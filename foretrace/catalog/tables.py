@@ -84,7 +84,7 @@ def regulation_win(v: Views):
 
 def short_form(v: Views):
     """A small team feature set for the join queries."""
-    features = [Rolling("won_l5", F.col("won"), 5), games_before()]
+    features = [Rolling("won_l5", "won", 5), games_before()]
     return with_history(v.sides, Y.BY_SEASON, Y.IN_SEASON, features, v.match_bound)
 
 

@@ -224,7 +224,7 @@ FROM trained t WHERE rn = (SELECT max(rn) FROM rows_of x WHERE x.team_id = t.tea
 def snapshot_parity(v: Views):
     """Snapshot before the last game against that game's training row: no difference."""
     facts = team_facts(v).select("game_id", "team_id", "season", "game_num", "won", "goals_for")
-    features = [Rolling("won_l5", F.col("won"), 5), Rolling("goals_for_l10", F.col("goals_for"), 10), games_before()]
+    features = [Rolling("won_l5", "won", 5), Rolling("goals_for_l10", "goals_for", 10), games_before()]
     names = [f.name for f in features]
     trained = with_history(facts, Y.BY_SEASON, Y.IN_SEASON, features, v.match_bound)
     last = first_per_group(trained, Y.BY_SEASON, [F.desc(c) for c in Y.IN_SEASON])

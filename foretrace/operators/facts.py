@@ -52,14 +52,11 @@ def against(totals: DataFrame, stats: Sequence[str] = FOR_STATS) -> DataFrame:
     the game, which reuses the partitioning of the aggregate below it. A self
     join would shuffle both sides again.
     """
-    w = Window.partitionBy("game_id")
-
-    def of(team: str, stat: str) -> Column:
-        return F.max(F.when(F.col("team_id") == F.col(team), F.col(stat))).over(w)
+    def of(team: str, stat: str) -> str:
+        return f"max(CASE WHEN team_id = {team} THEN {stat} END) OVER (PARTITION BY game_id)"
 
-    at_home = F.col("team_id") == F.col("home_id")
-    return totals.select("*", *[
-        F.when(at_home, of("away_id", s)).otherwise(of("home_id", s)).alias(s.replace("_for", "_against"))
+    return totals.selectExpr("*", *[
+        f"CASE WHEN team_id = home_id THEN {of('away_id', s)} ELSE {of('home_id', s)} END AS {s.replace('_for', '_against')}"
         for s in stats
     ])
 

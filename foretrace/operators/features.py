@@ -49,18 +49,18 @@ def rolling_columns(stats: Sequence[str], windows: Sequence[int]) -> list[str]:
 
 
 def rolling(stats: Sequence[str], windows: Sequence[int]) -> list[Feature]:
-    return [Rolling(f"{s}_l{w}", F.col(s), w) for s in stats for w in windows]
+    return [Rolling(f"{s}_l{w}", s, w) for s in stats for w in windows]
 
 
 def decayed(stats: Sequence[str], half_life: int = HALF_LIFE) -> list[Feature]:
-    return [Decayed(f"{s}_ewm{half_life}", F.col(s), half_life) for s in stats]
+    return [Decayed(f"{s}_ewm{half_life}", s, half_life) for s in stats]
 
 
 def venue_split(stats: Sequence[str], window: int = VENUE_WINDOW) -> list[Feature]:
     """Means over the games at one venue among the last ``window`` games."""
     return [
-        Rolling(f"{s}_{label}_l{window}", F.when(F.col("is_home") == at_home, F.col(s)), window)
-        for at_home, label in ((True, "home"), (False, "away")) for s in stats
+        Rolling(f"{s}_{label}_l{window}", f"CASE WHEN is_home = {at_home} THEN {s} END", window)
+        for at_home, label in (("true", "home"), ("false", "away")) for s in stats
     ]
 
 
@@ -112,7 +112,7 @@ def strength_columns() -> list[str]:
 
 def strength_feature_list() -> list[Feature]:
     return [
-        Rolling(f"{s}_vs_{label}_l{STRENGTH_WINDOW}", F.when(F.col("opp_is_strong") == flag, F.col(s)),
+        Rolling(f"{s}_vs_{label}_l{STRENGTH_WINDOW}", f"CASE WHEN opp_is_strong = {flag} THEN {s} END",
                 STRENGTH_WINDOW, STRENGTH_MIN)
         for flag, label in ((1, "strong"), (0, "weak")) for s in STRENGTH_STATS
     ]
@@ -126,7 +126,7 @@ def strength_features(facts: DataFrame, row_bound: int | None = None) -> DataFra
 def rest_days(sides: DataFrame, row_bound: int | None = None) -> DataFrame:
     """Days since the team's previous game and the back-to-back flag."""
     out = with_history(
-        sides, ["team_id"], ["game_date", "game_id"], [Previous("prev_date", F.col("game_date"))], row_bound)
+        sides, ["team_id"], ["game_date", "game_id"], [Previous("prev_date", "game_date")], row_bound)
     days = F.datediff("game_date", "prev_date").cast("bigint")
     return out.select(
         *sides.columns, days.alias("days_rest"), F.coalesce(days == 1, F.lit(False)).cast("bigint").alias("back_to_back"))
@@ -135,7 +135,7 @@ def rest_days(sides: DataFrame, row_bound: int | None = None) -> DataFrame:
 def idle_days(appearances: DataFrame, keys: Sequence[str], row_bound: int | None = None) -> DataFrame:
     """Days since the last appearance, at most thirty."""
     out = with_history(
-        appearances, keys, ["game_date", "game_id"], [Previous("_prev", F.col("game_date"))], row_bound)
+        appearances, keys, ["game_date", "game_id"], [Previous("_prev", "game_date")], row_bound)
     gap = F.datediff("game_date", "_prev").cast("bigint")
     return out.select(*appearances.columns,
                       F.when(gap.isNotNull(), F.least(gap, F.lit(MAX_IDLE_DAYS))).alias("days_since_last"))
@@ -144,7 +144,7 @@ def idle_days(appearances: DataFrame, keys: Sequence[str], row_bound: int | None
 def pair_form(matches: DataFrame, row_bound: int | None = None) -> DataFrame:
     """Home win rate over the pair's last three meetings, whoever was at home."""
     keyed = matches.withColumn("pair", S.pair_key(F.col("home_id"), F.col("away_id")))
-    feature = Rolling(f"h2h_home_win_rate_l{PAIR_WINDOW}", F.col("home_win"), PAIR_WINDOW)
+    feature = Rolling(f"h2h_home_win_rate_l{PAIR_WINDOW}", "home_win", PAIR_WINDOW)
     return with_history(keyed, ["pair"], ["game_date", "game_id"], [feature], row_bound).drop("pair")
 
 
@@ -203,7 +203,7 @@ def mode_of(ids) -> "F.Column":
 
 def starter_rule(starts: DataFrame, window: int = STARTER_WINDOW, row_bound: int | None = None) -> DataFrame:
     """The probable-starter rule at every start, scored against who did start."""
-    out = with_history(starts, ["team_id"], CAREER, [Recent("_ids", F.col("goalie_id"), window)], row_bound)
+    out = with_history(starts, ["team_id"], CAREER, [Recent("_ids", "goalie_id", window)], row_bound)
     guess = mode_of(F.col("_ids"))
     return out.select(*starts.columns, F.when(F.size("_ids") > 0, guess["id"]).alias("guess"))
 

@@ -45,7 +45,7 @@ class Rolling:
     """
 
     name: str
-    source: Column
+    source: str
     window: int
     min_count: int = 1
 
@@ -55,7 +55,7 @@ class Decayed:
     """Exponentially weighted mean of all previous rows, by half-life in rows."""
 
     name: str
-    source: Column
+    source: str
     half_life: float
 
 
@@ -64,7 +64,7 @@ class Total:
     """Sum of ``source`` over all previous rows, zero for the first row."""
 
     name: str
-    source: Column
+    source: str
 
 
 @dataclass(frozen=True)
@@ -72,7 +72,7 @@ class Previous:
     """Value of ``source`` in the previous row."""
 
     name: str
-    source: Column
+    source: str
 
 
 @dataclass(frozen=True)
@@ -80,16 +80,18 @@ class Recent:
     """Array of the non-null values of ``source`` in the previous ``window`` rows."""
 
     name: str
-    source: Column
+    source: str
     window: int
 
 
+# ``source`` is SQL text: a wide family is one ``selectExpr`` call on the JVM
+# rather than a dozen round trips per expression.
 Feature = Rolling | Decayed | Total | Previous | Recent
 
 
 def games_before(name: str = "games_played") -> Total:
     """How many events the entity had before this one."""
-    return Total(name, F.lit(1).cast("bigint"))
+    return Total(name, "CAST(1 AS BIGINT)")
 
 
 def with_history(
@@ -128,45 +130,45 @@ def with_history(
     return calm.unionByName(split)
 
 
-def _weighted(partition, order, features, halo: bool) -> list[Column]:
+def _over(partition, order, frame: str = "") -> str:
+    return f"OVER (PARTITION BY {', '.join(partition)} ORDER BY {', '.join(order)} {frame})"
+
+
+BEFORE = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+
+
+def _weighted(partition, order, features, halo: bool) -> list[str]:
     """Window expressions of every feature that needs no decay."""
-    w = Window.partitionBy(*partition).orderBy(*order)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
     out = []
     for f in features:
         if isinstance(f, Rolling):
-            frame = w.rowsBetween(-f.window, -1)
-            value = F.avg(f.source).over(frame)
+            over = _over(partition, order, f"ROWS BETWEEN {f.window} PRECEDING AND 1 PRECEDING")
+            value = f"avg({f.source}) {over}"
             if f.min_count > 1:
-                value = F.when(F.count(f.source).over(frame) >= f.min_count, value)
+                value = f"CASE WHEN count({f.source}) {over} >= {f.min_count} THEN {value} END"
         elif isinstance(f, Total):
-            own = F.when(F.col(_HALO), F.lit(None)).otherwise(f.source) if halo else f.source
-            value = F.coalesce(F.sum(own).over(before), F.lit(0))
+            own = f"CASE WHEN NOT {_HALO} THEN {f.source} END" if halo else f.source
+            value = f"coalesce(sum({own}) {_over(partition, order, BEFORE)}, 0)"
         elif isinstance(f, Previous):
-            value = F.lag(f.source, 1).over(w)
+            value = f"lag({f.source}, 1) {_over(partition, order)}"
         elif isinstance(f, Recent):
-            value = F.collect_list(f.source).over(w.rowsBetween(-f.window, -1))
+            value = f"collect_list({f.source}) {_over(partition, order, f'ROWS BETWEEN {f.window} PRECEDING AND 1 PRECEDING')}"
         else:
             continue
-        out.append(value.alias(f.name))
+        out.append(f"{value} AS {f.name}")
     return out
 
 
 def _in_windows(df, keys, order, features) -> DataFrame:
     decayed = [f for f in features if isinstance(f, Decayed)]
-    out = df
-    if decayed:
-        base = out.columns
-        out = _decay(out, keys, order, decayed)
-        w = Window.partitionBy(*keys).orderBy(*order)
-        before = w.rowsBetween(Window.unboundedPreceding, -1)
-        out = out.select(
-            *base,
-            *[F.last(f"_e_{f.name}", ignorenulls=True).over(before).alias(f.name) for f in decayed],
-            *_weighted(keys, order, features, False),
-        )
-        return out.select(*base, *[f.name for f in features])
-    return out.select("*", *_weighted(keys, order, features, False))
+    plain = _weighted(keys, order, features, False)
+    if not decayed:
+        return df.selectExpr("*", *plain)
+    base = df.columns
+    over = _over(keys, order, BEFORE)
+    out = _decay(df, keys, order, decayed).selectExpr(
+        *base, *[f"last(_e_{f.name}, true) {over} AS {f.name}" for f in decayed], *plain)
+    return out.select(*base, *[f.name for f in features])
 
 
 def _decay(df, partition, order, decayed) -> DataFrame:
@@ -181,27 +183,19 @@ def _decay(df, partition, order, decayed) -> DataFrame:
         raise ValueError("one half-life per call")
     reach = math.ceil(DECAY_HALF_LIVES * half_life)
     block = max(reach, math.floor(DECAY_BLOCK_HALF_LIVES * half_life))
-    w = Window.partitionBy(*partition).orderBy(*order)
     base = df.columns
-    numbered = df.select("*", (F.row_number().over(w) - 1).alias("_rn"))
-    own = F.floor(F.col("_rn") / block)
-    blocks = F.when(F.col("_rn") % block >= block - reach, F.array(own, own + 1)).otherwise(F.array(own))
-    placed = numbered.select("*", F.explode(blocks).alias("_block"))
-    weight = F.pow(F.lit(2.0), (F.col("_rn") - F.col("_block") * block) / F.lit(float(half_life)))
-    inner = (
-        Window.partitionBy(*partition, "_block").orderBy("_rn").rowsBetween(Window.unboundedPreceding, 0)
-    )
-    values = []
-    for f in decayed:
-        x = f.source.cast("double")
-        top = F.sum(x * weight).over(inner)
-        bottom = F.sum(F.when(x.isNotNull(), weight)).over(inner)
-        values.append(F.when(x.isNotNull(), top / bottom).alias(f"_e_{f.name}"))
-    return (
-        placed.select("*", *values)
-        .where(F.col("_block") == F.floor(F.col("_rn") / block))
-        .select(*base, *[f"_e_{f.name}" for f in decayed])
-    )
+    numbered = df.selectExpr("*", f"row_number() {_over(partition, order)} - 1 AS _rn")
+    blocks = (f"CASE WHEN _rn % {block} >= {block - reach} THEN array(_rn div {block}, _rn div {block} + 1) "
+              f"ELSE array(_rn div {block}) END")
+    weight = f"power(2.0D, (_rn - _block * {block}) / {float(half_life)}D)"
+    placed = numbered.selectExpr("*", f"explode({blocks}) AS _block").selectExpr("*", f"{weight} AS _weight")
+    over = _over([*partition, "_block"], ["_rn"], "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW")
+    values = [
+        f"CASE WHEN {f.source} IS NOT NULL THEN sum(CAST({f.source} AS DOUBLE) * _weight) {over} / "
+        f"sum(CASE WHEN {f.source} IS NOT NULL THEN _weight END) {over} END AS _e_{f.name}" for f in decayed
+    ]
+    return placed.selectExpr("*", *values).where(f"_block = _rn div {block}").select(
+        *base, *[f"_e_{f.name}" for f in decayed])
 
 
 def _reach(features) -> int:
@@ -230,7 +224,7 @@ def _in_chunks(df, keys, order, features, chunks: int) -> DataFrame:
     # plus one per key; both are bounded by the chunk and hot-key counts.
     sizes = rows.groupBy(*by_chunk).agg(
         F.count("*").alias("_n"),
-        *[F.sum(f.source).alias(f"_t_{f.name}") for f in totals],
+        *[F.expr(f"sum({f.source})").alias(f"_t_{f.name}") for f in totals],
     )
     earlier = line.rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select(
@@ -257,14 +251,9 @@ def _in_chunks(df, keys, order, features, chunks: int) -> DataFrame:
     placed = rows.select(*base, _CHUNK, F.lit(False).alias(_HALO)).unionByName(halo)
     if decayed:
         placed = _decay(placed, by_chunk, order, decayed)
-    plain = _weighted(by_chunk, order, features, True)
-    w = Window.partitionBy(*by_chunk).orderBy(*order)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    local = [
-        F.last(F.when(~F.col(_HALO), F.col(f"_e_{f.name}")), ignorenulls=True).over(before).alias(f"_l_{f.name}")
-        for f in decayed
-    ]
-    out = placed.select("*", *plain, *local).where(~F.col(_HALO))
+    over = _over(by_chunk, order, BEFORE)
+    local = [f"last(CASE WHEN NOT {_HALO} THEN _e_{f.name} END, true) {over} AS _l_{f.name}" for f in decayed]
+    out = placed.selectExpr("*", *_weighted(by_chunk, order, features, True), *local).where(~F.col(_HALO))
     carry = sizes.select(*by_chunk, *[f"_b_{f.name}" for f in totals])
     if decayed:
         out = pin(out)

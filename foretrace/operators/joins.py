@@ -25,32 +25,50 @@ def home_away(rows: DataFrame, columns: Sequence[str], carry: Sequence[str] = ()
     Inner semantics: a game that lacks one side is dropped. One conditional
     aggregate by game does what a self join would shuffle twice for.
     """
-    at_home = F.col("is_home")
+    def side(flag: str, value: str) -> str:
+        return f"CASE WHEN is_home = {flag} THEN {value} END"
+
+    flags = {"home": "true", "away": "false"}
     sides = rows.groupBy("game_id").agg(
-        F.count(F.when(at_home, 1)).alias("_h"), F.count(F.when(~at_home, 1)).alias("_a"),
-        *[F.max(F.when(at_home, F.col(c))).alias(c) for c in carry],
-        *[F.max(F.when(at_home == flag, F.col(c))).alias(f"{side}_{c}")
-          for flag, side in ((True, "home"), (False, "away")) for c in columns])
-    return sides.where((F.col("_h") > 0) & (F.col("_a") > 0)).select(
-        "game_id", *carry, *[f"{side}_{c}" for side in ("home", "away") for c in columns],
-        *[(F.col(f"home_{c}") - F.col(f"away_{c}")).alias(f"diff_{c}") for c in columns])
+        F.expr(f"count({side('true', '1')}) AS _h"), F.expr(f"count({side('false', '1')}) AS _a"),
+        *[F.expr(f"max({side('true', c)}) AS {c}") for c in carry],
+        *[F.expr(f"max({side(flag, c)}) AS {name}_{c}") for name, flag in flags.items() for c in columns])
+    return sides.where("_h > 0 AND _a > 0").selectExpr(
+        "game_id", *carry, *[f"{name}_{c}" for name in flags for c in columns],
+        *[f"home_{c} - away_{c} AS diff_{c}" for c in columns])
 
 
 def attach_sides(games: DataFrame, features: DataFrame, columns: Sequence[str], prefix: str = "",
-                 keys: Sequence[str] = ("game_id",), diff: bool = True) -> DataFrame:
-    """Left-join per-team features to both sides of each game.
+                 diff: bool = True) -> DataFrame:
+    """Left-join per-(game, team) features to both sides of each game.
+
+    The features are pivoted to one row per game first, so they are computed
+    and shuffled once; the join then finds both inputs partitioned by game.
+    """
+    keyed = features.select("game_id", "team_id", *columns).join(games.select("game_id", "home_id", "away_id"), "game_id")
+    wide = keyed.groupBy("game_id").agg(*[
+        F.expr(f"max(CASE WHEN team_id = {side}_id THEN {c} END) AS {side}_{prefix}{c}")
+        for side in ("home", "away") for c in columns])
+    return _with_diffs(games, games.join(wide, "game_id", "left"), columns, prefix, diff)
 
-    ``keys`` are the join columns besides the team; an empty list attaches a
-    per-team snapshot.
+
+def attach_teams(games: DataFrame, features: DataFrame, columns: Sequence[str], prefix: str = "",
+                 diff: bool = True) -> DataFrame:
+    """Left-join a per-team snapshot to both sides of each game.
+
+    The snapshot is read twice: pin it if it is expensive.
     """
-    def side(name: str) -> DataFrame:
-        return features.select(*keys, F.col("team_id").alias(f"{name}_id"),
-                               *[F.col(c).alias(f"{name}_{prefix}{c}") for c in columns])
+    out = games
+    for side in ("home", "away"):
+        named = features.selectExpr(f"team_id AS {side}_id", *[f"{c} AS {side}_{prefix}{c}" for c in columns])
+        out = out.join(named, f"{side}_id", "left")
+    return _with_diffs(games, out, columns, prefix, diff)
+
 
-    out = games.join(side("home"), [*keys, "home_id"], "left").join(side("away"), [*keys, "away_id"], "left")
+def _with_diffs(games: DataFrame, out: DataFrame, columns: Sequence[str], prefix: str, diff: bool) -> DataFrame:
     new = [f"{s}_{prefix}{c}" for s in ("home", "away") for c in columns]
-    diffs = [(F.col(f"home_{prefix}{c}") - F.col(f"away_{prefix}{c}")).alias(f"diff_{prefix}{c}") for c in columns]
-    return out.select(*games.columns, *new, *(diffs if diff else []))
+    diffs = [f"home_{prefix}{c} - away_{prefix}{c} AS diff_{prefix}{c}" for c in columns]
+    return out.selectExpr(*games.columns, *new, *(diffs if diff else []))
 
 
 def opponent_context(rows: DataFrame, matches: DataFrame, team_features: DataFrame,

@@ -170,7 +170,7 @@ def fold_metrics(preds: DataFrame, by: Sequence[str], fold: str, row_bound: int
     cells = preds.where(y.isNotNull()).groupBy(*by, fold, p.alias("p")).agg(
         F.count("*").cast("double").alias("n"), F.sum(y).alias("pos"))
     cells = cells.withColumn("neg", F.col("n") - F.col("pos"))
-    ranked = with_history(cells, [*by, fold], ["p"], [Total("below", F.col("neg"))], row_bound)
+    ranked = with_history(cells, [*by, fold], ["p"], [Total("below", "neg")], row_bound)
     folds = preds.where(y.isNotNull()).groupBy(*by, fold).agg(
         F.count("*").cast("double").alias("n_test"), F.sum(y).alias("n_pos"))
     line = Window.partitionBy(*by).orderBy(fold).rowsBetween(Window.unboundedPreceding, -1)

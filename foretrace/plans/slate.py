@@ -11,7 +11,8 @@ from foretrace.operators import features as Y
 from foretrace.operators import ratings as R
 from foretrace.operators.history import snapshot_next, with_history
 from foretrace.operators.features import DEFAULT_REST, PAIR_WINDOW
-from foretrace.operators.joins import attach_prices, attach_sides, last_event_before, last_meetings
+from foretrace.operators.joins import attach_prices, attach_teams, last_event_before, last_meetings
+from foretrace.session import pin
 
 
 def mark_started(preds: DataFrame, schedule: DataFrame) -> DataFrame:
@@ -65,10 +66,10 @@ def slate_features(slate: DataFrame, snapshots: dict[str, tuple[DataFrame, list[
     known = team.select("team_id").distinct()
     for side in ("home_id", "away_id"):
         slate = slate.join(known.withColumnRenamed("team_id", side), side, "left_semi")
-    out = attach_sides(slate, team, columns, keys=())
+    out = attach_teams(slate, team, columns)
     for prefix, (frame, names) in snapshots.items():
         if prefix:
-            out = attach_sides(out, frame, names, prefix=prefix, keys=())
+            out = attach_teams(out, frame, names, prefix)
     return out
 
 
@@ -87,7 +88,8 @@ def team_snapshots(shots: DataFrame, matches: DataFrame, season: int, replayed:
     def team_family(history: DataFrame, features) -> tuple[DataFrame, list[str]]:
         names = [f.name for f in features]
         build = lambda h: with_history(h, ["team_id"], Y.IN_SEASON, features, row_bound)
-        return snapshot_next(build, history, None, "team_id", Y.IN_SEASON, names), names
+        # One row per team, read once per side: written out rather than rolled twice.
+        return pin(snapshot_next(build, history, None, "team_id", Y.IN_SEASON, names)), names
 
     team = team_family(strong, [*Y.team_feature_list(), *Y.strength_feature_list()])
     special = team_family(X.special_teams(shots.where(now)), Y.rolling(Y.SPECIAL_STATS, Y.SPECIAL_WINDOWS))
@@ -97,15 +99,13 @@ def team_snapshots(shots: DataFrame, matches: DataFrame, season: int, replayed:
     goalie = snapshot_next(
         lambda h: with_history(h, ["goalie_id"], Y.CAREER, form, shot_bound), goalies, None, "goalie_id", Y.CAREER, names)
     starter = Y.likely_starter(goalies).join(goalie, "goalie_id").select("team_id", *names)
-    return {"": team, "st_": special, "g_": (starter, names)}
+    return {"": team, "st_": special, "g_": (pin(starter), names)}
 
 
 def slate_matrix(slate: DataFrame, shots: DataFrame, matches: DataFrame, sides: DataFrame, season: int, day: Column,
                  opener: Column, params: R.EloParams = R.EloParams(), row_bound: int | None = None,
                  shot_bound: int | None = None, groups: DataFrame | None = None) -> DataFrame:
     """The feature matrix of scheduled games, column for column as in training."""
-    from foretrace.session import pin
-
     past = F.col("game_date") < day
     played, seen, legs = matches.where(past), shots.where(past), sides.where(past)
     replayed = pin(R.elo_pass(played, params))
@@ -115,8 +115,7 @@ def slate_matrix(slate: DataFrame, shots: DataFrame, matches: DataFrame, sides:
     if groups is not None:
         rows = rows.join(Y.group_flags(slate, groups).select("game_id", "same_division", "same_conference"), "game_id", "left")
     entering = R.entering(R.finals(replayed), F.lit(season), params)
-    rated = attach_sides(rows, entering, ["elo"], keys=())
-    return rated
+    return attach_teams(rows, entering, ["elo"])
 
 
 def score_slate(rows: DataFrame, fit, schedule: DataFrame, prices: DataFrame | None, day: Column, model_name: str,

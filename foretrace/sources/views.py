@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TEAM_SIZE = 16
@@ -51,62 +51,48 @@ class Views:
 
     @cached_property
     def matches(self) -> DataFrame:
-        key, cust = F.col("o_orderkey"), F.col("o_custkey")
-        team = F.floor(cust / TEAM_SIZE).cast("bigint")
-        league = F.floor(team / LEAGUE_SIZE).cast("bigint")
-        other = league * LEAGUE_SIZE + (team % LEAGUE_SIZE + 1 + key % (LEAGUE_SIZE - 1)) % LEAGUE_SIZE
-        playoff = key % 20 == 0
-        return self.table("orders").select(
-            key.alias("game_id"),
-            F.year("o_orderdate").cast("bigint").alias("season"),
-            F.to_date("o_orderdate").alias("game_date"),
-            (F.when(playoff, 30000).otherwise(20000) + F.dayofyear("o_orderdate")).cast("bigint").alias("game_num"),
-            F.when(playoff, "P").otherwise("R").alias("game_type"),
-            league.alias("league"), team.alias("home_id"), other.cast("bigint").alias("away_id"),
-            F.when(key % 50 == 7, F.lit(None)).when(F.col("o_totalprice") > 230000, 1.0).otherwise(0.0)
-            .cast("double").alias("home_win"),
-            (F.col("o_orderpriority") == "1-URGENT").cast("bigint").alias("went_to_ot"),
-            F.when(F.col("o_orderstatus") == "F", "OFF").when(F.col("o_orderstatus") == "O", "FUT")
-            .otherwise("LIVE").alias("game_state"),
-            (F.floor(F.col("o_totalprice") / 1000) % 7).cast("bigint").alias("home_score"),
-            (F.floor(F.col("o_totalprice") / 7000) % 6).cast("bigint").alias("away_score"),
+        team, league = f"o_custkey div {TEAM_SIZE}", f"o_custkey div {TEAM_SIZE * LEAGUE_SIZE}"
+        return self.table("orders").selectExpr(
+            "o_orderkey AS game_id",
+            "CAST(year(o_orderdate) AS BIGINT) AS season",
+            "to_date(o_orderdate) AS game_date",
+            "CAST(CASE WHEN o_orderkey % 20 = 0 THEN 30000 ELSE 20000 END + dayofyear(o_orderdate) AS BIGINT) AS game_num",
+            "CASE WHEN o_orderkey % 20 = 0 THEN 'P' ELSE 'R' END AS game_type",
+            f"{league} AS league", f"{team} AS home_id",
+            f"({league}) * {LEAGUE_SIZE} + (({team}) % {LEAGUE_SIZE} + 1 + o_orderkey % {LEAGUE_SIZE - 1}) % {LEAGUE_SIZE} AS away_id",
+            "CASE WHEN o_orderkey % 50 = 7 THEN NULL WHEN o_totalprice > 230000 THEN 1.0D ELSE 0.0D END AS home_win",
+            "CAST(o_orderpriority = '1-URGENT' AS BIGINT) AS went_to_ot",
+            "CASE o_orderstatus WHEN 'F' THEN 'OFF' WHEN 'O' THEN 'FUT' ELSE 'LIVE' END AS game_state",
+            "floor(o_totalprice / 1000) % 7 AS home_score", "floor(o_totalprice / 7000) % 6 AS away_score",
         )
 
     @cached_property
     def sides(self) -> DataFrame:
         """Two rows per match, one per team."""
-        m = self.matches
         common = ["game_id", "season", "game_date", "game_num", "game_type", "league"]
-        home = m.select(*common, F.col("home_id").alias("team_id"), F.col("away_id").alias("opp_id"),
-                        F.lit(True).alias("is_home"), F.col("home_win").alias("won"))
-        away = m.select(*common, F.col("away_id").alias("team_id"), F.col("home_id").alias("opp_id"),
-                        F.lit(False).alias("is_home"), (1 - F.col("home_win")).alias("won"))
+        home = self.matches.selectExpr(*common, "home_id AS team_id", "away_id AS opp_id", "true AS is_home", "home_win AS won")
+        away = self.matches.selectExpr(*common, "away_id AS team_id", "home_id AS opp_id", "false AS is_home", "1 - home_win AS won")
         return home.unionByName(away)
 
     @cached_property
     def shots(self) -> DataFrame:
         m = self.matches.select(
             "game_id", "season", "game_num", "game_date", "game_type", "home_id", "away_id", "went_to_ot")
-        home = F.col("l_linenumber") % 2 == 1
-        team = F.when(home, F.col("home_id")).otherwise(F.col("away_id"))
-        defending = F.when(home, F.col("away_id")).otherwise(F.col("home_id"))
-        late = (F.col("went_to_ot") == 1) & (F.col("l_linenumber") >= 6)
-        shots = self.table("lineitem").join(m, F.col("l_orderkey") == F.col("game_id"))
-        return shots.select(
+        team = "CASE WHEN l_linenumber % 2 = 1 THEN home_id ELSE away_id END"
+        defending = "CASE WHEN l_linenumber % 2 = 1 THEN away_id ELSE home_id END"
+        return self.table("lineitem").withColumnRenamed("l_orderkey", "game_id").join(m, "game_id").selectExpr(
             "game_id", "season", "game_num", "game_date", "game_type", "home_id", "away_id",
-            home.alias("is_home"), team.alias("team_id"), defending.alias("def_team_id"),
-            (team * 20 + F.col("l_partkey") % 20).alias("player_id"),
-            F.when(F.col("l_partkey") % 97 == 0, F.lit(None))
-            .otherwise(defending * 2 + (F.col("l_suppkey") % 10 == 0).cast("bigint")).alias("goalie_id"),
-            F.when(F.col("l_partkey") % 17 != 0, F.col("l_discount")).alias("xg"),
-            (F.col("l_returnflag") == "R").cast("bigint").alias("goal"),
-            ((F.col("l_returnflag") == "R") | (F.col("l_linestatus") == "F")).cast("bigint").alias("sog"),
-            F.col("l_quantity").alias("distance"),
-            F.when(F.col("l_partkey") % 10 == 0, 4).otherwise(5).cast("bigint").alias("home_skaters"),
-            F.when(F.col("l_suppkey") % 7 == 0, 4).otherwise(5).cast("bigint").alias("away_skaters"),
-            F.when(late, 4).otherwise(1 + F.col("l_linenumber") % 3).cast("bigint").alias("period"),
-            F.col("l_linenumber").cast("bigint").alias("line_no"),
-            F.col("l_partkey").alias("part_no"), F.col("l_suppkey").alias("supp_no"),
+            "l_linenumber % 2 = 1 AS is_home", f"{team} AS team_id", f"{defending} AS def_team_id",
+            f"({team}) * 20 + l_partkey % 20 AS player_id",
+            f"CASE WHEN l_partkey % 97 != 0 THEN ({defending}) * 2 + CAST(l_suppkey % 10 = 0 AS BIGINT) END AS goalie_id",
+            "CASE WHEN l_partkey % 17 != 0 THEN l_discount END AS xg",
+            "CAST(l_returnflag = 'R' AS BIGINT) AS goal",
+            "CAST(l_returnflag = 'R' OR l_linestatus = 'F' AS BIGINT) AS sog",
+            "l_quantity AS distance",
+            "CAST(CASE WHEN l_partkey % 10 = 0 THEN 4 ELSE 5 END AS BIGINT) AS home_skaters",
+            "CAST(CASE WHEN l_suppkey % 7 = 0 THEN 4 ELSE 5 END AS BIGINT) AS away_skaters",
+            "CAST(CASE WHEN went_to_ot = 1 AND l_linenumber >= 6 THEN 4 ELSE 1 + l_linenumber % 3 END AS BIGINT) AS period",
+            "CAST(l_linenumber AS BIGINT) AS line_no", "l_partkey AS part_no", "l_suppkey AS supp_no",
         )
 
     @cached_property
@@ -126,13 +112,13 @@ class Views:
 
     @cached_property
     def preds(self) -> DataFrame:
-        def price(step: int, span: int, low: float) -> Column:
-            return F.lit(low) + ((F.col("game_id") * step) % span).cast("double") / 1000
-
-        return self.matches.select(
-            "game_id", "season", "game_date", "home_id", "away_id", F.col("home_win").alias("actual_home_win"),
-            F.when(F.col("game_id") % 3 == 0, "model_b").otherwise("model_a").alias("model_name"),
-            price(7919, 400, 0.30).alias("prob_home_win"), price(6101, 300, 0.35).alias("market_prob_home"),
-            F.when(F.col("game_id") % 4 != 0, price(4517, 300, 0.35)).alias("closing_prob_home"),
-            (F.lit(0.60) + (F.col("game_id") % 41).cast("double") / 100).alias("feature_coverage"),
+        def price(step: int, span: int, low: float) -> str:
+            return f"{low}D + CAST((game_id * {step}) % {span} AS DOUBLE) / 1000"
+
+        return self.matches.selectExpr(
+            "game_id", "season", "game_date", "home_id", "away_id", "home_win AS actual_home_win",
+            "CASE WHEN game_id % 3 = 0 THEN 'model_b' ELSE 'model_a' END AS model_name",
+            f"{price(7919, 400, 0.30)} AS prob_home_win", f"{price(6101, 300, 0.35)} AS market_prob_home",
+            f"CASE WHEN game_id % 4 != 0 THEN {price(4517, 300, 0.35)} END AS closing_prob_home",
+            "0.60D + CAST(game_id % 41 AS DOUBLE) / 100 AS feature_coverage",
         )
