@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foretrace.session import ship_by_value
+
 ORDER = ["season", "game_num", "game_id"]
 _COLUMNS = ["league", "season", "game_id", "home_id", "away_id", "home_win", "went_to_ot"]
 
@@ -203,3 +205,6 @@ def load_params(spark, path: str) -> EloParams:
         row = None
     known = {n: row[n] for n in names if row is not None and row[n] is not None}
     return EloParams(**known)
+
+
+ship_by_value(__name__)

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import io
+import sys
 import tempfile
 import uuid
 from contextlib import redirect_stdout
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +36,14 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def ship_by_value(module_name: str) -> None:
+    """Send a module's functions to the Python workers with the job itself.
+
+    Executors then need numpy and pandas but no copy of this package.
+    """
+    cloudpickle.register_pickle_by_value(sys.modules[module_name])
+
+
 def pin(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint that survives executor loss."""
     shared_dir(df.sparkSession)
