@@ -11,6 +11,7 @@ from foretrace.functions.seasons import season_of_id
 from foretrace.operators import facts as X
 from foretrace.operators import forecasts as C
 from foretrace.operators import scoring as E
+from foretrace.session import bounded
 from foretrace.sources.views import Views
 
 
@@ -318,7 +319,7 @@ def recency_weight_query(v: Views):
     """Training weight by season age, half-life half a season."""
     from foretrace.operators.models import season_ages
 
-    ages = season_ages(v.matches)
+    ages = bounded(season_ages(v.matches))
     return rounded(v.matches.join(ages, "season").select("game_id", recency_weight(F.col("age"), 0.5).alias("weight")))
 
 

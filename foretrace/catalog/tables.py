@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from foretrace.catalog.registry import query, r, rounded
@@ -380,8 +382,8 @@ def incremental_sync(v: Views):
     """Catch up from a week before the newest result and merge."""
     cols = ["game_id", "game_date", "home_score", "home_win"]
     known = v.matches.where("game_date < DATE '2001-02-01'").select(*cols)
-    since = M.catch_up_start(known, F.lit("2001-01-01").cast("date"))
-    fresh = M.finished(v.matches, S.FINAL_STATES).join(F.broadcast(since), F.col("game_date") >= F.col("since")).select(*cols)
+    since = M.catch_up_start(known, date(2001, 1, 1))
+    fresh = M.finished(v.matches.where(F.col("game_date") >= F.lit(since)), S.FINAL_STATES).select(*cols)
     return M.upsert(known, fresh, ["game_id"], "coalesce").select("game_id", "home_score", "home_win")
 
 

@@ -15,6 +15,7 @@ from foretrace.functions import scalars as S
 from foretrace.operators.history import (
     Decayed, Feature, Previous, Recent, Rolling, games_before, with_history,
 )
+from foretrace.session import bounded
 
 # Windows and stat lists that define the feature columns.
 TEAM_WINDOWS = [5, 10, 20]
@@ -151,10 +152,10 @@ def pair_form(matches: DataFrame, row_bound: int | None = None) -> DataFrame:
 def season_day(matches: DataFrame) -> DataFrame:
     """Days since the season's first game.
 
-    The opener is an aggregate joined back on the season: its size is the
-    number of seasons, and the optimizer broadcasts it once it has seen that.
+    The opener is an aggregate joined back on the season; its size, the number
+    of seasons, is checked before it is broadcast.
     """
-    opener = matches.groupBy("season").agg(F.min("game_date").alias("season_opener"))
+    opener = bounded(matches.groupBy("season").agg(F.min("game_date").alias("season_opener")))
     return matches.join(opener, "season").withColumn(
         "season_day", F.datediff("game_date", "season_opener").cast("bigint"))
 

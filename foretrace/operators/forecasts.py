@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foretrace.functions.counts import over_probability
+from foretrace.session import bounded
 
 MIN_IN_SEASON_SAMPLE = 100
 
@@ -82,5 +83,5 @@ def apply_factor(rows: DataFrame, factors: DataFrame, by: Sequence[str]) -> Data
 
     The factor table has one row per group; where there is none it is one.
     """
-    joined = rows.join(factors.select(*by, "factor"), list(by), "left")
+    joined = rows.join(bounded(factors.select(*by, "factor")), list(by), "left")
     return joined.withColumn("pred", F.col("pred") * F.coalesce("factor", F.lit(1.0))).drop("factor")

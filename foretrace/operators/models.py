@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from foretrace.functions.counts import recency_weight
 from foretrace.operators.history import games_before, with_history
-from foretrace.session import pin
+from foretrace.session import bounded, pin
 
 # Identifiers and targets that are never features.
 NOT_FEATURES = ["game_id", "season", "game_date", "game_num", "game_type", "league", "home_id", "away_id", "target",
@@ -67,7 +67,7 @@ def walk_forward(rows: DataFrame) -> DataFrame:
     table = table.select(
         (F.size("used") - 1).cast("bigint").alias("fold"), "test_season", F.explode("used").alias("season"))
     role = F.when(F.col("season") == F.col("test_season"), "test").otherwise("train")
-    return rows.join(table.withColumn("role", role), "season")
+    return rows.join(bounded(table.withColumn("role", role)), "season")
 
 
 def folds_of(rows: DataFrame) -> list[tuple[list, object]]:
@@ -82,11 +82,10 @@ def chronological_rank(rows: DataFrame, order: Sequence[str], row_bound: int | N
     A rank over everything is one history; beyond the split size it is ranked
     chunk by chunk, never in one task.
     """
-    total = rows.agg(F.count("*").alias("of"))
+    total = rows.count()
     keyed = rows.withColumn("_all", F.lit(0))
-    ranked = with_history(keyed, ["_all"], order, [games_before("position")], row_bound)
-    return ranked.drop("_all").withColumn("_one", F.lit(0)).join(
-        F.broadcast(total.withColumn("_one", F.lit(0))), "_one").drop("_one")
+    ranked = with_history(keyed, ["_all"], order, [games_before("position")], total if row_bound is None else row_bound)
+    return ranked.drop("_all").withColumn("of", F.lit(total))
 
 
 def oof_chunks(rows: DataFrame, order: Sequence[str], chunks: int = 3, row_bound: int | None = None) -> DataFrame:
@@ -331,8 +330,8 @@ def fit_counts(train: DataFrame, columns: Sequence[str], label: str, half_life:
     a log link scaling the prediction equals shifting the intercept.
     """
     columns = usable_columns(train, columns)
-    ages = season_ages(train)
-    ready = with_columns_present(train.where(F.col(label).isNotNull()), columns).join(F.broadcast(ages), "season")
+    ages = bounded(season_ages(train))
+    ready = with_columns_present(train.where(F.col(label).isNotNull()), columns).join(ages, "season")
     ready = ready.withColumn("_weight", recency_weight(F.col("age"), half_life)).withColumn("_label", F.col(label).cast("double"))
     filled = [f"_f_{c}" for c in columns]
     model = Pipeline(stages=[

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from foretrace.functions import scalars as S
 from foretrace.functions.odds import favoured
 from foretrace.operators.history import Total, with_history
+from foretrace.session import bounded
 
 MIN_EDGE = 0.03
 LOG_LOSS_CLIP = 1e-15
@@ -178,7 +179,7 @@ def fold_metrics(preds: DataFrame, by: Sequence[str], fold: str, row_bound: int
         "*", F.sum("n_test").over(line).alias("n_train"),
         (F.sum("n_pos").over(line) / F.sum("n_test").over(line)).alias("naive_rate"),
     ).where(F.col("n_train").isNotNull())
-    rows = ranked.join(folds, [*by, fold])
+    rows = ranked.join(bounded(folds), [*by, fold])
     n, pos, neg, prob, naive = (F.col(c) for c in ("n", "pos", "neg", "p", "naive_rate"))
     clipped = F.least(F.greatest(prob, F.lit(LOG_LOSS_CLIP)), F.lit(1 - LOG_LOSS_CLIP))
     hits = F.when(prob >= 0.5, pos).otherwise(neg)

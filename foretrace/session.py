@@ -50,6 +50,20 @@ def pin(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+BROADCAST_ROWS = 100_000
+
+
+def bounded(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast a small aggregate after counting it; leave a large one to AQE.
+
+    Meant for lookups keyed by few values (seasons, folds): shuffling the large
+    side on such a key would pile it onto a few tasks. The table is pinned, so
+    it is computed once.
+    """
+    table = pin(df)
+    return F.broadcast(table) if table.count() <= limit else table
+
+
 def nan_to_null(df: DataFrame) -> DataFrame:
     """Turn NaN into null in every floating column, once, at the source."""
     floating = {n for n, t in df.dtypes if t in ("double", "float")}

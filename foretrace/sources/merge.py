@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -90,11 +91,14 @@ def by_priority(sources: Sequence[DataFrame], keys: Sequence[str], value: str) -
     return union.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.min_by(value, "_p").alias(value))
 
 
-def catch_up_start(results: DataFrame, opener: Column, overlap_days: int = 7) -> DataFrame:
-    """One row with the date to read from again: a week back, never before the opener."""
-    last = F.max("game_date")
-    return results.where(F.col("home_win").isNotNull() & (F.col("game_date") >= opener)).agg(
-        F.coalesce(F.greatest(opener, F.date_sub(last, overlap_days)), opener).alias("since"))
+def catch_up_start(results: DataFrame, opener: date, overlap_days: int = 7) -> date:
+    """Date to read from again: a week before the newest result, never before the opener.
+
+    One date reaches the driver; as a literal it prunes files and partitions.
+    """
+    known = results.where(F.col("home_win").isNotNull() & (F.col("game_date") >= F.lit(opener)))
+    newest_day = known.agg(F.max("game_date")).first()[0]
+    return opener if newest_day is None else max(opener, newest_day - timedelta(days=overlap_days))
 
 
 def finished(schedule: DataFrame, states: Sequence[str], types: Sequence[str] = ("R", "P")) -> DataFrame:
