@@ -198,7 +198,8 @@ def _decay(df, partition, order, decayed) -> DataFrame:
         *base, *[f"_e_{f.name}" for f in decayed])
 
 
-def _reach(features) -> int:
+def reach_of(features: Sequence[Feature]) -> int:
+    """How many rows back the widest bounded frame reads."""
     far = 1
     for f in features:
         if isinstance(f, (Rolling, Recent)):
@@ -211,7 +212,7 @@ def _reach(features) -> int:
 def _in_chunks(df, keys, order, features, chunks: int) -> DataFrame:
     """The same features for hot keys, chunk by chunk."""
     base = df.columns
-    reach = _reach(features)
+    reach = reach_of(features)
     totals = [f for f in features if isinstance(f, Total)]
     decayed = [f for f in features if isinstance(f, Decayed)]
     # The checkpoint fixes the sampled range bounds: a lost executor re-reads it.

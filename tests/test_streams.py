@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from foretrace.operators import ratings as R
 from foretrace.operators.history import Rolling, games_before, with_history
+from foretrace.streaming import incremental as I
 from foretrace.streaming import log as L
 from foretrace.streaming import replay as P
 from foretrace.streaming import stateful as S
@@ -44,3 +45,16 @@ def test_late_predictions_are_dropped(spark):
     rows = spark.createDataFrame([(1, "m", 5), (1, "m", 10), (2, "m", 99)], "game_id int, model_name string, predicted_at int")
     schedule = spark.createDataFrame([(1, 10)], "game_id int, start_time int")
     assert sorted((r.game_id, r.predicted_at) for r in L.before_start(rows, schedule).collect()) == [(1, 5), (2, 99)]
+
+
+def test_rolling_batches_cross_boundaries_split_and_repeat(spark, season_rows, tmp_path):
+    rows = season_rows.select("game_id", "team_id", "season", "game_num", "x")
+    order = ["season", "game_num", "game_id"]
+    features = [Rolling("x_l5", "x", 5), Rolling("x_l20", "x", 20)]
+    table = I.RollingBatches(spark, str(tmp_path / "b"), ["team_id"], order, features, split_rows=20, chunk_rows=8)
+    parts = [rows.where("season = 2024 AND game_num <= 3"), rows.where("season = 2024 AND game_num > 3"), rows.where("season = 2025")]
+    for i in (0, 1, 1, 2):
+        table.append(parts[i], i)
+    want = with_history(rows, ["team_id"], order, features)
+    key = lambda df: {r.game_id: tuple(None if v is None else round(v, 9) for v in (r.x_l5, r.x_l20)) for r in df.collect()}
+    assert key(table.rows()) == key(want)
