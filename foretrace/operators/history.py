@@ -99,21 +99,26 @@ def with_history(
     keys: Sequence[str],
     order: Sequence[str],
     features: Sequence[Feature],
-    row_bound: int | None = None,
+    row_bound: int | DataFrame | None = None,
     split_rows: int | None = None,
     chunk_rows: int | None = None,
 ) -> DataFrame:
     """Append ``features`` to ``df``; ``order`` must be total within a key.
 
     ``row_bound`` is a known upper limit of the row count (for instance from
-    file footers). Under ``split_rows`` it saves the counting job.
+    file footers); under ``split_rows`` it saves the counting job. It may also
+    be a frame that has every key at least as often as ``df`` and is cheaper
+    to count: a schedule bounds the facts derived from it.
     """
     split_rows = split_rows or SPLIT_ROWS
     chunk_rows = chunk_rows or CHUNK_ROWS
     keys, order = list(keys), list(order)
-    if row_bound is not None and row_bound <= split_rows:
+    counted = df
+    if isinstance(row_bound, DataFrame):
+        counted = row_bound if set(keys) <= set(row_bound.columns) else df
+    elif row_bound is not None and row_bound <= split_rows:
         return _in_windows(df, keys, order, features)
-    counts = df.groupBy(*keys).count().where(F.col("count") > split_rows)
+    counts = counted.groupBy(*keys).count().where(F.col("count") > split_rows)
     summary = counts.agg(F.count("*").alias("n"), F.sum("count").alias("rows")).first()
     if not summary["n"]:
         return _in_windows(df, keys, order, features)

@@ -13,6 +13,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foretrace.operators.history import SPLIT_ROWS
+
 TEAM_SIZE = 16
 LEAGUE_SIZE = 16
 
@@ -40,9 +42,14 @@ class Views:
         return self.table(name).count()
 
     @cached_property
-    def match_bound(self) -> int:
-        """Upper bound of team-game rows: two per match."""
-        return 2 * self.rows("orders")
+    def match_bound(self) -> int | DataFrame:
+        """Upper bound of team-game rows: two per match.
+
+        Where that is too many to rule out a hot team, the schedule itself: its
+        teams are counted without touching the shots.
+        """
+        total = 2 * self.rows("orders")
+        return total if total <= SPLIT_ROWS else self.sides
 
     @cached_property
     def shot_bound(self) -> int:

@@ -62,6 +62,9 @@ def test_only_hot_keys_are_split(spark):
     a = {(r.k, r.o): (r.m, r.n) for r in with_history(df, ["k"], ["o"], features).collect()}
     b = {(r.k, r.o): (r.m, r.n) for r in with_history(df, ["k"], ["o"], features, split_rows=20, chunk_rows=9).collect()}
     assert a == b
+    cheap = df.select("k").unionByName(df.select("k"))
+    c = with_history(df, ["k"], ["o"], features, row_bound=cheap, split_rows=20, chunk_rows=9)
+    assert a == {(r.k, r.o): (r.m, r.n) for r in c.collect()}
 
 
 def test_decay_over_long_histories_and_long_gaps(spark):

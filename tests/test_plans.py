@@ -36,3 +36,14 @@ def test_no_python_and_no_cross_join_outside_ratings_and_fits(spark):
 def test_documents_are_parsed_once(spark):
     _, plan = tree(spark, "game_results")
     assert plan.count("from_json(") == 1
+
+
+def test_facts_join_and_windows_share_their_shuffles(spark):
+    """Without broadcasts: shots, games and results by game, then teams by season."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        top, plan = tree(spark, "rolling_mean_prev")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert top.count("Exchange") == 4 and plan.count("Arguments: hashpartitioning(game_id") == 3
