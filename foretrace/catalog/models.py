@@ -8,7 +8,6 @@ from foretrace.catalog.ratings import _CHAIN
 from foretrace.catalog.registry import query, r, rounded
 from foretrace.catalog.scalars import division_table
 from foretrace.catalog.windows import CAREER_SQL, W1, _avg, team_facts
-from foretrace.operators import facts as X
 from foretrace.operators import features as Y
 from foretrace.operators import forecasts as C
 from foretrace.operators import models as M

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foretrace.catalog.models import _MODEL_COLUMNS, matrix_of, model_rows, team_context
+from foretrace.catalog.models import _MODEL_COLUMNS, model_rows, team_context
 from foretrace.catalog.registry import query, r, rounded
 from foretrace.catalog.scalars import division_table
 from foretrace.catalog.scores import _SUMMARY, scored

@@ -33,7 +33,7 @@ def season_of_date(v: Views):
     return v.matches.select("game_id", T.season_of_date(F.col("game_date")).cast("bigint").alias("season_year"))
 
 
-def _nhl_id(v: Views):
+def _event_id(v: Views):
     return F.concat(F.col("season").cast("string"), F.when(F.col("game_type") == "P", "03").otherwise("02"),
                     F.lpad((F.col("game_id") % 10000).cast("string"), 4, "0"))
 
@@ -41,7 +41,7 @@ def _nhl_id(v: Views):
 @query("game_sort_key", """SELECT game_id, CASE WHEN game_type = 'P' THEN 30000 ELSE 20000 END + game_id % 10000 AS sort_key FROM matches""")
 def game_sort_key(v: Views):
     """Chronological key of an id; playoffs sort after the regular season."""
-    return v.matches.select("game_id", T.sequence_key(_nhl_id(v)).alias("sort_key"))
+    return v.matches.select("game_id", T.sequence_key(_event_id(v)).alias("sort_key"))
 
 
 @query("canonical_id", """SELECT game_id, CAST(season AS VARCHAR) || '0' || CAST(20000 + game_id % 1271 AS VARCHAR) AS canonical FROM matches""")
