@@ -123,6 +123,14 @@ def op3_url_filters(spark, sf_dir):
     return url_filters.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+@query("op4_jaccard_join")
+def op4_jaccard_join(spark, sf_dir):
+    """Components of all documents under Jaccard similarity of 4-word shingles, at 85 percent."""
+    from foretrace.llm import jaccard_join
+
+    return jaccard_join.component_ids(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query("op7_byte_bpe")
 def op7_byte_bpe(spark, sf_dir):
     """Token ids of every whole text and the bytes they decode to, as digests."""
