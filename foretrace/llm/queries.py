@@ -131,6 +131,31 @@ def op4_jaccard_join(spark, sf_dir):
     return jaccard_join.component_ids(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query("op5_quality_classifier")
+def op5_quality_classifier(spark, sf_dir):
+    """Every document's quality, voted by labelled documents outside the held-out fifth."""
+    from foretrace.llm import quality_classifier
+    from foretrace.llm.common import remainder
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_classifier.fitted(docs, table(spark, sf_dir, "labels"), remainder(F.col("doc_id"), 5) != 0)
+    scored = quality_classifier.score(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op6_toxicity")
+def op6_toxicity(spark, sf_dir):
+    """Every document's probabilities of low quality and, later in the chain, of toxicity."""
+    from foretrace.llm import toxicity
+    from foretrace.llm.common import remainder
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("poor"), "toxic")
+    chain = toxicity.fitted(docs, labels, ["poor", "toxic"], remainder(F.col("doc_id"), 5) != 0)
+    scored = toxicity.score(docs, chain, ["p_poor", "p_toxic"], keep=["doc_id"])
+    return scored.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "p_poor", "p_toxic", (F.col("p_toxic") >= 0.5).cast("int").alias("toxic"))
+
+
 @query("op7_byte_bpe")
 def op7_byte_bpe(spark, sf_dir):
     """Token ids of every whole text and the bytes they decode to, as digests."""
@@ -176,3 +201,18 @@ def op9_media(spark, sf_dir):
     parts = media.resolve(media.interleave(pages.select("doc_id", "html"), keep=["doc_id"]), known)
     return parts.where("kind = 'media'").select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+
+
+@query("op10_language_id")
+def op10_language_id(spark, sf_dir):
+    """Every document's language by segmentation-marginalised unigrams, a quarter held out."""
+    import public_tokenizers
+
+    from foretrace.llm import language_id
+    from foretrace.llm.common import remainder
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    pieces = language_id.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    model = language_id.fitted(docs, pieces, remainder(F.col("doc_id"), 4) != 2)
+    found = language_id.predict(docs.select("doc_id", "text"), model, keep=["doc_id"])
+    return found.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
