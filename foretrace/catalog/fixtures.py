@@ -157,7 +157,9 @@ def with_views(sql: str) -> str:
     sql = sql.strip()
     if not wanted:
         return sql
-    prefix = ",\n".join(f"{v} AS ({VIEWS[v]}\n)" for v in VIEWS if v in wanted)
+    # A view that several others read is computed once.
+    readers = {v: sum(len(re.findall(rf"\b{v}\b", t)) for t in [sql, *(VIEWS[w] for w in wanted if w != v)]) for v in wanted}
+    prefix = ",\n".join(f"{v} AS {'MATERIALIZED ' if readers[v] > 1 else ''}({VIEWS[v]}\n)" for v in VIEWS if v in wanted)
     if sql[:4].upper() == "WITH":
         recursive = sql[4:].lstrip().upper().startswith("RECURSIVE")
         rest = sql[4:].lstrip()

@@ -53,11 +53,11 @@ def impute_means(v: Views):
 
 _PCAR, _GCAR = CAREER_SQL.format(key="player_id"), CAREER_SQL.format(key="goalie_id")
 _OPP_CTE = "tf AS (SELECT game_id, team_id, " + ", ".join(
-    _avg(s, 20, W1) for s in ("sf_pct", "xg_against", "hd_chances_against", "xg_for", "goals_for")) + " FROM facts)"
+    _avg(s, 20, W1) for s in ("sf_pct", "xg_against", "hd_chances_against", "xg_for", "hd_chances_for")) + " FROM facts)"
 
 
 def team_context(v: Views):
-    stats = ["sf_pct", "xg_against", "hd_chances_against", "xg_for", "goals_for"]
+    stats = ["sf_pct", "xg_against", "hd_chances_against", "xg_for", "hd_chances_for"]
     return with_history(team_facts(v), Y.BY_SEASON, Y.IN_SEASON, Y.rolling(stats, [20]), v.match_bound)
 
 
@@ -76,13 +76,15 @@ def sog_training(v: Views):
 @query("saves_training", f"""WITH {_OPP_CTE}, g AS (SELECT game_id, goalie_id, team_id, saves, {_avg("saves", 10, _GCAR)}, {_avg("gsax", 20, _GCAR)},
   row_number() OVER ({_GCAR}) - 1 AS starts FROM goalie_games WHERE is_starter)
 SELECT g.game_id, g.goalie_id, g.saves, g.saves_l10, g.gsax_l20, g.starts, CAST(g.team_id = m.home_id AS DOUBLE) AS is_home,
-  o.xg_against_l20 AS own_xg_against_l20, t.goals_for_l20 AS opp_goals_for_l20
+  o.sf_pct_l20 AS own_sf_pct_l20, o.xg_against_l20 AS own_xg_against_l20, o.hd_chances_against_l20 AS own_hd_chances_against_l20,
+  t.xg_for_l20 AS opp_xg_for_l20, t.hd_chances_for_l20 AS opp_hd_chances_for_l20, t.sf_pct_l20 AS opp_sf_pct_l20
 FROM g JOIN matches m ON g.game_id = m.game_id LEFT JOIN tf o ON g.game_id = o.game_id AND g.team_id = o.team_id
 LEFT JOIN tf t ON g.game_id = t.game_id AND t.team_id = CASE WHEN g.team_id = m.home_id THEN m.away_id ELSE m.home_id END WHERE g.starts >= 5""")
 def saves_training(v: Views):
     """Saves-model training rows."""
     return rounded(A.saves_training(v.shots, v.matches, team_context(v), v.shot_bound).select(
-        "game_id", "goalie_id", "saves", "saves_l10", "gsax_l20", "starts", "is_home", "own_xg_against_l20", "opp_goals_for_l20"))
+        "game_id", "goalie_id", "saves", "saves_l10", "gsax_l20", "starts", "is_home",
+        *[f"own_{c}" for c in A.OWN_TEAM], *[f"opp_{c}" for c in A.OPP_TEAM]))
 
 
 _SHOWN = ["home_won_l5", "away_won_l5", "diff_xgf_pct_l10", "home_goals_for_l20", "away_games_played", "home_regulation_win_l10",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foretrace.catalog.models import _MODEL_COLUMNS, model_rows, team_context
+from foretrace.catalog.ratings import _CHAIN, _LAST
 from foretrace.catalog.registry import query, r, rounded
 from foretrace.catalog.scalars import division_table
 from foretrace.catalog.scores import _SUMMARY, scored
@@ -47,6 +48,24 @@ def slate_features(v: Views):
     return rounded(_slate_rows(v).select("game_id", *cols))
 
 
+@query("slate_openers", f"""WITH {_CHAIN}, {_LAST}, day AS (SELECT min(game_date) AS d FROM matches WHERE season = (SELECT max(season) FROM matches)),
+before AS (SELECT * FROM chain WHERE rn > 0 AND game_id IN (SELECT game_id FROM matches, day WHERE game_date < d)),
+newest AS (SELECT b.* FROM before b JOIN (SELECT league, max(rn) AS rn FROM before GROUP BY league) m ON b.league = m.league AND b.rn = m.rn),
+entered AS (SELECT s.team_id, n.post[s.team_id % 16 + 1] * (1 - 0.33) + 1500 * 0.33 AS elo FROM newest n
+  JOIN (SELECT DISTINCT league, team_id FROM sides, day WHERE game_date < d) s ON n.league = s.league)
+SELECT m.game_id, CAST(0 AS BIGINT) AS home_games_played, CAST(0 AS BIGINT) AS away_games_played, CAST(NULL AS DOUBLE) AS home_won_l5,
+  {r('h.elo', 'home_elo')}, {r('a.elo', 'away_elo')}, TRUE AS season_opener, h.elo IS NOT NULL AND a.elo IS NOT NULL AS usable
+FROM matches m JOIN day ON m.game_date = day.d LEFT JOIN entered h ON m.home_id = h.team_id LEFT JOIN entered a ON m.away_id = a.team_id""")
+def slate_openers(v: Views):
+    """The newest season's opening day: no form yet, ratings carried over, openers flagged."""
+    season = v.matches.agg(F.max("season")).first()[0]
+    day = F.lit(v.matches.where(F.col("season") == season).agg(F.min("game_date")).first()[0])
+    slate = v.matches.where(F.col("game_date") == day).select("game_id", "season", "home_id", "away_id")
+    rows = L.slate_matrix(slate, v.shots, v.matches, v.sides, season, day, day, row_bound=v.match_bound, shot_bound=v.shot_bound)
+    guarded = L.publish_guard(rows.withColumn("feature_coverage", F.lit(0.0)))
+    return rounded(guarded.select("game_id", "home_games_played", "away_games_played", "home_won_l5", "home_elo", "away_elo", "season_opener", "usable"))
+
+
 _SLATE = f"""slate AS (SELECT game_id, home_id, away_id FROM matches WHERE season = {SEASON} AND game_date >= DATE '{DAY}'),
 last AS (SELECT team_id, max(game_date) AS d FROM sides WHERE game_date < DATE '{DAY}' GROUP BY team_id),
 past AS (SELECT least(home_id, away_id) AS a, greatest(home_id, away_id) AS b, home_win,

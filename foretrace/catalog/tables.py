@@ -223,14 +223,13 @@ def price_attach(v: Views):
     return rounded(J.attach_prices(v.preds, price_index(v)).select("game_id", "market_prob_home", "market_n_books"))
 
 
-@query("closing_fill", f"""WITH {_INDEX}, days AS (SELECT DISTINCT game_date FROM preds
-  WHERE closing_prob_home IS NULL AND actual_home_win IS NOT NULL ORDER BY game_date DESC LIMIT 60)
-SELECT p.game_id, {r("coalesce(p.closing_prob_home, CASE WHEN d.game_date IS NOT NULL THEN c.market_prob_home END)", "closing_prob_home")}
-FROM preds p LEFT JOIN days d ON p.game_date = d.game_date
-LEFT JOIN price c ON p.game_date = c.game_date AND p.home_id = c.home_id AND p.away_id = c.away_id""")
+@query("closing_fill", f"""WITH {_INDEX}
+SELECT p.game_id, {r("coalesce(p.closing_prob_home, CASE WHEN actual_home_win IS NOT NULL THEN c.market_prob_home END)", "closing_prob_home")},
+  CASE WHEN p.closing_prob_home IS NULL AND actual_home_win IS NOT NULL THEN c.market_n_books END AS closing_n_books
+FROM preds p LEFT JOIN price c ON p.game_date = c.game_date AND p.home_id = c.home_id AND p.away_id = c.away_id""")
 def closing_fill(v: Views):
-    """Closing prices filled where missing, newest sixty open dates."""
-    return rounded(J.fill_closing(v.preds, price_index(v)).select("game_id", "closing_prob_home"))
+    """Closing prices of all played games filled where missing, with their books."""
+    return rounded(J.fill_closing(v.preds, price_index(v)).select("game_id", "closing_prob_home", "closing_n_books"))
 
 
 @query("odds_match", """WITH o AS (SELECT q.game_id AS odds_id, book, m.game_date, m.home_id, CASE WHEN q.game_id % 10 = 0 THEN -1 ELSE m.away_id END AS away_id

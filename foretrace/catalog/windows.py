@@ -8,7 +8,7 @@ from foretrace.catalog.registry import query, r, rounded
 from foretrace.functions import scalars as S
 from foretrace.operators import facts as X
 from foretrace.operators import features as Y
-from foretrace.operators.history import Rolling, first_per_group, games_before, snapshot_next, tail_mean, with_history
+from foretrace.operators.history import Previous, Recent, Rolling, first_per_group, games_before, snapshot_next, tail_mean, with_history
 from foretrace.sources.views import Views
 
 ID = "game_id, team_id"
@@ -41,15 +41,64 @@ def _ewm_sql(stat: str) -> str:
              f"sum(CASE WHEN {stat} IS NOT NULL THEN power(2.0, rn / 7.0) END) {over}", f"{stat}_ewm7")
 
 
-@query("ewm_prev", f"""
+_EWM_SQL = f"""
 WITH numbered AS (SELECT *, row_number() OVER ({W1}) AS rn FROM facts)
-SELECT game_id, team_id, {", ".join(_ewm_sql(s) for s in Y.FORM_STATS)} FROM numbered""")
+SELECT game_id, team_id, {", ".join(_ewm_sql(s) for s in Y.FORM_STATS)} FROM numbered"""
+
+
+@query("ewm_prev", _EWM_SQL)
 def ewm_prev(v: Views):
     """Exponentially weighted means with a half-life of seven games."""
     out = with_history(team_facts(v), Y.BY_SEASON, Y.IN_SEASON, Y.decayed(Y.FORM_STATS), v.match_bound)
     return rounded(out.select("game_id", "team_id", *[f"{s}_ewm7" for s in Y.FORM_STATS]))
 
 
+# The same results with histories cut into chunks, as keys above the split size are.
+SPLIT = 40
+
+
+def _chunk(v: Views) -> int:
+    return max(200, v.rows("orders") // 4)
+
+
+@query("rolling_split", _ROLL_SQL)
+def rolling_split(v: Views):
+    """Rolling means of team stats with every long history cut into chunks."""
+    out = with_history(team_facts(v), Y.BY_SEASON, Y.IN_SEASON, Y.rolling(Y.TEAM_STATS, Y.TEAM_WINDOWS), v.sides, SPLIT, _chunk(v))
+    return rounded(out.select("game_id", "team_id", *Y.rolling_columns(Y.TEAM_STATS, Y.TEAM_WINDOWS)))
+
+
+@query("ewm_split", _EWM_SQL)
+def ewm_split(v: Views):
+    """Exponentially weighted means with every long history cut into chunks."""
+    out = with_history(team_facts(v), Y.BY_SEASON, Y.IN_SEASON, Y.decayed(Y.FORM_STATS), v.sides, SPLIT, _chunk(v))
+    return rounded(out.select("game_id", "team_id", *[f"{s}_ewm7" for s in Y.FORM_STATS]))
+
+
+_LEGS = "OVER (PARTITION BY team_id ORDER BY game_date, game_id ROWS BETWEEN {} PRECEDING AND 1 PRECEDING)"
+
+
+@query("previous_split", "SELECT game_id, team_id, lag(game_date) OVER (PARTITION BY team_id ORDER BY game_date, game_id) AS prev_date FROM sides")
+def previous_split(v: Views):
+    """The previous game's date with histories cut into chunks."""
+    return with_history(v.sides, ["team_id"], ["game_date", "game_id"], [Previous("prev_date", "game_date")], None, SPLIT, _chunk(v)).select(
+        "game_id", "team_id", "prev_date")
+
+
+@query("recent_split", f"""SELECT game_id, team_id, count(won) {_LEGS.format(7)} AS n_recent, {r(f"coalesce(sum(won) {_LEGS.format(7)}, 0)", "sum_recent")} FROM sides""")
+def recent_split(v: Views):
+    """The results of the last seven games with histories cut into chunks."""
+    out = with_history(v.sides, ["team_id"], ["game_date", "game_id"], [Recent("recent", "won", 7)], None, SPLIT, _chunk(v))
+    total = F.aggregate("recent", F.lit(0.0), lambda a, x: a + x)
+    return rounded(out.select("game_id", "team_id", F.size("recent").cast("bigint").alias("n_recent"), total.alias("sum_recent")))
+
+
+@query("total_split", f"SELECT game_id, team_id, row_number() OVER ({W1}) - 1 AS games_played FROM sides")
+def total_split(v: Views):
+    """Games played before with histories cut into chunks."""
+    return with_history(v.sides, Y.BY_SEASON, Y.IN_SEASON, [games_before()], None, SPLIT, _chunk(v)).select("game_id", "team_id", "games_played")
+
+
 @query("rolling_masked", "SELECT game_id, team_id, " + ", ".join(
     _avg(f"{s}_{label}", 10, W1, f"CASE WHEN is_home = {flag} THEN {s} END")
     for flag, label in (("TRUE", "home"), ("FALSE", "away")) for s in Y.FORM_STATS) + " FROM facts")
@@ -100,6 +149,16 @@ def rolling_no_reset(v: Views):
         "game_id", "team_id", "goalie_id", *Y.rolling_columns(Y.GOALIE_FORM_STATS, Y.GOALIE_FORM_WINDOWS)))
 
 
+@query("career_split", "SELECT game_id, team_id, goalie_id, " + ", ".join(
+    _avg(s, w, CAREER_SQL.format(key="goalie_id")) for s in Y.GOALIE_FORM_STATS for w in Y.GOALIE_FORM_WINDOWS)
+    + " FROM goalie_games WHERE is_starter")
+def career_split(v: Views):
+    """Goalie form across seasons with careers cut into chunks."""
+    form = Y.rolling(Y.GOALIE_FORM_STATS, Y.GOALIE_FORM_WINDOWS)
+    out = with_history(X.goalie_games(v.shots).where("is_starter"), ["goalie_id"], Y.CAREER, form, None, SPLIT, _chunk(v))
+    return rounded(out.select("game_id", "team_id", "goalie_id", *[f.name for f in form]))
+
+
 @query("player_rolling", "SELECT game_id, player_id, " + ", ".join(
     _avg(s, w, CAREER_SQL.format(key="player_id"), digits=9) for s in Y.PLAYER_STATS for w in Y.PLAYER_WINDOWS)
     + f", row_number() OVER ({CAREER_SQL.format(key='player_id')}) - 1 AS games_played FROM player_games")

@@ -27,12 +27,12 @@ FORM_STATS = ["xgf_pct", "xgf_pct_5v5", "cf_pct", "sf_pct", "goals_for", "goals_
 HALF_LIFE = 7
 VENUE_WINDOW = 10
 GOALIE_FORM_STATS, GOALIE_FORM_WINDOWS = ["save_pct", "gsax"], [5, 10]
-GOALIE_PROP_STATS = ["shots_against", "saves", "save_pct", "gsax", "xg_against"]
+GOALIE_PROP_STATS = ["saves", "shots_against", "save_pct", "gsax", "xg_against"]
 GOALIE_PROP_WINDOWS = [5, 10, 20]
 PLAYER_STATS, PLAYER_WINDOWS = ["sog", "xg", "shot_attempts", "xg_per_attempt"], [10, 20]
 SPECIAL_STATS = ["pp_goals", "pp_xg", "pp_shots", "pk_goals_against", "pk_xg_against", "pk_shots_against"]
 SPECIAL_WINDOWS = [10, 20]
-STRENGTH_STATS = ["won", "xgf_pct", "cf_pct", "goal_diff"]
+STRENGTH_STATS = ["xgf_pct", "cf_pct", "won", "goal_diff"]
 STRENGTH_WINDOW, STRENGTH_MIN = 20, 3
 STRONG_ELO = 1500.0
 DEFAULT_REST = 2

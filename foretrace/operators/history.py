@@ -9,8 +9,8 @@ therefore counts rows per key and handles any key above ``SPLIT_ROWS`` another
 way: its rows are range-partitioned by (key, order) into even chunks, each
 chunk receives copies of the few rows that precede it (the halo a bounded frame
 can reach) and the running totals of the chunks before it. The result is the
-same; no task ever sees more than a chunk. The side tables that are broadcast
-hold at most two rows per chunk.
+same; no task ever sees more than a chunk. The side tables hold at most two
+rows per chunk and are broadcast only if they are measured to be small.
 """
 
 from __future__ import annotations
@@ -22,12 +22,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foretrace.session import pin
+from foretrace.session import bounded, pin
 
 SPLIT_ROWS = 4_000_000
 CHUNK_ROWS = 1_000_000
-MAX_CHUNKS = 20_000
-# Weights older than this many half-lives fall below double precision.
+# A row this many half-lives back weighs 2**-64 of the newest: below double
+# precision unless values differ by more than about 2**11 in size.
 DECAY_HALF_LIVES = 64
 # Decay weights grow to 2**(DECAY_BLOCK_HALF_LIVES) inside a block.
 DECAY_BLOCK_HALF_LIVES = 512
@@ -123,14 +123,14 @@ def with_history(
     if not summary["n"]:
         return _in_windows(df, keys, order, features)
     # At most total_rows / split_rows keys can be hot.
-    hot = pin(counts.select(*keys))
+    hot = counts.select(*keys)
     match = [F.col(f"d.{k}").eqNullSafe(F.col(f"h.{k}")) for k in keys]
     condition = match[0]
     for extra in match[1:]:
         condition = condition & extra
-    left, right = df.alias("d"), F.broadcast(hot.alias("h"))
+    left, right = df.alias("d"), bounded(hot).alias("h")
     calm = _in_windows(left.join(right, condition, "left_anti"), keys, order, features)
-    chunks = min(MAX_CHUNKS, max(2, math.ceil(summary["rows"] / chunk_rows)))
+    chunks = max(2, math.ceil(summary["rows"] / chunk_rows))
     split = _in_chunks(left.join(right, condition, "left_semi"), keys, order, features, chunks)
     return calm.unionByName(split)
 
@@ -249,7 +249,7 @@ def _in_chunks(df, keys, order, features, chunks: int) -> DataFrame:
     tails = rows.withColumn("_back", F.row_number().over(back)).where(F.col("_back") <= reach)
     side = sizes.select(*by_chunk, end.alias("_end"), "_ahead").where(F.size("_ahead") > 0)
     halo = (
-        tails.join(F.broadcast(side), by_chunk)
+        tails.join(bounded(side), by_chunk)
         .select(*[c for c in base], F.col("_back"), F.col("_end"), F.explode("_ahead").alias("_to"))
         .where(F.col("_back") - 1 + F.col("_to.start") - F.col("_end") < reach)
         .select(*base, F.col("_to.chunk").alias(_CHUNK), F.lit(True).alias(_HALO))
@@ -272,7 +272,7 @@ def _in_chunks(df, keys, order, features, chunks: int) -> DataFrame:
         ])
         carry = carry.join(newest, by_chunk)
     if totals or decayed:
-        out = out.join(F.broadcast(carry), by_chunk, "left")
+        out = out.join(bounded(carry), by_chunk, "left")
     final = []
     for f in features:
         if isinstance(f, Total):

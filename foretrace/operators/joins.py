@@ -16,8 +16,6 @@ from foretrace.functions.odds import fair_pair, mean_half_even
 from foretrace.operators.history import first_per_group
 from foretrace.sources.merge import newest, oldest
 
-CLOSING_DATES = 60
-
 
 def home_away(rows: DataFrame, columns: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
     """Two team rows to one game row with ``home_*``, ``away_*`` and ``diff_*``.
@@ -39,13 +37,15 @@ def home_away(rows: DataFrame, columns: Sequence[str], carry: Sequence[str] = ()
 
 
 def attach_sides(games: DataFrame, features: DataFrame, columns: Sequence[str], prefix: str = "",
-                 diff: bool = True) -> DataFrame:
+                 diff: bool = True, sides: DataFrame | None = None) -> DataFrame:
     """Left-join per-(game, team) features to both sides of each game.
 
     The features are pivoted to one row per game first, so they are computed
     and shuffled once; the join then finds both inputs partitioned by game.
+    ``sides`` tells the teams of a game where that is cheaper than ``games``.
     """
-    keyed = features.select("game_id", "team_id", *columns).join(games.select("game_id", "home_id", "away_id"), "game_id")
+    teams = (games if sides is None else sides).select("game_id", "home_id", "away_id")
+    keyed = features.select("game_id", "team_id", *columns).join(teams, "game_id")
     wide = keyed.groupBy("game_id").agg(*[
         F.expr(f"max(CASE WHEN team_id = {side}_id THEN {c} END) AS {side}_{prefix}{c}")
         for side in ("home", "away") for c in columns])
@@ -157,16 +157,16 @@ def attach_prices(preds: DataFrame, index: DataFrame) -> DataFrame:
     return preds.select(*keep).join(index, ["game_date", "home_id", "away_id"], "left")
 
 
-def fill_closing(log: DataFrame, index: DataFrame, max_dates: int = CLOSING_DATES) -> DataFrame:
-    """Fill missing closing prices of played rows on the newest open dates."""
+def fill_closing(log: DataFrame, index: DataFrame) -> DataFrame:
+    """Fill the missing closing price of every played row, and how many books made it."""
+    if "closing_n_books" not in log.columns:
+        log = log.withColumn("closing_n_books", F.lit(None).cast("bigint"))
     open_row = F.col("closing_prob_home").isNull() & F.col("actual_home_win").isNotNull()
-    days = log.where(open_row).select("game_date").distinct().orderBy(F.desc("game_date")).limit(max_dates)
-    fresh = index.join(days, "game_date", "left_semi").select(
-        "game_date", "home_id", "away_id", F.col("market_prob_home").alias("_close"))
+    fresh = index.select("game_date", "home_id", "away_id", F.col("market_prob_home").alias("_close"), F.col("market_n_books").alias("_books"))
     joined = log.join(fresh, ["game_date", "home_id", "away_id"], "left")
-    return joined.select(*[
-        F.coalesce("closing_prob_home", "_close").alias(c) if c == "closing_prob_home" else F.col(c)
-        for c in log.columns])
+    filled = {"closing_prob_home": "_close", "closing_n_books": "_books"}
+    fill = open_row & F.col("_close").isNotNull()
+    return joined.select(*[F.when(fill, F.col(filled[c])).otherwise(F.col(c)).alias(c) if c in filled else F.col(c) for c in log.columns])
 
 
 def match_odds(odds: DataFrame, matches: DataFrame) -> tuple[DataFrame, DataFrame]:

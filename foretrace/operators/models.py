@@ -27,6 +27,8 @@ from foretrace.session import bounded, pin
 # Identifiers and targets that are never features.
 NOT_FEATURES = ["game_id", "season", "game_date", "game_num", "game_type", "league", "home_id", "away_id", "target",
                 "home_win", "team_id", "player_id", "goalie_id"]
+# How far a season has come says nothing about strength.
+EXCLUDED = ["home_games_played", "away_games_played", "diff_games_played"]
 FOREST = {"numTrees": 200, "maxDepth": 6, "minInstancesPerNode": 20, "featureSubsetStrategy": "sqrt", "seed": 42}
 BOOST_DEPTH_FIRST = {"maxIter": 60, "maxDepth": 3, "stepSize": 0.05, "subsamplingRate": 0.8, "seed": 42}
 BOOST_SHALLOW = {"maxIter": 80, "maxDepth": 2, "stepSize": 0.05, "subsamplingRate": 0.8, "seed": 42}
@@ -44,8 +46,8 @@ def season_ages(rows: DataFrame) -> DataFrame:
         "season", (F.row_number().over(Window.orderBy(F.desc("season"))) - 1).cast("bigint").alias("age"))
 
 
-def feature_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
-    """Numeric columns that are neither identifiers nor targets."""
+def feature_columns(df: DataFrame, exclude: Sequence[str] = EXCLUDED) -> list[str]:
+    """Numeric columns that are neither identifiers, targets nor excluded."""
     numeric = {"double", "float", "int", "bigint", "smallint"}
     skip = {*NOT_FEATURES, *exclude}
     return [c for c, t in df.dtypes if t in numeric and c not in skip]

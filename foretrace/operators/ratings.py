@@ -58,11 +58,11 @@ def _by_league(games: DataFrame) -> DataFrame:
 
 
 class _League:
-    """Ratings of one league for one or more parameter sets."""
+    """Ratings of one league for one or more parameter sets: plain numbers for one set, arrays for several."""
 
     def __init__(self, params: Sequence[EloParams]):
         self.k, self.home, self.regress, self.ot, self.start = (
-            np.array([getattr(p, n) for p in params])
+            float(getattr(params[0], n)) if len(params) == 1 else np.array([getattr(p, n) for p in params])
             for n in ("k_factor", "home_advantage", "season_regress", "ot_win_value", "initial"))
         self.ratings: dict = {}
         self.season = None
@@ -97,7 +97,7 @@ def _replay(params: EloParams):
             teams = list(league.ratings)
             return pd.DataFrame({
                 "kind": "final", "league": name, "season": league.season, "game_id": None, "team_id": teams,
-                "home_elo": [float(league.ratings[t][0]) for t in teams], "away_elo": None})
+                "home_elo": [league.ratings[t] for t in teams], "away_elo": None})
 
         for batch in batches:
             out, done = [], []
@@ -108,7 +108,7 @@ def _replay(params: EloParams):
                     league, name = _League([params]), lg
                 league.enter(season)
                 h, a = league.pair(home, away)
-                out.append((lg, season, game, float(h[0]), float(a[0])))
+                out.append((lg, season, game, h, a))
                 if win == win and win is not None:
                     league.play(home, away, win, overtime)
             rows = pd.DataFrame(out, columns=["league", "season", "game_id", "home_elo", "away_elo"])

@@ -17,8 +17,9 @@ GOALIE = Y.rolling_columns(Y.GOALIE_FORM_STATS, Y.GOALIE_FORM_WINDOWS)
 SPECIAL = Y.rolling_columns(Y.SPECIAL_STATS, Y.SPECIAL_WINDOWS)
 SOG_OWN = [*Y.rolling_columns(Y.PLAYER_STATS, Y.PLAYER_WINDOWS)]
 OPP_DEFENCE = ["sf_pct_l20", "xg_against_l20", "hd_chances_against_l20"]
-OWN_TEAM = ["xg_against_l20", "sf_pct_l20"]
-OPP_TEAM = ["xg_for_l20", "sf_pct_l20", "goals_for_l20"]
+# Team context of the saves model.
+OWN_TEAM = ["sf_pct_l20", "xg_against_l20", "hd_chances_against_l20"]
+OPP_TEAM = ["xg_for_l20", "hd_chances_for_l20", "sf_pct_l20"]
 MIN_STARTS = 5
 
 
@@ -33,8 +34,10 @@ def feature_matrix(shots: DataFrame, matches: DataFrame, sides: DataFrame, group
 
     ``groups`` maps teams to divisions. The rating chain is pinned once and
     serves both the ratings and the opponent strength. Team and strength
-    windows share their partitioning, so they run in the same stage.
+    windows share their partitioning, so they run in the same stage. Shots are
+    joined to their games once and written out; the three fact tables read that.
     """
+    shots = pin(shots)
     replayed = pin(R.elo_pass(matches, params)) if replayed is None else replayed
     elo = R.pregame(replayed)
     facts = X.team_games(shots, matches.select("game_id", "home_win"))
@@ -52,9 +55,9 @@ def feature_matrix(shots: DataFrame, matches: DataFrame, sides: DataFrame, group
     if groups is not None:
         base = base.join(Y.group_flags(matches, groups).select("game_id", "same_division", "same_conference"), "game_id", "left")
     goalies = Y.goalie_form(X.goalie_games(shots), shot_bound)
-    base = J.attach_sides(base, goalies, GOALIE, prefix="g_", diff=False)
+    base = J.attach_sides(base, goalies, GOALIE, prefix="g_", diff=False, sides=matches)
     special = Y.special_features(X.special_teams(shots), row_bound)
-    base = J.attach_sides(base, special, SPECIAL, prefix="st_")
+    base = J.attach_sides(base, special, SPECIAL, prefix="st_", sides=matches)
     return base.join(elo, "game_id", "left").where(F.col("target").isNotNull())
 
 

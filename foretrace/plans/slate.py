@@ -74,9 +74,12 @@ def slate_features(slate: DataFrame, snapshots: dict[str, tuple[DataFrame, list[
 
 
 def team_snapshots(shots: DataFrame, matches: DataFrame, season: int, replayed: DataFrame, row_bound: int | None = None,
-                   shot_bound: int | None = None) -> dict[str, tuple[DataFrame, list[str]]]:
+                   shot_bound: int | None = None, teams: DataFrame | None = None) -> dict[str, tuple[DataFrame, list[str]]]:
     """Next-event features of every family, from the functions that train.
 
+    ``teams`` (team_id) are those of the slate: one that hasn't played this
+    season yet gets a row without form and with no games played.
+
     Families that restart each season read that season only; goalie form and
     ratings read the whole history. ``shots`` and ``matches`` hold what was
     played before the slate; ``replayed`` is their pinned rating pass.
@@ -89,7 +92,7 @@ def team_snapshots(shots: DataFrame, matches: DataFrame, season: int, replayed:
         names = [f.name for f in features]
         build = lambda h: with_history(h, ["team_id"], Y.IN_SEASON, features, row_bound)
         # One row per team, read once per side: written out rather than rolled twice.
-        return pin(snapshot_next(build, history, None, "team_id", Y.IN_SEASON, names)), names
+        return pin(snapshot_next(build, history, teams, "team_id", Y.IN_SEASON, names)), names
 
     team = team_family(strong, [*Y.team_feature_list(), *Y.strength_feature_list()])
     special = team_family(X.special_teams(shots.where(now)), Y.rolling(Y.SPECIAL_STATS, Y.SPECIAL_WINDOWS))
@@ -109,7 +112,8 @@ def slate_matrix(slate: DataFrame, shots: DataFrame, matches: DataFrame, sides:
     past = F.col("game_date") < day
     played, seen, legs = matches.where(past), shots.where(past), sides.where(past)
     replayed = pin(R.elo_pass(played, params))
-    snapshots = team_snapshots(seen, played, season, replayed, row_bound, shot_bound)
+    teams = slate.select(F.col("home_id").alias("team_id")).unionByName(slate.select(F.col("away_id").alias("team_id")))
+    snapshots = team_snapshots(seen, played, season, replayed, row_bound, shot_bound, teams)
     rows = slate_features(slate, snapshots)
     rows = slate_context(rows, legs, played, day, opener)
     if groups is not None:

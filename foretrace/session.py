@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import sys
 import tempfile
 import uuid
@@ -16,8 +17,9 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, for checkpoints and landed tables.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset
-    (local tests) a temporary folder stands in.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, a
+    local session gets a temporary folder; on a cluster it is an error, since
+    other machines couldn't read such a folder.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -26,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="foretrace-"))
         current = spark.sparkContext.getCheckpointDir()
     return current
@@ -50,18 +54,20 @@ def pin(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 8 << 20
 
 
-def bounded(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a small aggregate after counting it; leave a large one to AQE.
+def bounded(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast a small aggregate after measuring it; leave a large one to AQE.
 
     Meant for lookups keyed by few values (seasons, folds): shuffling the large
     side on such a key would pile it onto a few tasks. The table is pinned, so
     it is computed once.
     """
     table = pin(df)
-    return F.broadcast(table) if table.count() <= limit else table
+    wide = [F.coalesce(F.sum(F.octet_length(F.col(c).cast("string"))), F.lit(0)) for c, t in table.dtypes if t in ("string", "binary") or "<" in t]
+    size = table.agg(F.count("*").alias("rows"), sum(wide, F.lit(0)).alias("bytes")).first()
+    return F.broadcast(table) if size["rows"] * 8 * (1 + len(table.columns)) + size["bytes"] <= limit else table
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
