@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from foretrace.llm.common import replacing, word_count
 
 EPOCHS = 2
-ROWS_PER_BUCKET = 20_000
+ROWS_PER_BUCKET = 5_000
 # One word with the white space before it.
 SPACED_WORD = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"
 
