@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foretrace.llm.common import SPACES, bound, replacing, without, words
+from foretrace.session import bounded
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -90,27 +91,33 @@ def line_words(line: Column) -> Column:
     return F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))
 
 
-def distinct_texts(docs: DataFrame, text: str, host: str) -> DataFrame:
-    """(host, digest, lines) of each distinct text of a host; lines are pairs of key and words."""
+def keyed_lines(docs: DataFrame, text: str, host: str) -> DataFrame:
+    """(host, digest, lines) of each row; lines are pairs of key and words."""
     lines = F.transform(lines_with_words(F.col(text)), lambda x: F.struct(line_key(x).alias("key"), line_words(x).alias("n")))
     return docs.where(F.col(text).isNotNull()).select(
-        F.col(host).alias("host"), F.md5(F.col(text).cast("binary")).alias("digest"), lines.alias("lines"),
-    ).groupBy("host", "digest").agg(F.first("lines").alias("lines"))
+        F.col(host).alias("host"), F.md5(F.col(text).cast("binary")).alias("digest"), lines.alias("lines"))
+
+
+def distinct_texts(docs: DataFrame, text: str, host: str) -> DataFrame:
+    """(host, digest, keys) of each distinct text of a host, with its lines' distinct keys."""
+    rows = keyed_lines(docs, text, host).select("host", "digest", F.array_distinct(F.col("lines.key")).alias("keys"))
+    return rows.groupBy("host", "digest").agg(F.first("keys").alias("keys"))
 
 
 def frequent_lines(texts: DataFrame, least: int = LINE_DOCUMENTS, percent: int = LINE_PERCENT) -> DataFrame:
     """(host, key) of lines above both limits."""
-    counted = texts.select("host", F.explode(F.array_distinct(F.col("lines.key"))).alias("key")).groupBy("host", "key").agg(F.count("*").alias("n"))
+    counted = texts.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count("*").alias("n"))
     hosts = texts.groupBy("host").agg(F.count("*").alias("texts"))
     over = counted.where(F.col("n") > least).alias("l").join(hosts.alias("h"), F.expr("l.host <=> h.host"))
     return over.where(100 * F.col("n") > percent * F.col("texts")).select("l.host", "l.key")
 
 
-def removed_lines(texts: DataFrame, frequent: DataFrame) -> DataFrame:
-    """(host, digest, removed_keys, removed_words) of texts that lose lines."""
-    held = texts.select("host", "digest", F.inline("lines")).alias("t")
+def removed_lines(docs: DataFrame, text: str, host: str, frequent: DataFrame) -> DataFrame:
+    """(host, digest, removed_keys, removed_words) of texts that lose lines; lines of copies meet at their place."""
+    held = keyed_lines(docs, text, host).select("host", "digest", F.posexplode("lines").alias("place", "line")).select("host", "digest", "place", "line.*").alias("t")
     hit = held.join(frequent.alias("f"), F.expr("t.host <=> f.host AND t.key = f.key"))
-    return hit.groupBy("t.host", "t.digest").agg(F.collect_set("t.key").alias("removed_keys"), F.sum("t.n").cast("long").alias("removed_words"))
+    once = hit.groupBy("t.host", "t.digest", "t.place").agg(F.first("t.key").alias("key"), F.first("t.n").alias("n"))
+    return once.groupBy("host", "digest").agg(F.collect_set("key").alias("removed_keys"), F.sum("n").cast("long").alias("removed_words"))
 
 
 def judge(
@@ -118,8 +125,9 @@ def judge(
     least_left_percent: int = LEAST_LEFT_PERCENT,
 ) -> DataFrame:
     """``docs`` with the base measures, base_failed, removed_words, clean_text, depleted and kept."""
-    texts = distinct_texts(docs, text, host)
-    removed = removed_lines(texts, frequent_lines(texts, line_documents, line_percent))
+    # Counted once; broadcast only if it is small, else joined by shuffle.
+    frequent = bounded(frequent_lines(distinct_texts(docs, text, host), line_documents, line_percent))
+    removed = removed_lines(docs, text, host, frequent)
     measured = replacing(docs, _m=base_measures(F.col(text)), _d=F.md5(F.col(text).cast("binary"))).alias("d")
     joined = measured.join(removed.alias("r"), F.expr(f"d.`{host}` <=> r.host AND d._d = r.digest"), "left")
     results = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "clean_text", "depleted", "kept")
