@@ -51,7 +51,9 @@ def box_documents(v: Views):
     doc = F.concat(
         F.regexp_replace(head, r"\}$", ""), F.lit(',"playerByGameStats":{"homeTeam":'), home,
         F.lit(',"awayTeam":'), away, F.lit("}}"))
-    return v.shots.select("game_id", doc.alias("doc"))
+    # Building and parsing cost far more than the small rows they start from suggest: spread them first.
+    tasks = 2 * v.spark.sparkContext.defaultParallelism
+    return v.shots.repartition(tasks).select("game_id", doc.alias("doc"))
 
 
 _BOX_ID = "CAST(season * 1000000 + game_num AS VARCHAR) AS game_id, CAST(season AS VARCHAR) || '-' || CAST(season + 1 AS VARCHAR) AS season, (season * 1000000 + game_num) % 1000000 AS game_num"

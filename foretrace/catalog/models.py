@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foretrace.catalog.ratings import _CHAIN
-from foretrace.catalog.registry import query, r, rounded
+from foretrace.catalog.registry import RAW, query, r, rounded
 from foretrace.catalog.scalars import division_table
 from foretrace.catalog.windows import CAREER_SQL, W1, _avg, team_facts
 from foretrace.operators import features as Y
 from foretrace.operators import forecasts as C
 from foretrace.operators import models as M
 from foretrace.operators.history import with_history
+from foretrace.operators import scoring as E
 from foretrace.plans import matrix as A
-from foretrace.session import pin
+from foretrace.session import fresh_path, pin
 from foretrace.sources.views import Views
 
 
@@ -143,11 +144,13 @@ def feature_matrix(v: Views):
     return rounded(matrix_of(v).select("game_id", *_SHOWN))
 
 
-_MODEL_COLUMNS = ["diff_won_l5", "diff_xgf_pct_l10", "diff_goals_for_l10", "home_rest_days", "away_rest_days", "diff_elo"]
+_FORM = Y.rolling_columns(["won", "xgf_pct", "goals_for"], [5, 10])
+_MODEL_COLUMNS = [*[f"{side}_{c}" for side in ("home", "away", "diff") for c in _FORM], "home_rest_days", "away_rest_days", "home_back_to_back",
+                  "away_back_to_back", "rest_advantage", "season_day", "h2h_home_win_rate_l3", "home_elo", "away_elo", "diff_elo"]
 
 
 def model_rows(v: Views):
-    """A small matrix for the fits: form, rest and ratings."""
+    """The matrix columns that the fits use: form, rest and ratings."""
     from foretrace.operators import joins as J
     from foretrace.operators import ratings as R
 
@@ -161,6 +164,119 @@ def model_rows(v: Views):
     return pin(rows)
 
 
+def _split(v: Views):
+    """Rows before the newest season, and the newest season's."""
+    rows = model_rows(v)
+    newest = F.col("season") == v.newest_season
+    return rows.where(~newest), rows.where(newest)
+
+
+# Games that the fits see: both teams have facts.
+_PAIRED = "SELECT m.* FROM matches m WHERE game_id IN (SELECT game_id FROM facts GROUP BY game_id HAVING count(*) = 2)"
+_PAST, _NEWEST = (f"season {op} (SELECT max(season) FROM matches)" for op in ("<", "="))
+
+
+@query("logistic_identity", f"""SELECT count(home_win) AS n, {r('avg(home_win)', 'mean_target')}, TRUE AS calibrated FROM ({_PAIRED}) WHERE {_PAST}""")
+def logistic_identity(v: Views):
+    """With an intercept, a logistic fit's mean probability is the training rows' mean."""
+    train = _split(v)[0].where(F.col("target").isNotNull())
+    fitted = M.fit_classifier(train, _MODEL_COLUMNS, "logistic").score(train)
+    return rounded(fitted.agg(F.count("*").alias("n"), F.avg("target").alias("mean_target"), (F.abs(F.avg("prob") - F.avg("target")) < 1e-3).alias("calibrated")))
+
+
+@query("boosted_newest", f"SELECT count(*) AS n, TRUE AS in_range FROM ({_PAIRED}) WHERE {_NEWEST}")
+def boosted_newest(v: Views):
+    """Boosted trees fitted on the past score every game of the newest season."""
+    train, test = _split(v)
+    scored = M.fit_classifier(train, _MODEL_COLUMNS, "boost_shallow").score(test)
+    return scored.agg(F.count("prob").alias("n"), F.every((F.col("prob") >= 0) & (F.col("prob") <= 1)).alias("in_range"))
+
+
+@query("stacked_newest", f"SELECT count(*) AS n, TRUE AS in_range FROM ({_PAIRED}) WHERE {_NEWEST}")
+def stacked_newest(v: Views):
+    """A stack of two models over contiguous chunks scores every game of the newest season."""
+    train, test = _split(v)
+    scored = M.stack(train, test, _MODEL_COLUMNS, ["logistic", "forest"], ["season", "game_num", "game_id"])
+    return scored.agg(F.count("prob").alias("n"), F.every((F.col("prob") >= 0) & (F.col("prob") <= 1)).alias("in_range"))
+
+
+@query("saved_model_scores", f"SELECT count(*) AS n, count(*) AS n_same FROM ({_PAIRED}) WHERE {_NEWEST}")
+def saved_model_scores(v: Views):
+    """A saved and reloaded fit scores every row as before."""
+    train, test = _split(v)
+    fit, path = M.fit_classifier(train, _MODEL_COLUMNS, "logistic"), fresh_path(v.spark, "fit")
+    M.save_fit(fit, path)
+    again = M.load_fit(v.spark, path).score(test).select("game_id", F.col("prob").alias("again"))
+    both = fit.score(test).select("game_id", "prob").join(again, "game_id")
+    return both.agg(F.count("*").alias("n"), F.count_if(F.abs(F.col("prob") - F.col("again")) < 1e-12).alias("n_same"))
+
+
+_SIZES = [3, 8, 28]
+
+
+@query("feature_sweep", "SELECT unnest([3, 8, 28])::BIGINT AS size, TRUE AS scored")
+def feature_sweep(v: Views):
+    """Brier of the best features, ranked in the training seasons, by how many are used."""
+    train, test = _split(v)
+    out = M.select_features(train, test, _MODEL_COLUMNS, _SIZES, "logistic")
+    return v.spark.createDataFrame(out, "size bigint, brier double").select("size", F.col("brier").between(0, 1).alias("scored"))
+
+
+@query("search_best", "SELECT TRUE AS known_trees, TRUE AS known_depth, TRUE AS scored")
+def search_best(v: Views):
+    """Random search over forests on the fixed season split ends at a set of its space."""
+    space = {"numTrees": [10, 20], "maxDepth": [3, 5]}
+    params, score = M.random_search(model_rows(v), _MODEL_COLUMNS, "forest", space, 3)
+    return v.spark.createDataFrame([(params["numTrees"] in space["numTrees"], params["maxDepth"] in space["maxDepth"], 0 <= score <= 1)],
+                                   "known_trees boolean, known_depth boolean, scored boolean")
+
+
+@query("permutation_features", "SELECT unnest(['diff_elo', 'diff_won_l5', 'season_day']) AS feature, TRUE AS measured")
+def permutation_features(v: Views):
+    """Rise in Brier when a feature is shuffled, one row per feature."""
+    train, test = _split(v)
+    fit = M.fit_classifier(train, _MODEL_COLUMNS, "logistic")
+    rise = M.permutation_importance(fit, test, ["diff_elo", "diff_won_l5", "season_day"])
+    return rise.select("feature", F.col("brier_rise").between(-1, 1).alias("measured"))
+
+
+@query("metrics_log", f"SELECT run, model_name, season, n_test FROM ({RAW['fold_metrics']}) f, (VALUES ('first'), ('second')) t(run)")
+def metrics_log(v: Views):
+    """Fold metrics of two runs appended to one table."""
+    folds, path = E.fold_metrics(v.preds, ["model_name"], "season", v.rows("orders")), fresh_path(v.spark, "metrics")
+    for run in ("first", "second"):
+        M.log_metrics(folds, path, run)
+    return v.spark.read.parquet(path).select("run", "model_name", "season", "n_test")
+
+
+@query("counts_identity", f"""SELECT count(*) AS n, {r('avg(sog)', 'mean_sog')}, TRUE AS calibrated FROM ({RAW['sog_training']}) s JOIN matches m USING (game_id) WHERE {_NEWEST}""")
+def counts_identity(v: Views):
+    """After the drift factor, the mean forecast of the newest season is its actual mean."""
+    rows = pin(A.sog_training(v.shots, v.matches, team_context(v), None, v.shot_bound))
+    columns = [*A.SOG_OWN, *[f"opp_{c}" for c in A.OPP_DEFENCE]]
+    fit, _ = M.fit_counts(rows, columns, "sog")
+    newest = M.predict_counts(fit, rows.where(F.col("season") == v.newest_season))
+    return rounded(newest.agg(F.count("*").alias("n"), F.avg("sog").alias("mean_sog"), (F.abs(F.avg("pred") - F.avg("sog")) < 1e-6).alias("calibrated")))
+
+
+@query("refresh_counts", """SELECT 'results' AS name, count(*) AS n FROM matches WHERE game_state = 'OFF' AND home_win IS NOT NULL UNION ALL
+SELECT 'team_games', count(*) FROM facts UNION ALL SELECT 'player_games', count(*) FROM player_games UNION ALL SELECT 'goalie_games', count(*) FROM goalie_games UNION ALL
+SELECT 'ratings', count(*) FROM (SELECT DISTINCT league, team_id FROM sides) UNION ALL SELECT 'log', count(*) FROM preds UNION ALL
+SELECT 'lineups', 2 * count(*) FROM shots""")
+def refresh_counts(v: Views):
+    """Rows of every table that the daily refresh writes, the matrix aside."""
+    from foretrace.catalog.documents import box_documents
+    from foretrace.plans.refresh import refresh
+
+    results = v.matches.where("game_state = 'OFF' AND home_win IS NOT NULL").select("game_id", "season", "home_win")
+    paths = refresh(v.spark, fresh_path(v.spark, "refresh"), v.shots, v.matches, v.sides, results, division_table(v), v.preds, box_documents(v))
+    parts = [v.spark.read.parquet(p).agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, p in paths.items() if name != "matrix"]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 @query("logistic_walk_forward")
 def logistic_walk_forward(v: Views):
     """Out-of-sample logistic probabilities, scored per season."""
@@ -171,11 +287,10 @@ def logistic_walk_forward(v: Views):
 
 @query("calibrated_forest")
 def calibrated_forest(v: Views):
-    """A small forest calibrated on the newest part, scored on the newest season."""
-    rows = model_rows(v)
-    train, test = rows.where("season < 2001"), rows.where("season = 2001")
+    """A forest calibrated on the newest part, scored on the newest season."""
+    train, test = _split(v)
     older, newest = M.split_newest(train.where(F.col("target").isNotNull()), ["season", "game_num", "game_id"])
-    fit = M.calibrate(M.fit_classifier(older, _MODEL_COLUMNS, "forest", numTrees=20), newest)
+    fit = M.calibrate(M.fit_classifier(older, _MODEL_COLUMNS, "forest"), newest)
     return rounded(fit.score(test).select("game_id", "target", "prob"))
 
 

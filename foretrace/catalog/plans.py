@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from foretrace.catalog.models import _MODEL_COLUMNS, model_rows, team_context
 from foretrace.catalog.ratings import _CHAIN, _LAST
-from foretrace.catalog.registry import query, r, rounded
+from foretrace.catalog.registry import RAW, query, r, rounded
 from foretrace.catalog.scalars import division_table
 from foretrace.catalog.scores import _SUMMARY, scored
 from foretrace.catalog.tables import price_index
@@ -21,22 +21,23 @@ from foretrace.plans import slate as L
 from foretrace.session import pin
 from foretrace.sources.views import Views
 
-SEASON, DAY = 2001, "2001-05-01"
+# The slate is what is left of the newest season from the first of May on.
+SEASON = "(SELECT max(season) FROM matches)"
+DAY, OPENER = (f"make_date(CAST({SEASON} AS BIGINT), {m}, 1)" for m in (5, 1))
 
 
-def _day():
-    return F.lit(DAY).cast("date")
+def _day(v: Views, month: int = 5):
+    return F.lit(f"{v.newest_season}-{month:02d}-01").cast("date")
 
 
 def _slate(v: Views):
     """Every game still to be played in the season, from the cut-off day on."""
-    return v.matches.where((F.col("season") == SEASON) & (F.col("game_date") >= _day())).select(
+    return v.matches.where((F.col("season") == v.newest_season) & (F.col("game_date") >= _day(v))).select(
         "game_id", "season", "home_id", "away_id")
 
 
 def _slate_rows(v: Views):
-    opener = F.lit("2001-01-01").cast("date")
-    return L.slate_matrix(_slate(v), v.shots, v.matches, v.sides, SEASON, _day(), opener, row_bound=v.match_bound,
+    return L.slate_matrix(_slate(v), v.shots, v.matches, v.sides, v.newest_season, _day(v), _day(v, 1), row_bound=v.match_bound,
                           shot_bound=v.shot_bound, groups=division_table(v))
 
 
@@ -66,24 +67,24 @@ def slate_openers(v: Views):
     return rounded(guarded.select("game_id", "home_games_played", "away_games_played", "home_won_l5", "home_elo", "away_elo", "season_opener", "usable"))
 
 
-_SLATE = f"""slate AS (SELECT game_id, home_id, away_id FROM matches WHERE season = {SEASON} AND game_date >= DATE '{DAY}'),
-last AS (SELECT team_id, max(game_date) AS d FROM sides WHERE game_date < DATE '{DAY}' GROUP BY team_id),
+_SLATE = f"""slate AS (SELECT game_id, home_id, away_id FROM matches WHERE season = {SEASON} AND game_date >= {DAY}),
+last AS (SELECT team_id, max(game_date) AS d FROM sides WHERE game_date < {DAY} GROUP BY team_id),
 past AS (SELECT least(home_id, away_id) AS a, greatest(home_id, away_id) AS b, home_win,
   row_number() OVER (PARTITION BY least(home_id, away_id), greatest(home_id, away_id) ORDER BY game_date DESC, game_id DESC) AS k
-  FROM matches WHERE game_date < DATE '{DAY}'),
+  FROM matches WHERE game_date < {DAY}),
 rate AS (SELECT a, b, avg(home_win) AS w FROM past WHERE k <= 3 GROUP BY a, b)"""
 
 
 @query("slate_context", f"""WITH {_SLATE}
-SELECT s.game_id, CAST(date_diff('day', h.d, DATE '{DAY}') AS BIGINT) AS home_rest_days, CAST(date_diff('day', a.d, DATE '{DAY}') AS BIGINT) AS away_rest_days,
-  CAST(coalesce(date_diff('day', h.d, DATE '{DAY}') = 1, FALSE) AS BIGINT) AS home_back_to_back,
-  CAST(coalesce(date_diff('day', h.d, DATE '{DAY}'), 2) - coalesce(date_diff('day', a.d, DATE '{DAY}'), 2) AS BIGINT) AS rest_advantage,
-  CAST(120 AS BIGINT) AS season_day, {r('w', 'h2h_home_win_rate_l3')}
+SELECT s.game_id, CAST(date_diff('day', h.d, {DAY}) AS BIGINT) AS home_rest_days, CAST(date_diff('day', a.d, {DAY}) AS BIGINT) AS away_rest_days,
+  CAST(coalesce(date_diff('day', h.d, {DAY}) = 1, FALSE) AS BIGINT) AS home_back_to_back,
+  CAST(coalesce(date_diff('day', h.d, {DAY}), 2) - coalesce(date_diff('day', a.d, {DAY}), 2) AS BIGINT) AS rest_advantage,
+  CAST(date_diff('day', {OPENER}, {DAY}) AS BIGINT) AS season_day, {r('w', 'h2h_home_win_rate_l3')}
 FROM slate s LEFT JOIN last h ON s.home_id = h.team_id LEFT JOIN last a ON s.away_id = a.team_id
 LEFT JOIN rate ON rate.a = least(s.home_id, s.away_id) AND rate.b = greatest(s.home_id, s.away_id)""")
 def slate_context(v: Views):
     """Rest, season day and head-to-head of the scheduled games."""
-    out = L.slate_context(_slate(v), v.sides, v.matches, _day(), F.lit("2001-01-01").cast("date"))
+    out = L.slate_context(_slate(v), v.sides, v.matches, _day(v), _day(v, 1))
     return rounded(out.select("game_id", "home_rest_days", "away_rest_days", "home_back_to_back", "rest_advantage",
                               "season_day", "h2h_home_win_rate_l3"))
 
@@ -91,9 +92,9 @@ def slate_context(v: Views):
 @query("slate_scoring")
 def slate_scoring(v: Views):
     """Train on the past, score the scheduled games, guard, price and stamp."""
-    train = model_rows(v).where(F.col("season") < SEASON)
+    train = model_rows(v).where(F.col("season") < v.newest_season)
     fit = M.fit_classifier(train, _MODEL_COLUMNS, "logistic")
-    out = L.score_slate(_slate_rows(v), fit, v.matches.where("game_id % 2 = 0"), price_index(v), _day(), "logistic", F.lit(f"{DAY}T12:00:00Z"))
+    out = L.score_slate(_slate_rows(v), fit, v.matches.where("game_id % 2 = 0"), price_index(v), _day(v), "logistic", F.lit(f"{v.newest_season}-05-01T12:00:00Z"))
     return rounded(out.select("game_id", "model_name", "prob_home_win", "market_prob_home", "feature_coverage", "season_opener"))
 
 
@@ -104,7 +105,7 @@ def player_projections(v: Views):
     rows = pin(A.sog_training(v.shots, v.matches, context, None, v.shot_bound))
     columns = [*A.SOG_OWN, *[f"opp_{c}" for c in A.OPP_DEFENCE]]
     fit, _ = M.fit_counts(rows, columns, "sog")
-    slate = v.sides.where(F.col("season") == SEASON).groupBy("team_id").agg(
+    slate = v.sides.where(F.col("season") == v.newest_season).groupBy("team_id").agg(
         F.max_by("opp_id", F.struct("game_num", "game_id")).alias("opp_id"))
     players = X.player_games(v.shots)
     roster = players.select("player_id", "team_id").distinct().join(slate, "team_id").withColumn(
@@ -126,14 +127,15 @@ def goalie_projections(v: Views):
     fit, _ = M.fit_counts(rows, columns, "saves")
     fitted = M.predict_counts(fit, rows).select(F.col("saves").cast("double").alias("y"), "pred")
     dispersion = C.nb_dispersion(fitted).first()[0]
-    slate = v.sides.where(F.col("season") == SEASON).groupBy("team_id").agg(
+    slate = v.sides.where(F.col("season") == v.newest_season).groupBy("team_id").agg(
         F.max_by(F.struct("opp_id", "is_home"), F.struct("game_num", "game_id")).alias("g")).select(
         "team_id", "g.opp_id", F.col("g.is_home").cast("double").alias("is_home"))
     newest = context.groupBy("team_id").agg(
         *[F.max_by(c, F.struct(*Y.CAREER)).alias(f"own_{c}") for c in A.OWN_TEAM],
         *[F.max_by(c, F.struct(*Y.CAREER)).alias(f"opp_{c}") for c in A.OPP_TEAM])
-    out = P.saves_projections(X.goalie_games(v.shots), slate, newest, fit, [0.5, 1.5, 2.5], dispersion, row_bound=v.shot_bound)
-    return rounded(out.select("goalie_id", "team_id", "opp_id", "starts", "starter_basis", "expected", "p_over_0_5", "p_over_1_5", "p_over_2_5"))
+    factor = P.in_season_factor(fit, rows, "saves", v.newest_season)
+    out = P.saves_projections(X.goalie_games(v.shots), slate, newest, fit, [0.5, 1.5, 2.5], dispersion, factor, row_bound=v.shot_bound)
+    return rounded(out.select("goalie_id", "team_id", "opp_id", "starts", "starter_basis", "in_season_factor", "expected", "p_over_0_5", "p_over_1_5", "p_over_2_5"))
 
 
 @query("history_report", f"SELECT model_name, {_SUMMARY} FROM scored GROUP BY model_name")
@@ -142,12 +144,63 @@ def history_report(v: Views):
     return rounded(R.history_report(scored(v), ["game_date", "game_id"])["summary"])
 
 
+def _by_model(name: str) -> str:
+    """The SQL of a report per model."""
+    sql = RAW[name].replace("SELECT ", "SELECT model_name, ")
+    return sql.replace("GROUP BY 1", "GROUP BY ALL") if "GROUP BY 1" in sql else f"{sql} GROUP BY ALL"
+
+
+def _history(part: str):
+    def run(v: Views):
+        return rounded(R.history_report(scored(v), ["game_date", "game_id"])[part])
+
+    run.__doc__ = f"The {part} part of the history report."
+    return run
+
+
+for _part, _sql in {
+    "by_season": f"SELECT model_name, season, {_SUMMARY} FROM scored GROUP BY model_name, season", "calibration": _by_model("calibration_table"),
+    "tiers": _by_model("tier_breakdown"), "market": _by_model("market_comparison"), "edges": _by_model("edge_realization"),
+    "clv": _by_model("clv_summary"), "recent": RAW["recent_form"], "coverage": RAW["coverage_stats"],
+}.items():
+    query(f"history_{_part}", _sql)(_history(_part))
+
+
+def _edge_frames(v: Views):
+    newest = F.col("season") == v.newest_season
+    return v.preds.where(newest), scored(v).where(~newest)
+
+
+@query("edge_report_edges", RAW["edge_ranking"] + f" AND season = {SEASON}")
+def edge_report_edges(v: Views):
+    """The ranked edges of the edge report."""
+    return rounded(R.edge_report(*_edge_frames(v))["edges"])
+
+
+@query("edge_report_realization", RAW["edge_realization"].replace("GROUP BY 1", f"AND season < {SEASON} GROUP BY 1"))
+def edge_report_realization(v: Views):
+    """What earlier edges of the edge report came to."""
+    return rounded(R.edge_report(*_edge_frames(v))["realization"])
+
+
+@query("night_games", RAW["day_report"])
+def night_games(v: Views):
+    """Every pick of the newest played night, from the day report."""
+    return rounded(R.day_report(scored(v))["games"])
+
+
+@query("night_market", RAW["market_comparison"] + " AND game_date = (SELECT max(game_date) FROM scored WHERE actual_home_win IS NOT NULL)")
+def night_market(v: Views):
+    """Model and market on the newest played night."""
+    return rounded(R.day_report(scored(v))["market"])
+
+
 @query("edge_report", f"""SELECT count(*) AS n, {r("avg(CASE WHEN prob_home_win >= 0.5 THEN closing_prob_home - market_prob_home ELSE market_prob_home - closing_prob_home END)", "mean_clv")},
   {r("avg(CAST(CASE WHEN prob_home_win >= 0.5 THEN closing_prob_home - market_prob_home ELSE market_prob_home - closing_prob_home END > 0 AS DOUBLE))", "beat_close_rate")}
   FROM scored WHERE actual_home_win IS NOT NULL AND closing_prob_home IS NOT NULL AND market_prob_home IS NOT NULL AND season < {SEASON}""")
 def edge_report(v: Views):
     """What earlier edges were worth, beside tonight's ranking."""
-    return rounded(R.edge_report(v.preds.where(F.col("season") == SEASON), scored(v).where(F.col("season") < SEASON))["clv"])
+    return rounded(R.edge_report(*_edge_frames(v))["clv"])
 
 
 @query("night_summary", f"""SELECT {_SUMMARY} FROM scored

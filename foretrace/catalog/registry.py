@@ -11,6 +11,8 @@ from foretrace.sources.views import Views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+# The SQL as written, before its views, for queries that extend another one's.
+RAW: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None):
@@ -24,7 +26,7 @@ def query(name: str, sql: str | None = None):
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
         if sql is not None:
-            ORACLES[name] = with_views(sql)
+            RAW[name], ORACLES[name] = sql, with_views(sql)
         return fn
 
     return register

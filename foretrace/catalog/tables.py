@@ -223,6 +223,17 @@ def price_attach(v: Views):
     return rounded(J.attach_prices(v.preds, price_index(v)).select("game_id", "market_prob_home", "market_n_books"))
 
 
+@query("player_identity", """SELECT game_id, CASE WHEN part_no % 50 = 3 THEN NULL ELSE player_id END AS player_id,
+  CASE WHEN part_no % 50 <> 3 THEN 'P' || player_id END AS player_name, CASE WHEN supp_no % 3 = 0 THEN 'D' ELSE 'C' END AS position, team_id,
+  CAST(sum(sog) AS BIGINT) AS sog, count(xg) AS shot_attempts FROM shots WHERE game_type = 'R' GROUP BY ALL""")
+def player_identity(v: Views):
+    """Player facts keyed by id, name and position too, unknown players included."""
+    known = F.when(F.col("part_no") % 50 != 3, F.col("player_id"))
+    shots = v.shots.withColumn("player_id", known).withColumn("player_name", F.concat(F.lit("P"), F.col("player_id").cast("string"))).withColumn(
+        "position", F.when(F.col("supp_no") % 3 == 0, "D").otherwise("C"))
+    return X.player_games(shots).select("game_id", "player_id", "player_name", "position", "team_id", "sog", "shot_attempts")
+
+
 @query("closing_fill", f"""WITH {_INDEX}
 SELECT p.game_id, {r("coalesce(p.closing_prob_home, CASE WHEN actual_home_win IS NOT NULL THEN c.market_prob_home END)", "closing_prob_home")},
   CASE WHEN p.closing_prob_home IS NULL AND actual_home_win IS NOT NULL THEN c.market_n_books END AS closing_n_books

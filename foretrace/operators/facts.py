@@ -122,8 +122,12 @@ def team_games(shots: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def player_games(shots: DataFrame) -> DataFrame:
-    """One row per (game, player); rows without a player id are kept."""
-    agg = regular(shots).groupBy("game_id", "season", "game_num", "player_id", "team_id").agg(
+    """One row per (game, player); rows without a player id are kept.
+
+    Name and position, where the shots have them, belong to the key.
+    """
+    identity = [c for c in ("player_name", "position") if c in shots.columns]
+    agg = regular(shots).groupBy("game_id", "season", "game_num", "player_id", *identity, "team_id").agg(
         F.sum("sog").alias("sog"), _sum0(F.col("xg")).alias("xg"), F.count("xg").alias("shot_attempts"),
     )
     rate = F.bround(F.col("xg") / F.greatest(F.col("shot_attempts"), F.lit(1)), 5)

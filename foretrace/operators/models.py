@@ -34,6 +34,7 @@ BOOST_DEPTH_FIRST = {"maxIter": 60, "maxDepth": 3, "stepSize": 0.05, "subsamplin
 BOOST_SHALLOW = {"maxIter": 80, "maxDepth": 2, "stepSize": 0.05, "subsamplingRate": 0.8, "seed": 42}
 ISOTONIC_MIN, PLATT_MIN, CALIBRATION_SHARE = 400, 50, 0.15
 MIN_TRAIN, MIN_TEST = 100, 50
+ISOTONIC_DIGITS = 5
 POISSON_ALPHA = 0.1
 
 
@@ -145,10 +146,10 @@ def with_columns_present(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     return rows.select(*own, *extra)
 
 
-def usable_columns(rows: DataFrame, columns: Sequence[str]) -> list[str]:
-    """Columns with at least one value: the imputer cannot mean an empty one."""
-    filled = rows.agg(*[F.count(c).alias(c) for c in columns]).first()
-    return [c for c in columns if filled[c] > 0]
+def usable_columns(rows: DataFrame, columns: Sequence[str]) -> tuple[list[str], int]:
+    """Columns with at least one value (the imputer cannot mean an empty one) and the row count, in one pass."""
+    filled = rows.agg(F.count("*").alias("_rows"), *[F.count(c).alias(c) for c in columns]).first()
+    return [c for c in columns if filled[c] > 0], filled["_rows"]
 
 
 def classifier(kind: str, n_rows: int, label: str = "target", **params):
@@ -166,14 +167,14 @@ def classifier(kind: str, n_rows: int, label: str = "target", **params):
 
 def fit_classifier(train: DataFrame, columns: Sequence[str], kind: str = "logistic", label: str = "target", **params) -> Fit:
     """Mean-impute, scale and fit; all-null columns are left out."""
-    columns = usable_columns(train, columns)
-    ready = with_columns_present(train.where(F.col(label).isNotNull()), columns)
+    ready = pin(with_columns_present(train.where(F.col(label).isNotNull()), columns).select(label, *columns))
+    columns, n_rows = usable_columns(ready, columns)
     filled = [f"_f_{c}" for c in columns]
     stages = [
         Imputer(strategy="mean", inputCols=list(columns), outputCols=filled),
         VectorAssembler(inputCols=filled, outputCol="_vector"),
         StandardScaler(withMean=True, withStd=True, inputCol="_vector", outputCol="features"),
-        classifier(kind, ready.count(), label, **params),
+        classifier(kind, n_rows, label, **params),
     ]
     return Fit(Pipeline(stages=stages).fit(ready), list(columns), kind)
 
@@ -189,7 +190,9 @@ def calibrate(fit: Fit, held_out: DataFrame, label: str = "target", method: str
         return fit
     raw = Fit(fit.model, fit.columns, fit.kind).score(held_out.where(F.col(label).isNotNull())).withColumnRenamed("prob", "_raw")
     if method == "isotonic":
-        stage = IsotonicRegression(labelCol=label, featuresCol="_raw", predictionCol="_iso").fit(raw)
+        # Rows of one rounded probability are pooled first: the fit then sees bins, not rows.
+        bins = raw.groupBy(F.round("_raw", ISOTONIC_DIGITS).alias("_raw")).agg(F.avg(label).alias(label), F.count("*").cast("double").alias("_n"))
+        stage = IsotonicRegression(labelCol=label, featuresCol="_raw", weightCol="_n", predictionCol="_iso").fit(bins)
     else:
         stage = Pipeline(stages=[
             VectorAssembler(inputCols=["_raw"], outputCol="_raw_vector"),
@@ -311,14 +314,15 @@ def permutation_importance(fit: Fit, rows: DataFrame, columns: Sequence[str], la
     """
     held = pin(rows.where(F.col(label).isNotNull()))
     base = brier(fit.score(held), label)
+    order = ["_h", "game_id"]
+    slots = chronological_rank(held.withColumn("_h", F.xxhash64("game_id", F.lit(seed))), order).drop("_h", "of")
+    values = chronological_rank(
+        held.select("game_id", *[F.col(c).alias(f"_v_{c}") for c in columns]).withColumn("_h", F.xxhash64("game_id", F.lit(seed + 1))), order)
+    # Every row beside another row's values, numbered and joined once for all columns.
+    mixed = pin(slots.join(values.select("position", *[f"_v_{c}" for c in columns]), "position"))
     out = []
     for c in columns:
-        order = ["_h", "game_id"]
-        slots = chronological_rank(held.withColumn("_h", F.xxhash64("game_id", F.lit(seed))), order).drop("_h", "of")
-        values = chronological_rank(
-            held.select("game_id", F.col(c).alias("_v")).withColumn("_h", F.xxhash64("game_id", F.lit(seed + 1))), order)
-        mixed = slots.join(values.select("position", "_v"), "position").drop(c, "position").withColumnRenamed("_v", c)
-        out.append((c, brier(fit.score(mixed), label) - base))
+        out.append((c, brier(fit.score(mixed.withColumn(c, F.col(f"_v_{c}"))), label) - base))
     return rows.sparkSession.createDataFrame(out, "feature string, brier_rise double")
 
 
@@ -331,10 +335,11 @@ def fit_counts(train: DataFrame, columns: Sequence[str], label: str, half_life:
     The factor compares actual and predicted means on the newest season; under
     a log link scaling the prediction equals shifting the intercept.
     """
-    columns = usable_columns(train, columns)
     ages = bounded(season_ages(train))
     ready = with_columns_present(train.where(F.col(label).isNotNull()), columns).join(ages, "season")
     ready = ready.withColumn("_weight", recency_weight(F.col("age"), half_life)).withColumn("_label", F.col(label).cast("double"))
+    ready = pin(ready.select("age", "_weight", "_label", *columns))
+    columns, _ = usable_columns(ready, columns)
     filled = [f"_f_{c}" for c in columns]
     model = Pipeline(stages=[
         Imputer(strategy="mean", inputCols=list(columns), outputCols=filled),

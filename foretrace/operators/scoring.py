@@ -103,15 +103,20 @@ def clv_summary(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.count("*").alias("n"), F.avg(move).alias("mean_clv"), _share(move > 0).alias("beat_close_rate"))
 
 
-def edge_realization(scored: DataFrame, price: str = "closing_prob_home", by: Sequence[str] = ()) -> DataFrame:
-    """Claimed edge against what happened, from the favoured side."""
+def edge_realization_rows(scored: DataFrame, price: str = "closing_prob_home", by: Sequence[str] = ()) -> DataFrame:
+    """Played and priced rows from the favoured side, with the bucket of the claimed edge."""
     side = favoured(F.col("prob_home_win"), F.col(price))
     y = (F.col("actual_home_win") == 1.0).cast("double")
     won = F.when(side["picked_home"], y).otherwise(1 - y)
     bucket = S.right_closed(F.round(side["edge"], 9), S.EDGE_EDGES, S.EDGE_LABELS)
     rows = _priced(scored, price).select(
         *by, bucket.alias("bucket"), side["model_p"].alias("model_p"), side["market_p"].alias("market_p"), won.alias("won"))
-    return rows.where(F.col("bucket").isNotNull()).groupBy(*by, "bucket").agg(
+    return rows.where(F.col("bucket").isNotNull())
+
+
+def edge_realization(scored: DataFrame, price: str = "closing_prob_home", by: Sequence[str] = ()) -> DataFrame:
+    """Claimed edge against what happened, from the favoured side."""
+    return edge_realization_rows(scored, price, by).groupBy(*by, "bucket").agg(
         F.count("*").alias("n"), F.avg("model_p").alias("model_said"),
         F.avg("market_p").alias("market_said"), F.avg("won").alias("actual"))
 
@@ -150,7 +155,7 @@ def day_games(scored: DataFrame, day: DataFrame) -> DataFrame:
     """Every pick of one night; ``day`` holds that one date."""
     p = F.col("prob_home_win")
     home = p >= 0.5
-    night = played(scored).join(F.broadcast(day), "game_date", "left_semi")
+    night = played(scored).join(bounded(day), "game_date", "left_semi")
     tier = S.confidence_tier(F.greatest(p, 1 - p))
     return night.select(
         "game_id", "model_name", F.when(home, F.col("home_id")).otherwise(F.col("away_id")).alias("pick"),

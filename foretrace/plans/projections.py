@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from foretrace.functions import scalars as S
 from foretrace.functions.counts import over_probability
 from foretrace.operators import features as Y
+from foretrace.operators.forecasts import MIN_IN_SEASON_SAMPLE, drift_factor
 from foretrace.operators.history import games_before, snapshot_next, with_history
 from foretrace.operators.joins import roster_identity, without
 from foretrace.operators.models import Fit, predict_counts
@@ -61,6 +62,12 @@ def player_projections(players: DataFrame, roster: DataFrame, scratched: DataFra
     return top_projections(ready.drop("pred"), "expected", min_sog, top, ["player_id"])
 
 
+def in_season_factor(fit: Fit, played: DataFrame, target: str, season) -> float:
+    """Actual over predicted mean of this season's completed rows; one if they are too few."""
+    now = predict_counts(fit, played.where((F.col("season") == season) & F.col(target).isNotNull()))
+    return drift_factor(now.select(F.col(target).cast("double").alias("y"), "pred"), (), MIN_IN_SEASON_SAMPLE).first()["factor"]
+
+
 def saves_projections(goalies: DataFrame, slate: DataFrame, team_context: DataFrame, fit: Fit, lines: Sequence[float],
                       dispersion: float, factor: float = 1.0, min_starts: int = 5,
                       min_coverage: float = S.MIN_FEATURE_COVERAGE, row_bound: int | None = None) -> DataFrame:
@@ -84,5 +91,5 @@ def saves_projections(goalies: DataFrame, slate: DataFrame, team_context: DataFr
         .join(team_context.select("team_id", *own), "team_id", "left")
         .join(team_context.select(F.col("team_id").alias("opp_id"), *opp), "opp_id", "left")
     )
-    ready = predict_counts(fit, _covered(rows, fit.columns, min_coverage), factor)
+    ready = predict_counts(fit, _covered(rows, fit.columns, min_coverage), factor).withColumn("in_season_factor", F.bround(F.lit(float(factor)), 4))
     return goalie_projections(ready.withColumnRenamed("pred", "expected"), lines, dispersion).orderBy(F.desc("expected"), "goalie_id")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from foretrace.operators import scoring as E
 from foretrace.operators.features import CAREER
 from foretrace.operators.history import first_per_group
+from foretrace.session import bounded, pin
 
 
 def leaderboard(ratings: DataFrame, value: str, top: int) -> DataFrame:
@@ -48,10 +49,9 @@ def freshness(played: DataFrame, dated: DataFrame) -> DataFrame:
 def history_report(scored: DataFrame, order: list[str]) -> dict[str, DataFrame]:
     """Every log report, per model and season where that makes sense.
 
-    Cache ``scored`` before the call if it is expensive: each report is one
-    aggregate over it.
+    The log is scored and written out once; each report is one aggregate over that.
     """
-    by = ["model_name"]
+    by, scored = ["model_name"], pin(scored)
     return {
         "summary": E.summarize(scored, by), "by_season": E.summarize(scored, [*by, "season"]),
         "calibration": E.calibration_table(scored, by), "tiers": E.tier_breakdown(scored, by),
@@ -69,7 +69,7 @@ def edge_report(slate: DataFrame, scored: DataFrame, min_edge: float = E.MIN_EDG
 def day_report(scored: DataFrame, day: DataFrame | None = None) -> dict[str, DataFrame]:
     """Record, market comparison, picks and strong misses of one night."""
     day = E.latest_played_date(scored) if day is None else day
-    night = scored.join(F.broadcast(day), "game_date", "left_semi")
+    night = scored.join(bounded(day), "game_date", "left_semi")
     games = E.day_games(scored, day)
     return {"summary": E.summarize(night), "market": E.market_comparison(night), "games": games,
             "strong_misses": games.where("strong_miss")}

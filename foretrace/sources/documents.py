@@ -89,12 +89,15 @@ def read_documents(docs: DataFrame, schema: str) -> DataFrame:
 
     The parse sits inside a generator. A filter or a field reference above it
     then reads the parsed row; in a plain projection the optimizer would copy
-    the parse into each of them.
+    the parse into each of them. Rows without a document are told by a flag
+    that the generator makes, so ``doc`` itself is named, and built, once.
     """
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
     parsed = F.from_json("doc", with_corrupt(schema), options)
     keep = [c for c in docs.columns if c != "doc"]
-    return docs.where(F.col("doc").isNotNull()).select(*keep, F.inline_outer(F.array(parsed)))
+    names = with_corrupt(schema).names
+    flagged = F.transform(F.array(parsed), lambda p: F.when(p.isNotNull(), F.struct(*[p[n].alias(n) for n in names], F.lit(True).alias("_read"))))
+    return docs.select(*keep, F.inline_outer(flagged)).where("_read").drop("_read")
 
 
 def readable(docs: DataFrame, schema: str) -> DataFrame:

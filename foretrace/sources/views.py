@@ -73,6 +73,10 @@ class Views:
             "floor(o_totalprice / 1000) % 7 AS home_score", "floor(o_totalprice / 7000) % 6 AS away_score",
         )
 
+    @cached_property
+    def newest_season(self) -> int:
+        return self.matches.agg(F.max("season")).first()[0]
+
     @cached_property
     def sides(self) -> DataFrame:
         """Two rows per match, one per team."""

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foretrace.session import fresh_path
+from foretrace.session import fresh_path, pin
 
+FILES_PER_TRIGGER = 1000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -46,20 +47,26 @@ def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], pro
     query.awaitTermination()
 
 
-def replay(df: DataFrame, by: str, consume: Callable[[DataFrame], None]) -> None:
+def replay(df: DataFrame, by: str, consume: Callable[[DataFrame], None], last: DataFrame | None = None) -> None:
     """Land ``df`` one value of ``by`` after the other and consume each landing.
 
     ``by`` has few values (seasons). The order of arrival is the order of
-    ``by``; inside a landing the files may come in any order and number.
+    ``by``; inside a landing the files may come in any order and number. The
+    table is computed once, and a micro-batch takes a bounded number of files.
+    ``last`` lands after all, for instance to move the watermark on.
     """
     spark = df.sparkSession
     path = fresh_path(spark, "landed")
-    for row in df.select(by).distinct().orderBy(by).collect():
-        df.where(F.col(by) == row[0]).write.parquet(f"{path}/{by}-{row[0]}")
-        consume(file_stream(spark, path, df.schema))
+    rows = pin(df)
+    for i, row in enumerate(rows.select(by).distinct().orderBy(by).collect()):
+        rows.where(F.col(by).eqNullSafe(F.lit(row[0]))).write.parquet(f"{path}/{i:06d}")
+        consume(file_stream(spark, path, df.schema, FILES_PER_TRIGGER))
+    if last is not None:
+        last.select(*df.columns).write.parquet(f"{path}/last")
+        consume(file_stream(spark, path, df.schema, FILES_PER_TRIGGER))
 
 
-def replayed(df: DataFrame, by: str, build: Callable[[DataFrame], DataFrame], label: str) -> DataFrame:
+def replayed(df: DataFrame, by: str, build: Callable[[DataFrame], DataFrame], label: str, last: DataFrame | None = None) -> DataFrame:
     """Everything a streaming transformation wrote over a full replay."""
     spark = df.sparkSession
     out = fresh_path(spark, label)
@@ -70,5 +77,5 @@ def replayed(df: DataFrame, by: str, build: Callable[[DataFrame], DataFrame], la
         schema.append(built.schema)
         run_available(built, out)
 
-    replay(df, by, consume)
+    replay(df, by, consume, last)
     return spark.read.schema(schema[0]).parquet(f"{out}/data")
