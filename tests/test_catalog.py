@@ -7,7 +7,7 @@ from conftest import SMALL
 TABLES = "orders lineitem customer nation events".split()
 # One or two queries per family; check_queries.py runs all of them.
 SAMPLE = ["ewm_prev", "snapshot_next", "fold_metrics", "over_prob_nb", "approx_date", "team_game_agg", "special_teams_agg",
-          "consensus", "log_keep_latest", "box_skaters", "book_lines", "elo_pregame", "walk_forward_assign", "feature_matrix"]
+          "consensus", "log_keep_latest", "box_skaters", "book_lines", "elo_pregame", "walk_forward_assign", "feature_matrix", "slate_openers", "closing_fill", "rolling_split", "player_identity", "edge_p_values"]
 
 
 @pytest.fixture(scope="module")

@@ -38,6 +38,12 @@ def test_documents_are_parsed_once(spark):
     assert plan.count("from_json(") == 1
 
 
+def test_matrix_reads_shots_joined_once(spark):
+    """The three fact tables read the written shots; none scans or joins lines again."""
+    _, plan = tree(spark, "feature_matrix")
+    assert "lineitem.parquet" not in plan and plan.count("orders.parquet") <= 12
+
+
 def test_facts_join_and_windows_share_their_shuffles(spark):
     """Without broadcasts: shots, games and results by game, then teams by season."""
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
