@@ -41,7 +41,41 @@ def _slate_rows(v: Views):
                           shot_bound=v.shot_bound, groups=division_table(v))
 
 
-@query("slate_features")
+_SLATE = f"""slate AS (SELECT game_id, home_id, away_id FROM matches WHERE season = {SEASON} AND game_date >= {DAY}),
+last AS (SELECT team_id, max(game_date) AS d FROM sides WHERE game_date < {DAY} GROUP BY team_id),
+past AS (SELECT least(home_id, away_id) AS a, greatest(home_id, away_id) AS b, home_win,
+  row_number() OVER (PARTITION BY least(home_id, away_id), greatest(home_id, away_id) ORDER BY game_date DESC, game_id DESC) AS k
+  FROM matches WHERE game_date < {DAY}),
+rate AS (SELECT a, b, avg(home_win) AS w FROM past WHERE k <= 3 GROUP BY a, b)"""
+
+
+_NEWEST = f"season = {SEASON}"
+_BEFORE = f"game_id IN (SELECT game_id FROM matches WHERE game_date < {DAY})"
+_BACK = "row_number() OVER (PARTITION BY {} ORDER BY season DESC, game_num DESC, game_id DESC) AS k"
+
+
+@query("slate_features", f"""WITH {_CHAIN.replace("FROM matches),", f"FROM matches WHERE game_date < {DAY}),", 1)}, {_SLATE},
+form AS (SELECT team_id, avg(won) FILTER (k <= 5) AS won5, avg(xgf_pct) FILTER (k <= 10) AS xgf10, count(*) AS gp
+  FROM (SELECT *, {_BACK.format("team_id")} FROM facts WHERE {_NEWEST} AND {_BEFORE}) GROUP BY team_id),
+starts AS (SELECT *, {_BACK.format("team_id")}, row_number() OVER (PARTITION BY goalie_id ORDER BY season DESC, game_num DESC, game_id DESC) AS g
+  FROM goalie_games WHERE is_starter AND {_BEFORE}),
+votes AS (SELECT team_id, goalie_id, count(*) AS n, min(k) AS newest FROM starts WHERE k <= 10 GROUP BY ALL),
+best AS (SELECT * FROM votes QUALIFY row_number() OVER (PARTITION BY team_id ORDER BY n DESC, newest) = 1),
+keeper AS (SELECT b.team_id, avg(s.save_pct) AS sv5 FROM best b JOIN starts s ON b.goalie_id = s.goalie_id AND s.g <= 5 GROUP BY b.team_id),
+power AS (SELECT team_id, avg(pp_xg) AS pp10 FROM (SELECT *, {_BACK.format("team_id")} FROM st_games WHERE {_NEWEST} AND {_BEFORE}) WHERE k <= 10 GROUP BY team_id),
+ended AS (SELECT c.* FROM chain c JOIN (SELECT league, max(rn) AS rn FROM played GROUP BY league) m ON c.league = m.league AND c.rn = m.rn),
+rated AS (SELECT s.team_id, CASE WHEN e.{_NEWEST} THEN e.post[s.team_id % 16 + 1] ELSE e.post[s.team_id % 16 + 1] * (1 - 0.33) + 1500 * 0.33 END AS elo
+  FROM ended e JOIN (SELECT DISTINCT league, team_id FROM sides WHERE game_date < {DAY}) s ON e.league = s.league)
+SELECT s.game_id, {r('h.won5', 'home_won_l5')}, {r('a.won5', 'away_won_l5')}, {r('h.won5 - a.won5', 'diff_won_l5')}, {r('h.xgf10 - a.xgf10', 'diff_xgf_pct_l10')},
+  coalesce(h.gp, 0) AS home_games_played, {r('k.sv5', 'home_g_save_pct_l5')}, {r('hp.pp10 - ap.pp10', 'diff_st_pp_xg_l10')},
+  CAST(date_diff('day', hl.d, {DAY}) AS BIGINT) AS home_rest_days,
+  CAST(coalesce(date_diff('day', hl.d, {DAY}), 2) - coalesce(date_diff('day', al.d, {DAY}), 2) AS BIGINT) AS rest_advantage,
+  CAST(date_diff('day', {OPENER}, {DAY}) AS BIGINT) AS season_day, {r('rate.w', 'h2h_home_win_rate_l3')}, {r('he.elo - ae.elo', 'diff_elo')}
+FROM slate s LEFT JOIN form h ON s.home_id = h.team_id LEFT JOIN form a ON s.away_id = a.team_id LEFT JOIN keeper k ON s.home_id = k.team_id
+LEFT JOIN power hp ON s.home_id = hp.team_id LEFT JOIN power ap ON s.away_id = ap.team_id
+LEFT JOIN last hl ON s.home_id = hl.team_id LEFT JOIN last al ON s.away_id = al.team_id
+LEFT JOIN rate ON rate.a = least(s.home_id, s.away_id) AND rate.b = greatest(s.home_id, s.away_id)
+LEFT JOIN rated he ON s.home_id = he.team_id LEFT JOIN rated ae ON s.away_id = ae.team_id""")
 def slate_features(v: Views):
     """Snapshots of every family on both sides of the scheduled games."""
     cols = ["home_won_l5", "away_won_l5", "diff_won_l5", "diff_xgf_pct_l10", "home_games_played", "home_g_save_pct_l5",
@@ -67,14 +101,6 @@ def slate_openers(v: Views):
     return rounded(guarded.select("game_id", "home_games_played", "away_games_played", "home_won_l5", "home_elo", "away_elo", "season_opener", "usable"))
 
 
-_SLATE = f"""slate AS (SELECT game_id, home_id, away_id FROM matches WHERE season = {SEASON} AND game_date >= {DAY}),
-last AS (SELECT team_id, max(game_date) AS d FROM sides WHERE game_date < {DAY} GROUP BY team_id),
-past AS (SELECT least(home_id, away_id) AS a, greatest(home_id, away_id) AS b, home_win,
-  row_number() OVER (PARTITION BY least(home_id, away_id), greatest(home_id, away_id) ORDER BY game_date DESC, game_id DESC) AS k
-  FROM matches WHERE game_date < {DAY}),
-rate AS (SELECT a, b, avg(home_win) AS w FROM past WHERE k <= 3 GROUP BY a, b)"""
-
-
 @query("slate_context", f"""WITH {_SLATE}
 SELECT s.game_id, CAST(date_diff('day', h.d, {DAY}) AS BIGINT) AS home_rest_days, CAST(date_diff('day', a.d, {DAY}) AS BIGINT) AS away_rest_days,
   CAST(coalesce(date_diff('day', h.d, {DAY}) = 1, FALSE) AS BIGINT) AS home_back_to_back,
