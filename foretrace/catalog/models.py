@@ -11,7 +11,7 @@ from foretrace.catalog.windows import CAREER_SQL, W1, _avg, team_facts
 from foretrace.operators import features as Y
 from foretrace.operators import forecasts as C
 from foretrace.operators import models as M
-from foretrace.operators.history import with_history
+from foretrace.operators.history import Decayed, Total, with_history
 from foretrace.operators import scoring as E
 from foretrace.plans import matrix as A
 from foretrace.session import fresh_path, pin
@@ -144,6 +144,51 @@ def feature_matrix(v: Views):
     return rounded(matrix_of(v).select("game_id", *_SHOWN))
 
 
+def _in_sql(f) -> str:
+    """A team feature as a window over numbered, rated facts."""
+    if isinstance(f, Total):
+        return f"row_number() OVER ({W1}) - 1 AS {f.name}"
+    if isinstance(f, Decayed):
+        over = "OVER (PARTITION BY team_id, season ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+        weight = f"power(2.0, rn / {float(f.half_life)})"
+        return f"sum({f.source} * {weight}) {over} / sum(CASE WHEN {f.source} IS NOT NULL THEN {weight} END) {over} AS {f.name}"
+    over = f"OVER ({W1} ROWS BETWEEN {f.window} PRECEDING AND 1 PRECEDING)"
+    return f"CASE WHEN count({f.source}) {over} >= {f.min_count} THEN avg({f.source}) {over} END AS {f.name}"
+
+
+_TEAM = [*Y.team_feature_list(), *Y.strength_feature_list()]
+
+
+def _three(c: str, prefix: str = "", diff: bool = True, h: str = "h", a: str = "a") -> list[str]:
+    if c == "games_played":
+        return [f"{h}.{c} AS home_{c}", f"{a}.{c} AS away_{c}", f"{h}.{c} - {a}.{c} AS diff_{c}"]
+    out = [r(f"{h}.{c}", f"home_{prefix}{c}"), r(f"{a}.{c}", f"away_{prefix}{c}")]
+    return [*out, r(f"{h}.{c} - {a}.{c}", f"diff_{prefix}{c}")] if diff else out
+
+
+_WIDE = [x for f in _TEAM for x in _three(f.name)] + [x for c in A.GOALIE for x in _three(c, "g_", False, "hg", "ag")] + [
+    x for c in A.SPECIAL for x in _three(c, "st_", True, "hs", "sa")]
+
+
+@query("matrix_columns", f"""WITH {_CHAIN}, elo AS (SELECT game_id, pre[h] AS home_elo, pre[a] AS away_elo FROM chain WHERE rn > 0),
+rated AS MATERIALIZED (SELECT f.*, CAST(coalesce(CASE WHEN f.is_home THEN e.away_elo ELSE e.home_elo END >= 1500, FALSE) AS BIGINT) AS opp_is_strong
+  FROM (SELECT *, row_number() OVER ({W1}) AS rn FROM facts) f LEFT JOIN elo e ON f.game_id = e.game_id),
+tf AS MATERIALIZED (SELECT game_id, is_home, won AS result, {", ".join(_in_sql(f) for f in _TEAM)} FROM rated),
+gf AS MATERIALIZED (SELECT game_id, team_id, {", ".join(f"avg({s}) OVER ({_GCAR} ROWS BETWEEN {w} PRECEDING AND 1 PRECEDING) AS {s}_l{w}" for s in Y.GOALIE_FORM_STATS for w in Y.GOALIE_FORM_WINDOWS)}
+  FROM goalie_games WHERE is_starter),
+sf AS MATERIALIZED (SELECT game_id, team_id, {", ".join(f"{_p(s, w)} AS {s}_l{w}" for s in Y.SPECIAL_STATS for w in Y.SPECIAL_WINDOWS)} FROM st_games)
+SELECT m.game_id, {", ".join(_WIDE)}
+FROM matches m JOIN tf h ON m.game_id = h.game_id AND h.is_home JOIN tf a ON m.game_id = a.game_id AND NOT a.is_home
+LEFT JOIN gf hg ON m.game_id = hg.game_id AND m.home_id = hg.team_id LEFT JOIN gf ag ON m.game_id = ag.game_id AND m.away_id = ag.team_id
+LEFT JOIN sf hs ON m.game_id = hs.game_id AND m.home_id = hs.team_id LEFT JOIN sf sa ON m.game_id = sa.game_id AND m.away_id = sa.team_id
+WHERE h.result IS NOT NULL""")
+def matrix_columns(v: Views):
+    """Every team, goalie and special-teams column of the matrix."""
+    names = [f"{side}_{f.name}" for f in _TEAM for side in ("home", "away", "diff")]
+    names += [f"{side}_g_{c}" for c in A.GOALIE for side in ("home", "away")] + [f"{side}_st_{c}" for c in A.SPECIAL for side in ("home", "away", "diff")]
+    return rounded(matrix_of(v).select("game_id", *names))
+
+
 _FORM = Y.rolling_columns(["won", "xgf_pct", "goals_for"], [5, 10])
 _MODEL_COLUMNS = [*[f"{side}_{c}" for side in ("home", "away", "diff") for c in _FORM], "home_rest_days", "away_rest_days", "home_back_to_back",
                   "away_back_to_back", "rest_advantage", "season_day", "h2h_home_win_rate_l3", "home_elo", "away_elo", "diff_elo"]
