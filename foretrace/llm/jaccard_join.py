@@ -20,10 +20,12 @@ Any class assignment gives exact results, only the work differs.
 
 Candidates pass a size and a position filter, then a parity bitmap (of sets
 with d tokens in one only, bitmaps differ in at most d bits), then the sets are
-intersected. Postings of up to ``rare_limit`` sets give all their pairs; larger
-ones first link each set to the posting's least, and after components are
-known, only pairs from different components of a posting are compared. So no
-group gives all its pairs, yet no link between components is missed.
+intersected. Postings of up to ``rare_limit`` sets give all their pairs. Larger
+ones first link each set to the posting's least. Once those components are
+known, postings that still hold several are dealt into blocks, and sets of
+different components are compared by finer bitmaps inside the blocks' tasks;
+only pairs that pass leave them. So no group gives all its pairs, yet no link
+between components is missed.
 
 Equal sets are one class from the start: copies of a text cost one row each.
 Rows: a null or empty text has no tokens and is its own component; repeated
@@ -42,14 +44,16 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 from foretrace.llm import components
 from foretrace.llm.common import arrow_columns, replacing, slices
 from foretrace.llm.shingles import U64, mixed, set_key, shingle_set
-from foretrace.session import pin, ship_by_value
+from foretrace.session import bounded, pin, ship_by_value
 
 ship_by_value(__name__)
 
 RARE_LIMIT = 16
 FREQUENT_CAPACITY = 1 << 20
-FILTER_BITS = 1 << 27
 HUB_ROWS = 10_000
+# Sets of a posting that are compared with each other, or with another block, in one task.
+BLOCK_ROWS = 1000
+FINE_BITS = 4
 SEEN_KEYS = 1 << 18
 TOKENS = StructType([StructField("token", LongType())])
 
@@ -121,9 +125,9 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, rule: Rule) -> tuple[np
     return np.concatenate(found), np.concatenate(place)
 
 
-def parity_bitmap(tokens: np.ndarray) -> bytes:
-    """Bits that tell whether an odd number of tokens fall on them; at least as many bits as tokens."""
-    bits = max(64, 1 << (len(tokens) - 1).bit_length()) if len(tokens) else 64
+def parity_bitmap(tokens: np.ndarray, per_token: int = 1) -> bytes:
+    """Bits that tell whether an odd number of tokens fall on them; at least ``per_token`` bits for each token."""
+    bits = max(64, 1 << (per_token * len(tokens) - 1).bit_length()) if len(tokens) else 64
     odd = np.bincount((tokens & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -267,39 +271,27 @@ def likely(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(test, schema).distinct()
 
 
-def filter_bits(keys: DataFrame, rows: int) -> tuple[int, np.ndarray]:
-    """A bitmap of hashed keys, 16 bits for each up to a fixed size; passes every key."""
-    bits = min(FILTER_BITS, max(1 << 15, 1 << (16 * rows).bit_length()))
-    slot = F.pmod("short", F.lit(bits)) + 1
-    parts = keys.groupBy(F.bitmap_bucket_number(slot).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("v")).collect()
-    table = np.zeros(bits // 8, np.uint8)
-    for k, v in parts:
-        table[(k - 1) * 4096:k * 4096] = np.frombuffer(v, np.uint8)
-    return bits, table
+def needed_texts(docs: DataFrame, text: str, keys: DataFrame, classes: DataFrame) -> DataFrame:
+    """One text of each class whose short key is listed, found by its digest."""
+    digests = bounded(keys.select("short").distinct().join(classes, "short").select(F.col("first.digest").alias("digest")).distinct())
+    marked = docs.select(F.col(text).alias("text"), F.md5(F.col(text).cast("binary")).alias("digest"))
+    return marked.join(digests, "digest", "left_semi").select("text")
 
 
-def needed_sets(docs: DataFrame, text: str, rule: Rule, pairs: DataFrame) -> DataFrame:
-    """(short, sets) of the classes in some pair; sets has the tokens of each class of that short key."""
-    keys = pairs.select(F.explode(F.array("a", "b")).alias("short")).distinct()
-    bits, table = filter_bits(keys, keys.count())
-    shared = docs.sparkSession.sparkContext.broadcast(table)
-
-    def make(tokens, key):
-        short = short_key(key)
-        slot = short % bits
-        return ([short], [tokens.tobytes()]) if shared.value[slot >> 3] >> (slot & 7) & 1 else None
-
+def needed_sets(docs: DataFrame, text: str, rule: Rule, keys: DataFrame, classes: DataFrame) -> DataFrame:
+    """(short, sets) of the listed classes; sets has the tokens of each class of that short key."""
     schema = StructType([StructField("short", LongType()), StructField("tokens", BinaryType())])
-    return exploded(docs, text, rule, schema, make).groupBy("short").agg(F.collect_set("tokens").alias("sets"))
+    rows = exploded(needed_texts(docs, text, keys, classes), "text", rule, schema, lambda tokens, key: ([short_key(key)], [tokens.tobytes()]))
+    return rows.groupBy("short").agg(F.collect_set("tokens").alias("sets"))
 
 
-def verified(docs: DataFrame, text: str, rule: Rule, pairs: DataFrame) -> DataFrame:
+def verified(docs: DataFrame, text: str, rule: Rule, pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Links (a, b), class keys, of the pairs that are similar.
 
     A class with very many pairs is met by copies of its set, each with a share
     of the pairs.
     """
-    sets = needed_sets(docs, text, rule, pairs)
+    sets = needed_sets(docs, text, rule, pairs.select(F.explode(F.array("a", "b")).alias("short")), classes)
     shares = pairs.groupBy("b").agg(F.ceil(F.count("*") / HUB_ROWS).cast("int").alias("shares"))
     x = pairs.join(sets.select(F.col("short").alias("a"), F.explode("sets").alias("x")), "a")
     dealt = x.join(shares, "b").withColumn("share", F.pmod(F.xxhash64("a"), F.col("shares")).cast("int")).drop("shares")
@@ -321,6 +313,92 @@ def verified(docs: DataFrame, text: str, rule: Rule, pairs: DataFrame) -> DataFr
     return dealt.join(y, ["b", "share"]).select("x", "y").mapInArrow(test, schema)
 
 
+def hamming(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differing bits of every row of x and every row of y, bitmaps of one length."""
+    out = np.empty((len(x), len(y)), np.int64)
+    step = max(1, (1 << 20) // max(1, y.size))
+    for at in range(0, len(x), step):
+        out[at:at + step] = np.bitwise_count(x[at:at + step, None, :] ^ y[None, :, :]).sum(2, dtype=np.int64)
+    return out
+
+
+def folded(rows: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps of one length folded to fewer words."""
+    while rows.shape[1] > words:
+        rows = rows[:, :rows.shape[1] // 2] ^ rows[:, rows.shape[1] // 2:]
+    return rows
+
+
+def block_pairs(rule: Rule, first: list, second: list | None) -> set[tuple[int, int]]:
+    """Pairs of different components that may be similar, in a block or between two.
+
+    Rows are (short, n, place, part, bits). Those of the most frequent component
+    are met by the others only.
+    """
+    found: set[tuple[int, int]] = set()
+    parts = [r[3] for r in first + (second or [])]
+    largest = max(set(parts), key=parts.count)
+    sides = [([r for r in first if r[3] != largest], first)] if second is None else [
+        ([r for r in first if r[3] != largest], second), ([r for r in first if r[3] == largest], [r for r in second if r[3] != largest])]
+    for left, right in sides:
+        by_length = [{k: [r for r in rows if len(r[4]) == k] for k in {len(r[4]) for r in rows}} for rows in (left, right)]
+        for p, xs in by_length[0].items():
+            for q, ys in by_length[1].items():
+                if max(p, q) > 2 * min(p, q):
+                    continue  # sizes too far apart
+                words = min(p, q) // 8
+                x, y = (folded(np.frombuffer(b"".join(r[4] for r in rows), np.uint64).reshape(len(rows), -1), words) for rows in (xs, ys))
+                n, m = (np.array([r[1] for r in rows]) for rows in (xs, ys))
+                left_n, left_m = n - [r[2] for r in xs], m - [r[2] for r in ys]
+                total = n[:, None] + m
+                near = 100 * np.minimum(n[:, None], m) >= rule.percent * np.maximum(n[:, None], m)
+                near &= (100 + rule.percent) * np.minimum(left_n[:, None], left_m) >= rule.percent * total
+                near &= np.array([r[3] for r in xs], object)[:, None] != np.array([r[3] for r in ys], object)
+                near &= (100 + rule.percent) * hamming(x, y) <= (100 - rule.percent) * total
+                for i, j in zip(*np.nonzero(near)):
+                    found.add((min(xs[i][0], ys[j][0]), max(xs[i][0], ys[j][0])))
+    return found
+
+
+def open_pairs(docs: DataFrame, text: str, rule: Rule, rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) between components of large postings.
+
+    A posting of m rows makes blocks of about BLOCK_ROWS; each row goes to the
+    task of every pair of blocks that holds its own.
+    """
+    schema = StructType([StructField("short", LongType()), StructField("bits", BinaryType())])
+    fine = exploded(needed_texts(docs, text, rows, classes), "text", rule, schema,
+                    lambda tokens, key: ([short_key(key)], [parity_bitmap(tokens, FINE_BITS)])).dropDuplicates(["short"])
+    blocks = F.ceil(F.col("size") / BLOCK_ROWS).cast("int")
+    dealt = rows.join(fine, "short").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("short"), F.col("blocks")).cast("int"))
+    placed = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "signature", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "short", "n", "place", "part", "bits")
+
+    def compare(batches):
+        key, first, second = None, [], []
+
+        def pairs():
+            return block_pairs(rule, first, None if key[1] == key[2] else second) if key and first and (second or key[1] == key[2]) else ()
+
+        def batch_of(found):
+            found = sorted(found)
+            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            out = set()
+            for signature, low, high, own, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if (signature, low, high) != key:
+                    out.update(pairs())
+                    key, first, second = (signature, low, high), [], []
+                (first if own == low else second).append(row)
+            yield batch_of(out)
+        yield batch_of(pairs())
+
+    out = StructType([StructField("a", LongType()), StructField("b", LongType())])
+    keys = ["signature", "low", "high"]
+    return placed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, out).distinct()
+
+
 def members(
     docs: DataFrame, text: str = "text", width: int = 4, percent: int = 85, rare_limit: int = RARE_LIMIT, frequent_capacity: int = FREQUENT_CAPACITY,
 ) -> DataFrame:
@@ -334,16 +412,17 @@ def members(
     small, large = found.where(F.col("size") <= rare_limit), found.where(F.col("size") > rare_limit)
     hubs = large.where("short = least")
     tried = pin(likely(pairs_of(small, small, rule, "x.short < y.short").unionByName(pairs_of(large, hubs, rule, "true")).distinct(), classes, rule))
-    links = pin(verified(docs, text, rule, tried))
+    links = pin(verified(docs, text, rule, tried, classes))
     root = components.roots(links)
     # Large postings once more: sets of different components that weren't compared.
     group = classes.select("short", "key").join(root.select(F.col("a").alias("key"), "b"), "key", "left").select("short", F.coalesce("b", "key").alias("part"))
     placed = large.join(group, "short")
     several = placed.groupBy("signature").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("signature")
-    open_rows = placed.join(several, "signature")
-    rest = pin(likely(pairs_of(open_rows, open_rows, rule, "x.short < y.short AND x.part <> y.part").join(tried, ["a", "b"], "left_anti"), classes, rule))
-    if not rest.isEmpty():
-        root = components.roots(links.unionByName(verified(docs, text, rule, rest)))
+    open_rows = pin(placed.join(several, "signature"))
+    if not open_rows.isEmpty():
+        rest = pin(open_pairs(docs, text, rule, open_rows, classes).join(tried, ["a", "b"], "left_anti"))
+        if not rest.isEmpty():
+            root = components.roots(links.unionByName(verified(docs, text, rule, rest, classes)))
     return joined(rows, classes, root)
 
 
@@ -364,8 +443,9 @@ def component_ids(docs: DataFrame, **options) -> DataFrame:
 
 def one_of_each(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """The documents that are the least of their component; rows equal in id and text count once."""
-    kept = members(docs, text, **options).where(
-        F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & F.col("digest").eqNullSafe(F.col("first.digest"))).select("doc_id", "digest").distinct().alias("k")
-    marked = replacing(docs, _digest=F.md5(F.col(text).cast("binary"))).alias("d")
-    rows = marked.join(kept, F.expr("d.doc_id <=> k.doc_id AND d._digest <=> k.digest"), "left_semi")
-    return rows.dropDuplicates(["doc_id", "_digest"]).select(*[f"`{c}`" for c in docs.columns])
+    # One key without nulls: the join and the removal of repeated rows then share a shuffle of the texts.
+    row_key = lambda digest: F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce(digest, F.lit("null"))).cast("binary"))
+    least = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & F.col("digest").eqNullSafe(F.col("first.digest"))
+    kept = members(docs, text, **options).where(least).select(row_key(F.col("digest")).alias("_row"))
+    marked = replacing(docs, _row=row_key(F.md5(F.col(text).cast("binary"))))
+    return marked.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(*[f"`{c}`" for c in docs.columns])
