@@ -167,34 +167,28 @@ def goalie_games(shots: DataFrame) -> DataFrame:
 def special_teams(shots: DataFrame) -> DataFrame:
     """Power-play totals for and penalty-kill totals against, per team-game.
 
-    Each power-play shot counts for the shooting side and against the other,
-    so it is unpivoted to two rows and one aggregate fills both halves. Only
+    A power-play shot counts for the shooting side and against the other. One
+    aggregate per game has both sides' totals, which then become two rows. Only
     teams that took a shot in the game are kept, as a dense index of games.
     """
-    own = F.when(F.col("is_home"), F.col("home_skaters")).otherwise(F.col("away_skaters"))
-    other = F.when(F.col("is_home"), F.col("away_skaters")).otherwise(F.col("home_skaters"))
+    home = F.col("is_home")
+    own = F.when(home, F.col("home_skaters")).otherwise(F.col("away_skaters"))
+    other = F.when(home, F.col("away_skaters")).otherwise(F.col("home_skaters"))
     pp = S.situation(own, other) == "PP"
-    roles = F.array(
-        F.struct(F.col("team_id"), F.lit(True).alias("shooting")),
-        F.struct(F.col("def_team_id").alias("team_id"), F.lit(False).alias("shooting")),
-    )
-    spread = regular(shots).select(
-        "game_id", "season", "game_num", "goal", "xg", "sog", pp.alias("pp"), F.explode(roles).alias("role"))
-    shooting = F.col("role.shooting")
-    up, down = F.col("pp") & shooting, F.col("pp") & ~shooting
-
-    def total(when: Column, stat: str, name: str) -> Column:
-        return _sum0(F.when(when, F.col(stat))).alias(name)
-
-    return (
-        spread.groupBy("game_id", "season", "game_num", F.col("role.team_id").alias("team_id"))
-        .agg(
-            total(up, "goal", "pp_goals"), total(up, "xg", "pp_xg"), total(up, "sog", "pp_shots"),
-            total(down, "goal", "pk_goals_against"), total(down, "xg", "pk_xg_against"),
-            total(down, "sog", "pk_shots_against"), F.max(shooting).alias("took_a_shot"),
-        )
-        .where("took_a_shot").drop("took_a_shot")
-    )
+    stats, sides = ("goal", "xg", "sog"), {"h": home, "a": ~home}
+    names = {"goal": ("pp_goals", "pk_goals_against"), "xg": ("pp_xg", "pk_xg_against"), "sog": ("pp_shots", "pk_shots_against")}
+    games = regular(shots).groupBy("game_id", "season", "game_num").agg(
+        *[_sum0(F.when(pp & flag, F.col(stat))).alias(f"{side}_{stat}") for side, flag in sides.items() for stat in stats],
+        *[F.max(F.when(flag, F.col("team_id")).otherwise(F.col("def_team_id"))).alias(f"{side}_team") for side, flag in sides.items()],
+        *[F.max(flag).alias(f"{side}_shot") for side, flag in sides.items()])
+
+    def row(side: str, against: str) -> Column:
+        return F.struct(
+            F.col(f"{side}_team").alias("team_id"), *[F.col(f"{side}_{stat}").alias(names[stat][0]) for stat in stats],
+            *[F.col(f"{against}_{stat}").alias(names[stat][1]) for stat in stats], F.col(f"{side}_shot").alias("took_a_shot"))
+
+    rows = games.select("game_id", "season", "game_num", F.inline(F.array(row("h", "a"), row("a", "h"))))
+    return rows.where("took_a_shot").drop("took_a_shot")
 
 
 def first_values(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str]) -> DataFrame:
