@@ -91,16 +91,11 @@ def line_words(line: Column) -> Column:
     return F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))
 
 
-def keyed_lines(docs: DataFrame, text: str, host: str) -> DataFrame:
-    """(host, digest, lines) of each row; lines are pairs of key and words."""
-    lines = F.transform(lines_with_words(F.col(text)), lambda x: F.struct(line_key(x).alias("key"), line_words(x).alias("n")))
-    return docs.where(F.col(text).isNotNull()).select(
-        F.col(host).alias("host"), F.md5(F.col(text).cast("binary")).alias("digest"), lines.alias("lines"))
-
-
 def distinct_texts(docs: DataFrame, text: str, host: str) -> DataFrame:
     """(host, digest, keys) of each distinct text of a host, with its lines' distinct keys."""
-    rows = keyed_lines(docs, text, host).select("host", "digest", F.array_distinct(F.col("lines.key")).alias("keys"))
+    keys = F.array_distinct(F.transform(lines_with_words(F.col(text)), line_key))
+    rows = docs.where(F.col(text).isNotNull()).select(
+        F.col(host).alias("host"), F.md5(F.col(text).cast("binary")).alias("digest"), keys.alias("keys"))
     return rows.groupBy("host", "digest").agg(F.first("keys").alias("keys"))
 
 
@@ -114,9 +109,11 @@ def frequent_lines(texts: DataFrame, least: int = LINE_DOCUMENTS, percent: int =
 
 def removed_lines(docs: DataFrame, text: str, host: str, frequent: DataFrame) -> DataFrame:
     """(host, digest, removed_keys, removed_words) of texts that lose lines; lines of copies meet at their place."""
-    held = keyed_lines(docs, text, host).select("host", "digest", F.posexplode("lines").alias("place", "line")).select("host", "digest", "place", "line.*").alias("t")
-    hit = held.join(frequent.alias("f"), F.expr("t.host <=> f.host AND t.key = f.key"))
-    once = hit.groupBy("t.host", "t.digest", "t.place").agg(F.first("t.key").alias("key"), F.first("t.n").alias("n"))
+    held = docs.where(F.col(text).isNotNull()).select(
+        F.col(host).alias("host"), F.md5(F.col(text).cast("binary")).alias("digest"), F.posexplode(lines_with_words(F.col(text))).alias("place", "line"))
+    held = held.withColumn("key", line_key(F.col("line"))).alias("t")
+    hit = held.join(frequent.alias("f"), F.expr("t.host <=> f.host AND t.key = f.key")).withColumn("n", line_words(F.col("t.line")))
+    once = hit.groupBy("t.host", "t.digest", "t.place").agg(F.first("t.key").alias("key"), F.first("n").alias("n"))
     return once.groupBy("host", "digest").agg(F.collect_set("key").alias("removed_keys"), F.sum("n").cast("long").alias("removed_words"))
 
 
