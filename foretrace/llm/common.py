@@ -75,7 +75,7 @@ def arrow_columns(
     return df.mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, most_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of bounded bytes, a single long row staying whole."""
     rows = batch.num_rows
     if rows <= 1 or batch.nbytes <= most_bytes:
@@ -92,5 +92,12 @@ def remainder(doc_id: Column, parts: int) -> Column:
 
 
 def sampled(df: DataFrame, rows: int, *key: str) -> DataFrame:
-    """At most ``rows`` rows, always the same ones: those of the smallest key hashes."""
-    return df.orderBy(F.xxhash64(*key), *key).limit(rows)
+    """At most ``rows`` rows, always the same ones for the same table, by a hash of the key.
+
+    Rows are counted, and a hash lets about half as many again as wanted pass
+    before they are ordered: what meets in one task doesn't grow with the table.
+    """
+    total = df.count()
+    if total > 2 * rows:
+        df = df.where(F.pmod(F.xxhash64(*key), F.lit(1 << 31)) < int((1 << 31) * 1.5 * rows / total))
+    return df.orderBy(F.xxhash64(F.lit(1), *key), *key).limit(rows)
