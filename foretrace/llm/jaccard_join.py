@@ -54,6 +54,8 @@ HUB_ROWS = 10_000
 # Sets of a posting that are compared with each other, or with another block, in one task.
 BLOCK_ROWS = 1000
 FINE_BITS = 4
+# Signatures by which a pair's first common posting is told; a pair may come twice where they don't suffice.
+FIRST_SIGNATURES = 16
 SEEN_KEYS = 1 << 18
 TOKENS = StructType([StructField("token", LongType())])
 
@@ -329,11 +331,12 @@ def folded(rows: np.ndarray, words: int) -> np.ndarray:
     return rows
 
 
-def block_pairs(rule: Rule, first: list, second: list | None) -> set[tuple[int, int]]:
+def block_pairs(rule: Rule, signature: int, first: list, second: list | None) -> set[tuple[int, int]]:
     """Pairs of different components that may be similar, in a block or between two.
 
-    Rows are (short, n, place, part, bits). Those of the most frequent component
-    are met by the others only.
+    Rows are (short, n, place, part, bits, firsts). Those of the most frequent
+    component are met by the others only. A pair that shares an earlier posting
+    is left to that one, as far as ``firsts`` tells.
     """
     found: set[tuple[int, int]] = set()
     parts = [r[3] for r in first + (second or [])]
@@ -356,6 +359,8 @@ def block_pairs(rule: Rule, first: list, second: list | None) -> set[tuple[int,
                 near &= np.array([r[3] for r in xs], object)[:, None] != np.array([r[3] for r in ys], object)
                 near &= (100 + rule.percent) * hamming(x, y) <= (100 - rule.percent) * total
                 for i, j in zip(*np.nonzero(near)):
+                    if any(s < signature and s in ys[j][5] for s in xs[i][5]):
+                        continue
                     found.add((min(xs[i][0], ys[j][0]), max(xs[i][0], ys[j][0])))
     return found
 
@@ -370,15 +375,18 @@ def open_pairs(docs: DataFrame, text: str, rule: Rule, rows: DataFrame, classes:
     fine = exploded(needed_texts(docs, text, rows, classes), "text", rule, schema,
                     lambda tokens, key: ([short_key(key)], [parity_bitmap(tokens, FINE_BITS)])).dropDuplicates(["short"])
     blocks = F.ceil(F.col("size") / BLOCK_ROWS).cast("int")
-    dealt = rows.join(fine, "short").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("short"), F.col("blocks")).cast("int"))
+    # Order of signatures as unsigned numbers, the tokens' order: a pair passes the position filter at its first.
+    unsigned = F.col("signature").bitwiseXOR(F.lit(-(1 << 63)))
+    firsts = rows.groupBy("short").agg(F.slice(F.sort_array(F.collect_set(unsigned)), 1, FIRST_SIGNATURES).alias("firsts"))
+    dealt = rows.join(fine, "short").join(firsts, "short").withColumn("signature", unsigned).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("short"), F.col("blocks")).cast("int"))
     placed = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "signature", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "short", "n", "place", "part", "bits")
+        "signature", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "short", "n", "place", "part", "bits", "firsts")
 
     def compare(batches):
         key, first, second = None, [], []
 
         def pairs():
-            return block_pairs(rule, first, None if key[1] == key[2] else second) if key and first and (second or key[1] == key[2]) else ()
+            return block_pairs(rule, key[0], first, None if key[1] == key[2] else second) if key and first and (second or key[1] == key[2]) else ()
 
         def batch_of(found):
             found = sorted(found)
