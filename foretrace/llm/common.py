@@ -13,6 +13,8 @@ from foretrace.session import ship_by_value
 
 ship_by_value(__name__)
 
+# Rows of texts in an Arrow batch.
+BATCH_ROWS = 500
 # Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
@@ -51,6 +53,16 @@ def replacing(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*kept, *[c.alias(n) for n, c in columns.items()])
 
 
+def in_small_batches(df: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
+    """The frame, its session set to send workers at most so many rows at a time.
+
+    Texts make rows long; the default of 10,000 rows would be held several
+    times over by the JVM and by every Python worker.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    return df
+
+
 def arrow_columns(
     df: DataFrame, keep: list[str], fields: list[StructField], prepare: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]],
 ) -> DataFrame:
@@ -72,7 +84,7 @@ def arrow_columns(
                 made = work(batch)
                 yield pa.RecordBatch.from_arrays([batch.column(i) for i in place] + made, names=names)
 
-    return df.mapInArrow(run, schema)
+    return in_small_batches(df).mapInArrow(run, schema)
 
 
 def slices(batch: pa.RecordBatch, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from foretrace.llm import components
-from foretrace.llm.common import arrow_columns, replacing, slices
+from foretrace.llm.common import arrow_columns, in_small_batches, replacing, slices
 from foretrace.llm.shingles import U64, mixed, set_key, shingle_set
 from foretrace.session import bounded, pin, ship_by_value
 
@@ -174,7 +174,7 @@ def exploded(docs: DataFrame, text: str, rule: Rule, schema: StructType, make) -
                 columns = [np.concatenate(c) if k == pa.int64() else [v for part in c for v in part] for c, k in zip(zip(*made), kinds)] if made else [[] for _ in kinds]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
-    return docs.select(text).mapInArrow(run, schema)
+    return in_small_batches(docs.select(text)).mapInArrow(run, schema)
 
 
 def profiles(docs: DataFrame, text: str, rule: Rule) -> DataFrame:
