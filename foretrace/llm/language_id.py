@@ -41,6 +41,8 @@ SAMPLE_ROWS = 3000
 ROUNDS = 2
 LONGEST_WORD = 40
 TEMPERED_WORDS = 30
+# Words whose probabilities a task keeps from batch to batch before it starts anew.
+KEPT_WORDS = 100_000
 UNKNOWN = 1e-9
 MARK = "▁"
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -193,13 +195,20 @@ def predict(docs: DataFrame, model: dict | None, text: str = "text", keep: list[
     def prepare():
         m = shared.value
         lattice, p = Lattice(m["pieces"]), padded(m["p"])
+        ids: dict[str, int] = {}
+        logs = np.zeros((0, p.shape[1]))
 
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
-            ids: dict[str, int] = {}
+            nonlocal ids, logs
+            if len(ids) > KEPT_WORDS:
+                ids, logs = {}, logs[:0]
+            known = len(ids)
             texts = [np.array([ids.setdefault(w, len(ids)) for w in words_of(t.as_py() or "")], np.int64) for t in batch.column(column)]
-            logs = np.zeros((len(ids), p.shape[1]))
-            for some, table in lattice.groups(list(ids)):
-                logs[some] = np.log(np.maximum(lattice.forward(table, p)[-1], 1e-300))
+            fresh = list(ids)[known:]
+            new = np.zeros((len(fresh), p.shape[1]))
+            for some, table in lattice.groups(fresh):
+                new[some] = np.log(np.maximum(lattice.forward(table, p)[-1], 1e-300))
+            logs = np.vstack([logs, new])
             langs, scores = [], []
             for words in texts:
                 if not len(words):
