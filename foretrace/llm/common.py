@@ -65,6 +65,7 @@ def in_small_batches(df: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
 
 def arrow_columns(
     df: DataFrame, keep: list[str], fields: list[StructField], prepare: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]],
+    batch_rows: int = BATCH_ROWS,
 ) -> DataFrame:
     """Columns ``keep`` plus new ones that Python makes of each Arrow batch.
 
@@ -84,7 +85,7 @@ def arrow_columns(
                 made = work(batch)
                 yield pa.RecordBatch.from_arrays([batch.column(i) for i in place] + made, names=names)
 
-    return in_small_batches(df).mapInArrow(run, schema)
+    return in_small_batches(df, batch_rows).mapInArrow(run, schema)
 
 
 def slices(batch: pa.RecordBatch, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:

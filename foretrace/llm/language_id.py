@@ -42,7 +42,9 @@ ROUNDS = 2
 LONGEST_WORD = 40
 TEMPERED_WORDS = 30
 # Words whose probabilities a task keeps from batch to batch before it starts anew.
-KEPT_WORDS = 100_000
+KEPT_WORDS = 200_000
+# Larger batches than elsewhere: words of one length are scored together.
+WORD_BATCH_ROWS = 5000
 UNKNOWN = 1e-9
 MARK = "▁"
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -225,4 +227,4 @@ def predict(docs: DataFrame, model: dict | None, text: str = "text", keep: list[
 
         return work
 
-    return arrow_columns(docs, keep, [StructField("lang_pred", StringType()), StructField("score", DoubleType())], prepare)
+    return arrow_columns(docs, keep, [StructField("lang_pred", StringType()), StructField("score", DoubleType())], prepare, WORD_BATCH_ROWS)
