@@ -4,7 +4,9 @@ Base rules look at one text: its words, symbols, repeated lines and repeated
 8-word windows. The method looks across documents: lines are normalised and
 hashed, distinct texts that hold a line are counted per host, lines in more of
 them than the limits allow are removed, and a document that keeps too small a
-part of its words is rejected as depleted.
+part of its words is rejected as depleted. The share that a line needs grows
+with its host; ``enough_documents`` sets a number of texts above which a line
+goes whatever the host's size.
 
 Exact copies of a text count as one document of the host, so a page that is
 copied often doesn't make its own lines boilerplate. Counts form partial sums
@@ -99,12 +101,17 @@ def distinct_texts(docs: DataFrame, text: str, host: str) -> DataFrame:
     return rows.groupBy("host", "digest").agg(F.first("keys").alias("keys"))
 
 
-def frequent_lines(texts: DataFrame, least: int = LINE_DOCUMENTS, percent: int = LINE_PERCENT) -> DataFrame:
-    """(host, key) of lines above both limits."""
+def frequent_lines(texts: DataFrame, least: int = LINE_DOCUMENTS, percent: int = LINE_PERCENT, enough: int | None = None) -> DataFrame:
+    """(host, key) of lines in more than ``least`` texts and more than ``percent`` of the host's, or in more than ``enough``."""
     counted = texts.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count("*").alias("n"))
     hosts = texts.groupBy("host").agg(F.count("*").alias("texts"))
+    if enough is not None and enough <= least:
+        return counted.where(F.col("n") > enough).select("host", "key")
     over = counted.where(F.col("n") > least).alias("l").join(hosts.alias("h"), F.expr("l.host <=> h.host"))
-    return over.where(100 * F.col("n") > percent * F.col("texts")).select("l.host", "l.key")
+    frequent = 100 * F.col("n") > percent * F.col("texts")
+    if enough is not None:
+        frequent |= F.col("n") > enough
+    return over.where(frequent).select("l.host", "l.key")
 
 
 def removed_lines(docs: DataFrame, text: str, host: str, frequent: DataFrame) -> DataFrame:
@@ -119,11 +126,11 @@ def removed_lines(docs: DataFrame, text: str, host: str, frequent: DataFrame) ->
 
 def judge(
     docs: DataFrame, text: str = "text", host: str = "source", line_documents: int = LINE_DOCUMENTS, line_percent: int = LINE_PERCENT,
-    least_left_percent: int = LEAST_LEFT_PERCENT,
+    least_left_percent: int = LEAST_LEFT_PERCENT, enough_documents: int | None = None,
 ) -> DataFrame:
     """``docs`` with the base measures, base_failed, removed_words, clean_text, depleted and kept."""
     # Counted once; broadcast only if it is small, else joined by shuffle.
-    frequent = bounded(frequent_lines(distinct_texts(docs, text, host), line_documents, line_percent))
+    frequent = bounded(frequent_lines(distinct_texts(docs, text, host), line_documents, line_percent, enough_documents))
     removed = removed_lines(docs, text, host, frequent)
     measured = replacing(docs, _m=base_measures(F.col(text)), _d=F.md5(F.col(text).cast("binary"))).alias("d")
     joined = measured.join(removed.alias("r"), F.expr(f"d.`{host}` <=> r.host AND d._d = r.digest"), "left")

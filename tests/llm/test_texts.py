@@ -111,5 +111,19 @@ def test_lines_of_many_documents_go_and_depleted_documents_with_them(spark):
     assert got[40]["removed_words"] == 0 and got[42]["removed_words"] == 0
 
 
+@pytest.mark.parametrize("enough", [10, 15])
+def test_a_line_of_enough_documents_goes_from_a_host_of_any_size(spark, enough):
+    line = "all rights reserved by the owners of this page"
+    rows = [(f"{host} {'x' * (i + 1)} own words" + f"\n{line}" * (i < 20), host) for host, n in (("small", 40), ("large", 400)) for i in range(n)]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id bigint, text string, source string")
+
+    def touched(**limits):
+        return {r["source"]: r["n"] for r in quality_rules.judge(docs, **limits).where("removed_words = 9").groupBy("source").agg(F.count("*").alias("n")).collect()}
+
+    assert touched() == {"small": 20}
+    assert touched(enough_documents=enough) == {"small": 20, "large": 20}
+    assert touched(enough_documents=20) == {"small": 20}
+
+
 def test_rules_of_an_empty_table(no_docs):
     assert quality_rules.judge(no_docs).count() == 0
