@@ -10,7 +10,8 @@ sample per byte, 64 to a row. Reading back takes the samples from the stored
 bytes; features are computed of those.
 
 Defined results: null or empty HTML is an empty sequence; a reference without
-a medium keeps its position with a null payload; equal references resolve alike;
+a medium keeps its position with a null payload; a head without an end tag ends
+where HTML ends it, at the first tag or text that can't stand in a head; equal references resolve alike;
 several media of one digest count once; null texts are stored as 64 zero bytes.
 """
 
@@ -32,7 +33,9 @@ from foretrace.session import ship_by_value
 ship_by_value(__name__)
 
 WIDTH = 64
-SKIPPED = ("script", "style", "head", "template", "noscript")
+SKIPPED = ("script", "style", "template", "noscript")
+# What a head can hold; any other tag, or text, ends it.
+HEAD = ("base", "basefont", "bgsound", "head", "html", "link", "meta", "noframes", "title", *SKIPPED)
 MEDIA = ("img", "audio", "video", "source", "embed")
 BLOCKS = ("p", "div", "article", "section", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "br", "table", "tr", "td", "figure", "figcaption", "nav", "body")
 PART = StructType([
@@ -47,6 +50,7 @@ class Interleaver(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.parts, self.run, self.skip, self.caption, self.figure = [], [], 0, None, None
+        self.head, self.title = False, False
 
     def close_run(self):
         text = " ".join("".join(self.run).split())
@@ -55,6 +59,9 @@ class Interleaver(HTMLParser):
             self.parts.append({"kind": "text", "text": text, "ref": None, "caption": None})
 
     def handle_starttag(self, tag, attrs):
+        if not self.skip:
+            self.head = tag == "head" or (self.head and tag in HEAD)
+            self.title = self.head and tag == "title"
         if tag in SKIPPED:
             self.skip += 1
         elif tag in BLOCKS:
@@ -72,6 +79,8 @@ class Interleaver(HTMLParser):
     def handle_endtag(self, tag):
         if tag in SKIPPED:
             self.skip = max(0, self.skip - 1)
+        elif tag in ("head", "title"):
+            self.head, self.title = self.head and tag != "head", False
         elif tag == "figcaption" and self.caption is not None:
             text, self.caption = " ".join("".join(self.caption).split()), None
             for part in self.parts[self.figure or 0:] if self.figure is not None else ():
@@ -84,7 +93,9 @@ class Interleaver(HTMLParser):
             self.close_run()
 
     def handle_data(self, data):
-        if not self.skip:
+        if self.head and not self.skip and not self.title and data.strip():
+            self.head = False
+        if not self.skip and not self.head:
             (self.run if self.caption is None else self.caption).append(data)
 
 

@@ -74,6 +74,15 @@ def test_sequences_keep_order_and_captions(spark):
     assert [(r["position"], r["size"]) for r in rows] == [(0, None), (1, 7), (2, None), (3, None), (4, None)]
 
 
+@pytest.mark.parametrize("end", ["</head>", "", "</head></head>"])
+@pytest.mark.parametrize("body", ["<body>", "", "<body class='x'>\n"])
+def test_a_head_without_end_tag_ends_where_the_body_begins(end, body):
+    head = "<html><head>\n<meta charset=utf-8><title>no title</title><style>p{}</style><script>no()</script>\n"
+    rest = "<p>One</p><img src=a alt=b><template>no</template><title>Two</title></html>"
+    assert [(p["kind"], p["text"] or p["ref"]) for p in media.sequence(head + end + body + rest)] == [("text", "One"), ("media", "a"), ("text", "Two")]
+    assert [p["text"] for p in media.sequence(head + end + "bare text <b>of</b> a page")] == ["bare text of a page"]
+
+
 def plain_measures(text):
     text = text or ""
     words = WORD.findall(text)
