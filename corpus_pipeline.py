@@ -45,9 +45,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, in training order."""
+    """Documents as often as the mix takes them, each whole, in training order."""
     mixed = mixing.mix(renamed(docs, "size", "source_size", "target", "taken", "takes", "words", "position"), CURRICULUM)
-    return mixing.training_order(mixed).drop("size", "source_size", "target", "words", "position").toDF(*docs.columns)
+    return mixing.training_order(mixed, whole=True).drop("size", "source_size", "target", "words", "position").toDF(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,8 +12,9 @@ position. Documents are range-sorted by that position.
 A source is cut into buckets of the order's hash. Sizes are summed per (source,
 bucket) before any shuffle, buckets get their offsets from the small table of
 sums, and only inside a bucket rows are ordered, so no source meets in one task.
-The last document that a target takes is cut at the target's word, so a source
-gives its target to the word (rounded to whole words).
+The words taken of the last document end at the target's word, so a source
+gives its target to the word (rounded to whole words). Its text is cut there in
+``training_order``, or stays whole with the taken words beside it.
 
 Defined results: null and empty texts have size 0 and take nothing; they have
 no position and sort last. Null is a source of its own, the last in rank.
@@ -128,10 +129,16 @@ def by_position(mixed: DataFrame) -> DataFrame:
     return mixed.withColumn("_first", first).repartitionByRange("_first", "doc_id").sortWithinPartitions("_first", "doc_id").drop("_first")
 
 
-def training_order(mixed: DataFrame, text: str = "text") -> DataFrame:
-    """One row for each time a document is taken, range-sorted by position, the text cut where the target ends."""
+def training_order(mixed: DataFrame, text: str = "text", whole: bool = False) -> DataFrame:
+    """One row for each time a document is taken, range-sorted by position.
+
+    The text is cut where the target ends; with ``whole`` it stays as it is, and
+    ``words`` tells how much of it the target asks for.
+    """
     kept = [c for c in mixed.columns if c not in ("takes", "taken")]
     rows = mixed.select(*[f"`{c}`" for c in kept], F.inline("takes"))
+    if whole:
+        return rows.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
     cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(SPACED_WORD), F.lit(0)), F.lit(1), F.col("words").cast("int")), "")
     rows = rows.withColumn(text, F.when(F.col("words") < F.col("size"), cut).otherwise(F.col(text)))
     return rows.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")

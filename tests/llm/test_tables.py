@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from foretrace.llm import chat, mixing, url_filters
 from foretrace.llm.queries import CURRICULUM, RULES
 from llm_rows import no_docs, odd_docs  # noqa: F401
@@ -55,6 +56,17 @@ def test_training_order_is_sorted_and_cut_to_the_word(odd_docs):
     assert sum(r["words"] for r in rows) == mixed.agg(F.sum("taken")).first()[0]
 
 
+def test_the_last_document_of_a_target_can_stay_whole(odd_docs):
+    mixed = mixing.mix(odd_docs, CURRICULUM).cache()
+    rows = mixing.training_order(mixed, whole=True).collect()
+    texts = {(r["doc_id"], r["text"]) for r in odd_docs.collect()}
+    assert [r["position"] for r in rows] == sorted(r["position"] for r in rows) and any(r["words"] < r["size"] for r in rows)
+    assert all((r["doc_id"], r["text"]) in texts and len(WORD.findall(r["text"])) == r["size"] for r in rows)
+    assert sum(r["words"] for r in rows) == mixed.agg(F.sum("taken")).first()[0]
+    staged = corpus_pipeline.mixture(odd_docs.sparkSession, odd_docs, "").collect()
+    assert len(staged) == len(rows) and all((r["doc_id"], r["text"]) in texts for r in staged)
+
+
 def test_positions_follow_the_schedules(spark):
     docs = spark.createDataFrame([(i, "w " * 10, s) for s in ("falls", "level", "rises") for i in range(300)], "doc_id bigint, text string, source string")
     rows = mixing.mix(docs, [[(0.0, 2.0), (1.0, 0.0)], [(0.0, 1.0), (1.0, 1.0)], [(0.0, 0.0), (1.0, 2.0)]], share_percent=100).collect()
