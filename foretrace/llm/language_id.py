@@ -11,10 +11,13 @@ of every piece, summed per language. Expected counts are made in tasks over
 distinct words and summed by (language, piece); the driver gets a table of
 vocabulary times languages.
 
-Words are runs of letters, lower-cased, with the vocabulary's word mark; runs of
-more than 40 letters count as several words. A character outside the
+Words are runs of letters, lower-cased, with the vocabulary's word mark. Runs of
+more than 40 letters are summed in logarithms, as their probabilities are too
+small for numbers; the work is linear in their length, since pieces have a
+longest size. A character outside the
 vocabulary is a piece of small probability. The score of the best language is
-its posterior with the evidence of long texts tempered to that of 30 words.
+its posterior with the evidence of long texts tempered to that of 30 words, for
+which every 40 letters of a run count as one.
 
 Defined results: ``und`` and score 0 for a null text or one without letters, or
 where no language was learned; equal scores go to the language that sorts
@@ -39,10 +42,12 @@ ship_by_value(__name__)
 
 SAMPLE_ROWS = 3000
 ROUNDS = 2
+# Longer runs are summed in logarithms.
 LONGEST_WORD = 40
 TEMPERED_WORDS = 30
 # Words whose probabilities a task keeps from batch to batch before it starts anew.
 KEPT_WORDS = 200_000
+KEPT_LETTERS = 8_000_000
 # Larger batches than elsewhere: words of one length are scored together.
 WORD_BATCH_ROWS = 5000
 UNKNOWN = 1e-9
@@ -62,7 +67,16 @@ def words_of(text: str) -> list[str]:
     runs = LETTERS.findall(text.lower())
     if not any(c.isalpha() for r in runs for c in r):
         return []
-    return [MARK + r[i:i + LONGEST_WORD] for r in runs for i in range(0, len(r), LONGEST_WORD)]
+    return [MARK + r for r in runs]
+
+
+def is_long(word: str) -> bool:
+    return len(word) > LONGEST_WORD + len(MARK)
+
+
+def weight_of(word: str) -> int:
+    """Words that a run counts as."""
+    return -(-(len(word) - len(MARK)) // LONGEST_WORD)
 
 
 class Lattice:
@@ -105,6 +119,56 @@ class Lattice:
                     ahead[end] += ahead[end - k] * p[ids]
         return ahead
 
+    def pieces_of(self, word: str) -> np.ndarray:
+        """ids[start, size - 1] of one word, as in ``groups``."""
+        length, get = len(word), self.ids.get
+        table = np.full((length, min(self.longest, length)), -1, np.int32)
+        for k in range(1, table.shape[1] + 1):
+            table[:length - k + 1, k - 1] = np.fromiter((get(word[s:s + k], -1) for s in range(length - k + 1)), np.int32, length - k + 1)
+        first = table[:, 0]
+        first[first < 0] = self.unknown
+        return table
+
+    def log_forward(self, ids: np.ndarray, logs: np.ndarray) -> np.ndarray:
+        """Log probabilities of all beginnings of one word; ``logs`` has the logarithms of ``forward``'s p."""
+        length, sizes = ids.shape
+        ahead = np.zeros((length + 1, logs.shape[1]))
+        for end in range(1, length + 1):
+            k = np.arange(1, min(sizes, end) + 1)
+            parts = ahead[end - k] + logs[ids[end - k, k - 1]]
+            most = parts.max(0)
+            ahead[end] = most + np.log(np.exp(parts - most).sum(0))
+        return ahead
+
+    def log_expected(self, word: str, logs: np.ndarray, times: float) -> np.ndarray:
+        """``expected`` of one long word."""
+        ids = self.pieces_of(word)
+        length, sizes = ids.shape
+        ahead, behind = self.log_forward(ids, logs)[:, 0], np.zeros(length + 1)
+        for start in range(length - 1, -1, -1):
+            k = np.arange(1, min(sizes, length - start) + 1)
+            parts = behind[start + k] + logs[ids[start, k - 1], 0]
+            behind[start] = parts.max() + np.log(np.exp(parts - parts.max()).sum())
+        uses = np.zeros(self.unknown + 2)
+        for k in range(1, sizes + 1):
+            some = ids[:length - k + 1, k - 1]
+            part = np.exp(ahead[:length - k + 1] + logs[some, 0] + behind[k:] - ahead[length]) * times
+            uses += np.bincount(some + 1, weights=part, minlength=len(uses) + 1)[1:len(uses) + 1]
+        return uses
+
+    def log_words(self, words: list[str], p: np.ndarray) -> np.ndarray:
+        """Log probabilities of words, a row each."""
+        out = np.zeros((len(words), p.shape[1]))
+        short = [i for i, w in enumerate(words) if not is_long(w)]
+        for some, table in self.groups([words[i] for i in short]):
+            out[[short[i] for i in some]] = np.log(np.maximum(self.forward(table, p)[-1], 1e-300))
+        if len(short) < len(words):
+            logs = logarithms(p)
+            for i, w in enumerate(words):
+                if is_long(w):
+                    out[i] = self.log_forward(self.pieces_of(w), logs)[-1]
+        return out
+
     def expected(self, table: np.ndarray, p: np.ndarray, times: np.ndarray) -> np.ndarray:
         """Expected uses of each piece, one language's words weighted by ``times``."""
         n, length, sizes = table.shape
@@ -127,6 +191,11 @@ def padded(p: np.ndarray) -> np.ndarray:
     return np.vstack([p, np.full((1, p.shape[1]), UNKNOWN), np.zeros((1, p.shape[1]))])
 
 
+def logarithms(p: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore"):
+        return np.log(p)
+
+
 def word_counts(texts: DataFrame) -> DataFrame:
     """(lang, word, n) of distinct words per language."""
     schema = StructType([StructField("lang", StringType()), StructField("word", StringType()), StructField("n", LongType())])
@@ -154,8 +223,12 @@ def expected_uses(counts: DataFrame, shared, languages: list[str]) -> np.ndarray
             for i, one in enumerate(languages):
                 mine = [j for j, x in enumerate(lang) if x == one]
                 uses = np.zeros(len(pieces) + 2)
+                long, mine = [j for j in mine if is_long(word[j])], [j for j in mine if not is_long(word[j])]
                 for some, table in lattice.groups([word[j] for j in mine]):
                     uses += lattice.expected(table, padded(p[:, [i]]), np.array([n[mine[s]] for s in some], float))
+                logs = logarithms(padded(p[:, [i]]))
+                for j in long:
+                    uses += lattice.log_expected(word[j], logs, n[j])
                 at = np.flatnonzero(uses[:len(pieces)])
                 yield pa.RecordBatch.from_pydict({"lang": pa.array([one] * len(at), pa.string()), "piece": pa.array(at, pa.int64()), "uses": pa.array(uses[at], pa.float64())})
 
@@ -198,19 +271,18 @@ def predict(docs: DataFrame, model: dict | None, text: str = "text", keep: list[
         m = shared.value
         lattice, p = Lattice(m["pieces"]), padded(m["p"])
         ids: dict[str, int] = {}
-        logs = np.zeros((0, p.shape[1]))
+        logs, weights, letters = np.zeros((0, p.shape[1])), np.zeros(0), 0
 
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
-            nonlocal ids, logs
-            if len(ids) > KEPT_WORDS:
-                ids, logs = {}, logs[:0]
+            nonlocal ids, logs, weights, letters
+            if len(ids) > KEPT_WORDS or letters > KEPT_LETTERS:
+                ids, logs, weights, letters = {}, logs[:0], weights[:0], 0
             known = len(ids)
             texts = [np.array([ids.setdefault(w, len(ids)) for w in words_of(t.as_py() or "")], np.int64) for t in batch.column(column)]
             fresh = list(ids)[known:]
-            new = np.zeros((len(fresh), p.shape[1]))
-            for some, table in lattice.groups(fresh):
-                new[some] = np.log(np.maximum(lattice.forward(table, p)[-1], 1e-300))
-            logs = np.vstack([logs, new])
+            logs = np.vstack([logs, lattice.log_words(fresh, p)])
+            weights = np.append(weights, [weight_of(w) for w in fresh])
+            letters += sum(map(len, fresh))
             langs, scores = [], []
             for words in texts:
                 if not len(words):
@@ -218,7 +290,7 @@ def predict(docs: DataFrame, model: dict | None, text: str = "text", keep: list[
                     scores.append(0.0)
                     continue
                 evidence = logs[words].sum(0) + m["prior"]
-                tempered = evidence * min(1.0, TEMPERED_WORDS / len(words))
+                tempered = evidence * min(1.0, TEMPERED_WORDS / weights[words].sum())
                 posterior = np.exp(tempered - tempered.max())
                 best = int(np.argmax(evidence))
                 langs.append(m["languages"][best])

@@ -1,6 +1,8 @@
 """The Jaccard join against brute force, models on held-out rows, and the pipeline."""
 
+import math
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -181,6 +183,38 @@ def test_forward_sums_all_segmentations_and_uses_add_up():
         assert (uses * lengths).sum() == pytest.approx(sum(len(words[i]) for i in some))
 
 
+def log_of_all_cuts(word, p, unknown):
+    """The same by exact fractions, beginning by beginning."""
+    p = {x: Fraction(float(v)) for x, v in p.items()}
+    ahead = [Fraction(1)]
+    for end in range(1, len(word) + 1):
+        ahead.append(sum(ahead[end - k] * p.get(word[end - k:end], Fraction(unknown) if k == 1 else 0) for k in range(1, min(4, end) + 1)))
+    return math.log(ahead[-1].numerator) - math.log(ahead[-1].denominator)
+
+
+def test_a_run_of_any_length_is_one_word(spark):
+    pieces = ["▁", "a", "b", "ab", "▁a", "ba", "aba", "▁ab"]
+    p = np.random.default_rng(2).dirichlet(np.ones(len(pieces)), 2).T
+    lattice, rows = language_id.Lattice(pieces), language_id.padded(p)
+    text = "ab" * 30 + " " + "abbaz" * 100 + " ab " + "b" * 40 + " " + "b" * 41
+    words = language_id.words_of(text)
+    assert [w[1:] for w in words] == text.split() and [language_id.weight_of(w) for w in words] == [2, 13, 1, 1, 2]
+    got = lattice.log_words(words, rows)
+    for w, x in zip(words, got):
+        for i in range(2):
+            assert x[i] == pytest.approx(log_of_all_cuts(w, dict(zip(pieces, p[:, i])), language_id.UNKNOWN))
+    lengths = np.array([len(x) for x in pieces] + [1, 0])
+    assert (lattice.log_expected(words[1], np.log(rows[:, [0]] + 1e-320), 3.0) * lengths).sum() == pytest.approx(3 * len(words[1]))
+    (_, table), = lattice.groups([words[0]])
+    assert np.allclose(lattice.log_expected(words[0], np.log(rows[:, [0]] + 1e-320), 1.0), lattice.expected(table, rows[:, [0]], np.ones(1)))
+    docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    model = {"languages": ["x", "y"], "prior": np.log([0.5, 0.5]), "pieces": pieces, "p": p}
+    total = got.sum(0)
+    row = language_id.predict(docs, model).first()
+    tempered = (total - total.max()) * min(1.0, 30 / 19)
+    assert row["lang_pred"] == "xy"[int(np.argmax(total))] and row["score"] == pytest.approx(1 / np.exp(tempered).sum())
+
+
 def test_languages_of_held_out_rows(spark, tables, odd_docs, no_docs):
     docs, _ = tables
     found = queries()["op10_language_id"](spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
