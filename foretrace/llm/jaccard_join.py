@@ -25,7 +25,8 @@ ones first link each set to the posting's least. Once those components are
 known, postings that still hold several are dealt into blocks, and sets of
 different components are compared by finer bitmaps inside the blocks' tasks;
 only pairs that pass leave them. So no group gives all its pairs, yet no link
-between components is missed.
+between components is missed. Links inside a component are not all made for
+that; ``links`` gives all of them.
 
 Equal sets are one class from the start: copies of a text cost one row each.
 Rows: a null or empty text has no tokens and is its own component; repeated
@@ -407,15 +408,20 @@ def open_pairs(docs: DataFrame, text: str, rule: Rule, rows: DataFrame, classes:
     return placed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, out).distinct()
 
 
+def distinct_sets(rows: DataFrame) -> DataFrame:
+    """key, short, n, bitmap and ``first``, the least row, of each class of equal sets."""
+    return pin(rows.where("n > 0").groupBy("key", "short").agg(
+        F.first("n").alias("n"), F.first("bitmap").alias("bitmap"),
+        F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")).alias("first")))
+
+
 def members(
     docs: DataFrame, text: str = "text", width: int = 4, percent: int = 85, rare_limit: int = RARE_LIMIT, frequent_capacity: int = FREQUENT_CAPACITY,
 ) -> DataFrame:
     """Every row's doc_id, digest (of its text), n (set size) and ``first``, the least row of its component."""
     rule = Rule(width, percent)
     rows = pin(profiles(docs, text, rule))
-    classes = pin(rows.where("n > 0").groupBy("key", "short").agg(
-        F.first("n").alias("n"), F.first("bitmap").alias("bitmap"),
-        F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")).alias("first")))
+    classes = distinct_sets(rows)
     found = pin(postings(docs, text, rule, frequent_tokens(docs, text, rule, rare_limit, frequent_capacity)))
     small, large = found.where(F.col("size") <= rare_limit), found.where(F.col("size") > rare_limit)
     hubs = large.where("short = least")
@@ -444,6 +450,26 @@ def joined(rows: DataFrame, classes: DataFrame, root: DataFrame) -> DataFrame:
     return rows.join(per_class, "key", "left").select("doc_id", "digest", "n", F.coalesce("first", own).alias("first"))
 
 
+def links(
+    docs: DataFrame, text: str = "text", width: int = 4, percent: int = 85, rare_limit: int = RARE_LIMIT, frequent_capacity: int = FREQUENT_CAPACITY,
+) -> DataFrame:
+    """(a, b, n_a, n_b) of every pair of similar, different sets, once: doc_id of each set's least row, and set sizes.
+
+    Large postings are compared in blocks as if each set were a component of
+    its own, so the work and the result grow with the square of a group.
+    """
+    rule = Rule(width, percent)
+    classes = distinct_sets(profiles(docs, text, rule))
+    found = pin(postings(docs, text, rule, frequent_tokens(docs, text, rule, rare_limit, frequent_capacity)))
+    small, large = found.where(F.col("size") <= rare_limit), found.where(F.col("size") > rare_limit)
+    alone = large.join(classes.select("short", F.col("key").alias("part")), "short")
+    tried = likely(pairs_of(small, small, rule, "x.short < y.short"), classes, rule).unionByName(open_pairs(docs, text, rule, alone, classes))
+    similar = verified(docs, text, rule, pin(tried.distinct()), classes).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    x, y = (classes.select(F.col("key").alias(k), F.struct("first", "n").alias(f"of_{k}")) for k in "ab")
+    pairs = similar.join(x, "a").join(y, "b").select(F.least("of_a", "of_b").alias("x"), F.greatest("of_a", "of_b").alias("y"))
+    return pairs.select(F.col("x.first.doc_id").alias("a"), F.col("y.first.doc_id").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b"))
+
+
 def component_ids(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     return members(docs, **options).select("doc_id", F.col("n").alias("n_shingles"), F.col("first.doc_id").alias("component_id"))

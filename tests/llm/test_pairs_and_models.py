@@ -67,6 +67,22 @@ def test_components_match_brute_force(spark, limit, capacity):
     assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == {i: (len(s), want[i]) for i, s in enumerate(sets)}
 
 
+@pytest.mark.parametrize("limit,capacity", [(16, 1 << 20), (1, 40)])
+def test_links_match_brute_force(spark, monkeypatch, limit, capacity):
+    monkeypatch.setattr(jaccard_join, "BLOCK_ROWS", 5)
+    base = [f"v{i}" for i in range(120)]
+    texts = near_copies(limit, groups=8) + [" ".join(base[:k] + ["changed"] + base[k + 1:]) for k in range(4, 116, 4)]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(None, texts[0])], "doc_id bigint, text string")
+    first = {}
+    for i, s in enumerate(plain_sets(texts, 4)):
+        if s:
+            first.setdefault(frozenset(s), i)
+    sets = sorted(first, key=first.get)
+    want = [(first[x], first[y], len(x), len(y)) for i, x in enumerate(sets) for y in sets[i + 1:] if 100 * len(x & y) >= 85 * len(x | y)]
+    rows = jaccard_join.links(docs, rare_limit=limit, frequent_capacity=capacity).collect()
+    assert sorted(map(tuple, rows)) == sorted(want) and len(want) >= 28 * 27 / 2
+
+
 def test_signatures_cover_every_similar_pair():
     rng, rule = np.random.default_rng(5), jaccard_join.Rule(4, 85)
     for _ in range(300):
