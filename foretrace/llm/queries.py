@@ -216,3 +216,79 @@ def op10_language_id(spark, sf_dir):
     model = language_id.fitted(docs, pieces, remainder(F.col("doc_id"), 4) != 2)
     found = language_id.predict(docs.select("doc_id", "text"), model, keep=["doc_id"])
     return found.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query("op11_source_divergence", r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+t AS (SELECT id, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS total FROM t GROUP BY ALL HAVING count(DISTINCT id) >= 10),
+langs AS (SELECT lang, count(*) AS v, sum(total)::HUGEINT AS size FROM kept GROUP BY 1),
+n AS (SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY ALL),
+groups AS (SELECT lang, source, coalesce(size, 0)::HUGEINT AS size FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN (SELECT lang, source, sum(n) AS size FROM n GROUP BY ALL) USING (lang, source)),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(n.n, 0) AS n, 1 + (1000000000 * (coalesce(n.n, 0) + 2)::HUGEINT) // (g.size + 2 * v) AS p,
+         1 + (1000000000 * (k.total + 2)::HUGEINT) // (langs.size + 2 * v) AS q
+  FROM groups g JOIN kept k USING (lang) JOIN langs USING (lang) LEFT JOIN n USING (lang, source, term)),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS f FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term GROUP BY ALL) s
+  ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+typical AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // (p + q))::BIGINT AS value FROM p WHERE n > 0 AND p > q)
+SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM (FROM pairs UNION ALL FROM typical)
+QUALIFY part = 'pair' OR rank <= 10""")
+def op11_source_divergence(spark, sf_dir):
+    """How far the sources of each language differ, and each source's most typical terms."""
+    from foretrace.llm import divergence
+
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+@query("op12_warc", """
+WITH held AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+last AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS response FROM held),
+typed AS (SELECT *, payload_bytes >= 1000 AND page_id IS DISTINCT FROM response AND response IS NOT NULL AS again FROM last)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN response END AS refers_to
+FROM typed""")
+def op12_warc(spark, sf_dir):
+    """All pages written as WARC records into seekable bundles, read back, revisits resolved through the index."""
+    from foretrace.llm import warc
+
+    records = warc.resolved(warc.write_archive(table(spark, sf_dir, "pages")))
+    return records.select(
+        F.col("key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("response").cast("long").alias("refers_to"))
+
+
+def _clustering_sql(clusters: int = 16, rounds: int = 3) -> str:
+    """Rounds of exact k-means, one common table expression after the other."""
+    nearest = """a{r} AS MATERIALIZED (
+  SELECT id, vec_id, q, c, d FROM (SELECT v.id, v.vec_id, v.q, k.c, list_sum(list_transform(range(1, 65), lambda i: (v.q[i] - k.q[i]) * (v.q[i] - k.q[i])))::BIGINT AS d FROM v, c{r} k)
+  QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, c) = 1)"""
+    moved = """c{n} AS MATERIALIZED (
+  SELECT c, coalesce(m.q, o.q) AS q FROM c{r} o LEFT JOIN (
+    SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS q
+    FROM (SELECT c, i, sum(x) AS s, count(*) AS n FROM (SELECT c, unnest(q) AS x, unnest(range(1, 65)) AS i FROM a{r}) GROUP BY ALL) GROUP BY c) m USING (c))"""
+    steps = [nearest.format(r=0)]
+    for i in range(rounds):
+        steps += [moved.format(r=i, n=i + 1), nearest.format(r=i + 1)]
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, q) - 1 AS c, q FROM (SELECT q, sha256('1:' || vec_id) AS h FROM v WHERE vec_id IS NOT NULL ORDER BY h, q LIMIT {clusters})),
+{', '.join(steps)}
+SELECT vec_id, a.c::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(k.q, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} k USING (c)"""
+
+
+@query("op13_centroids", _clustering_sql())
+def op13_centroids(spark, sf_dir):
+    """Every embedding's exact k-means cluster in integers, by Shallot search."""
+    from foretrace.llm import centroids
+
+    assigned, found = centroids.cluster(table(spark, sf_dir, "embeddings"))
+    return centroids.with_inertia(assigned, found).select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
