@@ -14,11 +14,11 @@ Most terms are absent from most sources, so a pair's sum is taken as
 The first two follow from the sizes of the sources and from how many terms a
 source has how often. The last comes from the tree. A term's row lists its
 nonzero counts in order of source; equal rows are one row with a multiplicity.
-Rows are sorted, so rows with the same beginning are neighbours, and a sweep
-holds one path of the tree at a time: a node is a (source, count) after a given
-beginning, and when the sweep leaves it, its correction with each ancestor is
-added once, times the number of terms below it. A beginning that is cut by the
-border of a partition is two nodes whose terms add up to the same sum.
+Rows are sorted, so rows with the same beginning are neighbours and a node, a
+(source, count) after a given beginning, is a run of rows. Its correction with
+each ancestor is made once, times the number of terms in the run. A batch of
+rows is taken depth by depth, all its nodes of a depth at once. A run that the
+border of a batch or partition cuts is two nodes whose terms add up to the same.
 
 Texts never leave their task: tasks emit (language, source, term) counts of
 chunks. The row of one term has an entry per source at most, and the result has a row
@@ -38,6 +38,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -52,10 +53,13 @@ TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 LEAST_DOCUMENTS = 10
 TOP_TERMS = 10
 UNIT = 1_000_000_000
-# A chunk's counts are emitted when they hold so many terms or bytes of terms, a sweep's sums when they hold so many pairs.
-CHUNK_TERMS = 200_000
-CHUNK_BYTES = 16 << 20
-SWEEP_PAIRS = 500_000
+# A chunk's counts are emitted when they hold so many terms, or come from so many bytes of text.
+CHUNK_TERMS = 300_000
+CHUNK_BYTES = 32 << 20
+# Places in a table of rows by depth.
+TABLE_ENTRIES = 1 << 20
+# Entries of a row that range borders are drawn from.
+BORDER_ENTRIES = 4
 # Parts that the terms of one language are dealt into where they meet its sources.
 SALTS = 16
 
@@ -66,11 +70,12 @@ def term_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source:
     schema = StructType([StructField("lang", StringType()), StructField("source", StringType()), StructField("term", StringType()),
                          StructField("n", LongType()), StructField("docs", LongType())])
 
-    def rows(counts: dict) -> pa.RecordBatch:
-        found = [(lang, source, term, n, d) for (lang, source), (total, held) in counts.items() for (term, n), d in zip(total.items(), map(held.get, total))]
-        kinds = (pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64())
-        arrays = [pa.array(column, kind) for column, kind in zip(zip(*found), kinds)] if found else [pa.array([], k) for k in kinds]
-        return pa.RecordBatch.from_arrays([*arrays[:2], arrays[2].cast(pa.string()), *arrays[3:]], names=schema.names)
+    def rows(counts: dict):
+        for (lang, source), (total, held) in counts.items():
+            n = len(total)
+            yield pa.RecordBatch.from_arrays([
+                pa.repeat(pa.scalar(lang), n), pa.repeat(pa.scalar(source), n), pa.array(list(total), pa.binary()).cast(pa.string()),
+                pa.array(total.values(), pa.int64()), pa.array(map(held.__getitem__, total), pa.int64())], names=schema.names)
 
     def count(batches):
         counts: dict[tuple[str, str], tuple[Counter, Counter]] = {}
@@ -79,16 +84,16 @@ def term_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source:
             for batch in slices(whole):
                 for text, lang, source in zip(*(c.to_pylist() for c in batch.columns)):
                     total, held = counts.setdefault((lang, source), (Counter(), Counter()))
-                    known = len(total)
-                    once = Counter(TERM.findall((text or b"").lower()))
-                    total.update(once)
-                    held.update(once.keys())
-                    terms += len(total) - known
-                    size += sum(map(len, once)) if len(total) > known else 0
+                    found = TERM.findall((text or b"").lower())
+                    terms -= len(total)
+                    total.update(found)
+                    held.update(set(found))
+                    terms += len(total)
+                    size += len(text or b"")
                     if terms > CHUNK_TERMS or size > CHUNK_BYTES:
-                        yield rows(counts)
+                        yield from rows(counts)
                         counts, terms, size = {}, 0, 0
-        yield rows(counts)
+        yield from rows(counts)
 
     # bytes.lower() changes A-Z alone.
     parts = docs.select(F.col(f"`{text}`").cast("binary").alias("text"), *columns).mapInArrow(count, schema)
@@ -113,80 +118,61 @@ def differences(p, q):
     return (p - q) ** 2 // (p + q)
 
 
-class Sweep:
-    """One path of the tree of sorted rows, and the corrections of the nodes it has left."""
-
-    def __init__(self):
-        self.lang, self.path = None, []
-        self.source, self.p, self.absent = [], np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.times: list[int] = []
-        self.place: dict[str, int] = {}
-        self.sums: dict[int, np.ndarray] = {}
-        self.size = 0
-
-    def leave(self, depth: int) -> None:
-        """Go back to ``depth`` nodes; each node left is corrected with all its ancestors at once."""
-        while len(self.path) > depth:
-            at, node, times = len(self.path) - 1, self.source.pop(), self.times.pop()
-            self.path.pop()
-            if at:
-                self.times[-1] += times
-                p, absent, own, none = self.p[:at], self.absent[:at], self.p[at], self.absent[at]
-                both = differences(p, own) - differences(p, none) - differences(absent, own) + differences(absent, none)
-                sums = self.sums.get(node)
-                if sums is None or len(sums) < len(self.place):
-                    grown = np.zeros(2 * len(self.place), np.int64)
-                    if sums is not None:
-                        grown[:len(sums)] = sums
-                    self.size += len(grown) - (0 if sums is None else len(sums))
-                    sums = self.sums[node] = grown
-                sums[self.source] += both * times
-
-    def add(self, lang: str, times: int, row: list[tuple]) -> None:
-        """The next row in order: keep the beginning it shares with the path, append the rest."""
-        shared = 0
-        if lang == self.lang:
-            while shared < min(len(row), len(self.path)) and row[shared] == self.path[shared]:
-                shared += 1
-        self.leave(shared)
-        self.lang = lang
-        fresh = row[shared:]
-        self.path += fresh
-        self.source += [self.place.setdefault(x[0], len(self.place)) for x in fresh]
-        self.p = np.concatenate([self.p[:shared], np.array([x[1] for x in fresh], np.int64)])
-        self.absent = np.concatenate([self.absent[:shared], np.array([x[2] for x in fresh], np.int64)])
-        self.times += [0] * len(fresh)
-        self.times[-1] += times
-
-    def emitted(self) -> pa.RecordBatch:
-        """(lang, source, item, value) of the sums so far, which start anew; the path stays."""
-        names, found = list(self.place), []
-        for node, sums in self.sums.items():
-            found += [(self.lang, names[i], names[node], int(sums[i])) for i in np.flatnonzero(sums)]
-        self.sums, self.size = {}, 0
-        columns = list(zip(*found)) if found else [[]] * 4
-        kinds = (pa.string(), pa.string(), pa.string(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["lang", "source", "item", "value"])
+def node_corrections(source: np.ndarray, p: np.ndarray, absent: np.ndarray, length: np.ndarray, times: np.ndarray):
+    """(ancestor source, node source, value) sums of the tree of sorted rows of one language, depth by depth.
+
+    The rows are flat: ``length`` entries each. At a depth a new node begins
+    wherever a row differs from the row before at or above it; its terms are
+    those of all rows up to the next such place.
+    """
+    rows, depth = len(length), int(length.max(initial=0))
+    filled = np.arange(depth) < length[:, None]
+
+    def table(values):
+        out = np.full((rows, depth), -1, np.int64)
+        out[filled] = values
+        return out
+
+    source, p, absent = table(source), table(p), table(absent)
+    same = (source[1:] == source[:-1]) & (p[1:] == p[:-1]) & filled[1:]
+    shared = np.concatenate([[0], np.cumprod(same, axis=1).sum(1)]) if rows else np.zeros(0, int)
+    for d in range(1, depth):
+        begin = np.flatnonzero(shared <= d)
+        terms = np.add.reduceat(times, begin)
+        real = filled[begin, d]
+        begin, terms = begin[real], terms[real]
+        own, none = p[begin, d][:, None], absent[begin, d][:, None]
+        above, empty = p[begin, :d], absent[begin, :d]
+        both = differences(above, own) - differences(above, none) - differences(empty, own) + differences(empty, none)
+        pair, place = np.unique((source[begin, :d] << 32) + source[begin, d][:, None], return_inverse=True)
+        sums = np.zeros(len(pair), np.int64)
+        np.add.at(sums, place.ravel(), (both * terms[:, None]).ravel())
+        yield pair >> 32, pair & 0xFFFFFFFF, sums
 
 
 def joint_corrections(paths: DataFrame) -> DataFrame:
     """(lang, source, item, value), source before item, of terms that both have; ``paths`` is sorted within partitions."""
     schema = "lang string, source string, item string, value bigint"
 
+    def corrections(lang: str, rows: pa.RecordBatch):
+        entries = rows.column(2).flatten()
+        names = entries.field("source").dictionary_encode()
+        flat = [entries.field(c).to_numpy() for c in ("p", "absent")]
+        length, times = (x.to_numpy().astype(np.int64) for x in (pc.list_value_length(rows.column(2)), rows.column(1)))
+        for above, node, value in node_corrections(names.indices.to_numpy().astype(np.int64), *flat, length, times):
+            yield pa.RecordBatch.from_arrays([
+                pa.repeat(pa.scalar(lang), len(value)), names.dictionary.take(pa.array(above)), names.dictionary.take(pa.array(node)), pa.array(value)],
+                names=["lang", "source", "item", "value"])
+
     def run(batches):
-        sweep = Sweep()
         for whole in batches:
             for batch in slices(whole):
-                for lang, times, path in zip(*(c.to_pylist() for c in batch.columns)):
-                    if sweep.lang is not None and sweep.lang != lang:
-                        sweep.leave(0)
-                        yield sweep.emitted()
-                        sweep = Sweep()
-                    sweep.add(lang, times, [(x["source"], x["p"], x["absent"]) for x in path])
-                    if sweep.size > SWEEP_PAIRS:
-                        yield sweep.emitted()
-        sweep.leave(0)
-        yield sweep.emitted()
+                langs = batch.column(0).dictionary_encode()
+                for code, lang in enumerate(langs.dictionary.to_pylist()):
+                    mine = batch.filter(pc.equal(langs.indices, code))
+                    most = max(1, TABLE_ENTRIES // pc.max(pc.list_value_length(mine.column(2))).as_py())
+                    for at in range(0, mine.num_rows, most):
+                        yield from corrections(lang, mine.slice(at, most))
 
     return paths.select("lang", "times", "path").mapInArrow(run, schema)
 
@@ -228,7 +214,8 @@ def audit(
     # Terms with equal rows are one row of the tree.
     rows = held.groupBy("lang", "term").agg(F.sort_array(F.collect_list(F.struct("source", "p", "absent"))).alias("path"))
     paths = pin(rows.groupBy("lang", "path").agg(F.count("*").alias("times")))
-    both = joint_corrections(paths.repartitionByRange("lang", "path").sortWithinPartitions("lang", "path"))
+    borders = paths.withColumn("beginning", F.slice("path", 1, BORDER_ENTRIES)).repartitionByRange("lang", "beginning")
+    both = joint_corrections(borders.sortWithinPartitions("lang", "path"))
     both = both.groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
     uses = held.groupBy("lang", "source", "p", "absent").agg(F.count("*").alias("times"))
     one = salted_pairs(uses, groups).select(
