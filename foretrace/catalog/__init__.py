@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ["windows", "scores", "scalars", "tables", "documents", "ratings", "models", "plans", "streams", "analytics"]
+FAMILIES = ["windows", "scores", "scalars", "tables", "documents", "ratings", "models", "plans", "streams", "analytics", "serving"]
 
 
 def _load():

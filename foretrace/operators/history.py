@@ -84,9 +84,17 @@ class Recent:
     window: int
 
 
+@dataclass(frozen=True)
+class Latest:
+    """Newest non-null value of ``source`` in any previous row, however far back."""
+
+    name: str
+    source: str
+
+
 # ``source`` is SQL text: a wide family is one ``selectExpr`` call on the JVM
 # rather than a dozen round trips per expression.
-Feature = Rolling | Decayed | Total | Previous | Recent
+Feature = Rolling | Decayed | Total | Previous | Recent | Latest
 
 
 def games_before(name: str = "games_played") -> Total:
@@ -154,6 +162,9 @@ def _weighted(partition, order, features, halo: bool) -> list[str]:
         elif isinstance(f, Total):
             own = f"CASE WHEN NOT {_HALO} THEN {f.source} END" if halo else f.source
             value = f"coalesce(sum({own}) {_over(partition, order, BEFORE)}, 0)"
+        elif isinstance(f, Latest):
+            own = f"CASE WHEN NOT {_HALO} THEN {f.source} END" if halo else f.source
+            value = f"last({own}, true) {_over(partition, order, BEFORE)}"
         elif isinstance(f, Previous):
             value = f"lag({f.source}, 1) {_over(partition, order)}"
         elif isinstance(f, Recent):
@@ -219,6 +230,7 @@ def _in_chunks(df, keys, order, features, chunks: int) -> DataFrame:
     base = df.columns
     reach = reach_of(features)
     totals = [f for f in features if isinstance(f, Total)]
+    latest = [f for f in features if isinstance(f, Latest)]
     decayed = [f for f in features if isinstance(f, Decayed)]
     # The checkpoint fixes the sampled range bounds: a lost executor re-reads it.
     rows = pin(
@@ -231,12 +243,14 @@ def _in_chunks(df, keys, order, features, chunks: int) -> DataFrame:
     sizes = rows.groupBy(*by_chunk).agg(
         F.count("*").alias("_n"),
         *[F.expr(f"sum({f.source})").alias(f"_t_{f.name}") for f in totals],
+        *[F.expr(f"max_by({f.source}, CASE WHEN {f.source} IS NOT NULL THEN struct({', '.join(order)}) END)").alias(f"_t_{f.name}") for f in latest],
     )
     earlier = line.rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select(
         *by_chunk, "_n",
         F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"),
         *[F.coalesce(F.sum(f"_t_{f.name}").over(earlier), F.lit(0)).alias(f"_b_{f.name}") for f in totals],
+        *[F.last(f"_t_{f.name}", ignorenulls=True).over(earlier).alias(f"_b_{f.name}") for f in latest],
     )
     ahead = F.collect_list(F.struct(F.col(_CHUNK).alias("chunk"), F.col("_start").alias("start")))
     end = F.col("_start") + F.col("_n")
@@ -260,7 +274,7 @@ def _in_chunks(df, keys, order, features, chunks: int) -> DataFrame:
     over = _over(by_chunk, order, BEFORE)
     local = [f"last(CASE WHEN NOT {_HALO} THEN _e_{f.name} END, true) {over} AS _l_{f.name}" for f in decayed]
     out = placed.selectExpr("*", *_weighted(by_chunk, order, features, True), *local).where(~F.col(_HALO))
-    carry = sizes.select(*by_chunk, *[f"_b_{f.name}" for f in totals])
+    carry = sizes.select(*by_chunk, *[f"_b_{f.name}" for f in [*totals, *latest]])
     if decayed:
         out = pin(out)
         newest = out.groupBy(*by_chunk).agg(*[
@@ -271,12 +285,14 @@ def _in_chunks(df, keys, order, features, chunks: int) -> DataFrame:
             F.last(f"_c_{f.name}", ignorenulls=True).over(earlier).alias(f"_c_{f.name}") for f in decayed
         ])
         carry = carry.join(newest, by_chunk)
-    if totals or decayed:
+    if totals or latest or decayed:
         out = out.join(bounded(carry), by_chunk, "left")
     final = []
     for f in features:
         if isinstance(f, Total):
             final.append((F.col(f.name) + F.col(f"_b_{f.name}")).alias(f.name))
+        elif isinstance(f, Latest):
+            final.append(F.coalesce(f.name, f"_b_{f.name}").alias(f.name))
         elif isinstance(f, Decayed):
             final.append(F.coalesce(f"_l_{f.name}", f"_c_{f.name}").alias(f.name))
         else:
