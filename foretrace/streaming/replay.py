@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from foretrace.session import fresh_path, pin
 
-FILES_PER_TRIGGER = 1000
+# A micro-batch takes so many files of at most so many rows.
+FILES_PER_TRIGGER = 16
+ROWS_PER_FILE = 50_000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -50,16 +52,17 @@ def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], pro
 def replay(df: DataFrame, by: str, consume: Callable[[DataFrame], None], last: DataFrame | None = None) -> None:
     """Land ``df`` one value of ``by`` after the other and consume each landing.
 
-    ``by`` has few values (seasons). The order of arrival is the order of
-    ``by``; inside a landing the files may come in any order and number. The
-    table is computed once, and a micro-batch takes a bounded number of files.
-    ``last`` lands after all, for instance to move the watermark on.
+    ``by`` has few values (seasons), a null one lands first. The order of
+    arrival is the order of ``by``; inside a landing the files may come in any
+    order and number. The table is computed once. A micro-batch takes a bounded
+    number of files of a bounded number of rows. ``last`` lands after all, for
+    instance to move the watermark on.
     """
     spark = df.sparkSession
     path = fresh_path(spark, "landed")
     rows = pin(df)
     for i, row in enumerate(rows.select(by).distinct().orderBy(by).collect()):
-        rows.where(F.col(by).eqNullSafe(F.lit(row[0]))).write.parquet(f"{path}/{i:06d}")
+        rows.where(F.col(by).eqNullSafe(F.lit(row[0]))).write.option("maxRecordsPerFile", ROWS_PER_FILE).parquet(f"{path}/{i:06d}")
         consume(file_stream(spark, path, df.schema, FILES_PER_TRIGGER))
     if last is not None:
         last.select(*df.columns).write.parquet(f"{path}/last")

@@ -22,21 +22,38 @@ def test_log_stores_a_repeated_batch_once(spark, tmp_path):
     assert sorted((r.game_id, r.prob) for r in L.PredictionLog(spark, str(tmp_path / "small")).latest().collect()) == want
 
 
-def test_rolling_state_equals_the_windows(spark, season_rows):
-    rows = season_rows.select("game_id", "team_id", "season", "game_num", "x")
+def ended(rows, key):
+    return rows.limit(1).withColumns({key: F.lit(-1).cast("bigint"), "event_time": F.lit("2100-01-01").cast("timestamp")})
+
+
+def test_rolling_state_equals_the_windows_whatever_the_order_within_the_delay(spark, season_rows, monkeypatch):
+    """Rows come up to 8 games late, in many small micro-batches."""
+    monkeypatch.setattr(P, "FILES_PER_TRIGGER", 1)
+    monkeypatch.setattr(P, "ROWS_PER_FILE", 25)
+    rows = season_rows.select("game_id", "team_id", "season", "game_num", "x", S.sequence_time(F.col("season"), F.col("game_num")).alias("event_time"))
+    rows = rows.withColumn("arrival", F.col("season") * 100 + ((F.col("game_num") + F.pmod(F.xxhash64("game_id"), F.lit(9))) / 11).cast("int"))
     order = ["season", "game_num", "game_id"]
-    got = P.replayed(rows, "season", lambda s: S.rolling_stream(s, "team_id", ["game_id", "team_id"], order, "x", [5], "season"), "t")
-    want = with_history(rows, ["team_id", "season"], ["game_num", "game_id"], [Rolling("x_l5", "x", 5), games_before()])
-    a = {r.game_id: (None if r.x_l5 is None else round(r.x_l5, 9), r.games_played) for r in got.collect()}
-    b = {r.game_id: (None if r.x_l5 is None else round(r.x_l5, 9), r.games_played) for r in want.collect()}
-    assert a == b
+    build = lambda s: S.rolling_stream(s, "team_id", ["game_id", "team_id"], order, "x", [5], "season", delay="25 seconds")
+    got = P.replayed(rows, "arrival", build, "t", ended(rows, "team_id")).collect()
+    want = with_history(rows, ["team_id", "season"], ["game_num", "game_id"], [Rolling("x_l5", "x", 5), games_before()]).collect()
+    key = lambda found: sorted((r.game_id, None if r.x_l5 is None else round(r.x_l5, 9), r.games_played) for r in found)
+    assert key(got) == key(want) and len(got) == 100
+
+
+def test_nothing_leaves_before_the_watermark(spark, season_rows):
+    rows = season_rows.select("game_id", "team_id", "season", "game_num", "x", S.sequence_time(F.col("season"), F.col("game_num")).alias("event_time"))
+    rows = rows.unionByName(rows.limit(1).withColumn("event_time", F.lit(None).cast("timestamp")))
+    build = lambda s: S.rolling_stream(s, "team_id", ["game_id", "team_id", "game_num", "season"], ["game_id"], "x", [5], delay="5 seconds")
+    got = P.replayed(rows, "season", build, "w").collect()
+    assert {r.game_num for r in got if r.season == 2025} == set(range(1, 21)) and len([r for r in got if r.season == 2024]) == 50
 
 
 def test_rating_state_equals_the_chain(spark):
     from test_ratings import GAMES, SCHEMA
 
-    games = spark.createDataFrame(GAMES, SCHEMA)
-    got = {r.game_id: round(r.home_elo, 9) for r in P.replayed(games, "season", S.elo_stream, "e").collect()}
+    games = spark.createDataFrame(GAMES, SCHEMA).withColumn("event_time", S.sequence_time(F.col("season"), F.col("game_num")))
+    stream = P.replayed(games, "season", lambda s: S.elo_stream(s, delay="30000 seconds"), "e", ended(games, "league").withColumn("home_id", F.lit(-1).cast("bigint")))
+    got = {r.game_id: round(r.home_elo, 9) for r in stream.collect()}
     want = {r.game_id: round(r.home_elo, 9) for r in R.pregame(R.elo_pass(games)).collect()}
     assert got == want
 
