@@ -3,7 +3,8 @@
 A text longer than a limit is split before encoding, only where white space
 follows a character that is no white space: every alternative of the
 pre-splitting pattern that holds such a character ends with one, so a match
-never crosses that place and the ids are those of the whole text.
+never crosses that place and the ids are those of the whole text. That holds for
+``SAFE_PATTERNS``; under any other pattern texts are never split.
 
 Null and empty texts have no ids and decode to no bytes. Ids decode to raw
 bytes: the ids of a part of a text need not be valid UTF-8. Rows are handled
@@ -54,6 +55,15 @@ def safe_parts(text: str, limit: int = SPLIT_CHARS) -> Iterator[str]:
     yield text[start:] if start else text
 
 
+# Fixed value: the pattern for which the places of ``safe_parts`` are safe.
+SAFE_PATTERNS = {r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"}
+
+
+def split_limit(pattern: str, split_chars: int) -> int:
+    """Characters after which texts may be split under a pattern; beyond any text where that isn't known to be safe."""
+    return split_chars if pattern in SAFE_PATTERNS else 1 << 62
+
+
 def encode(encoding: tiktoken.Encoding, text: str, limit: int = SPLIT_CHARS) -> list[int]:
     """Token ids of a text."""
     if len(text) <= limit:
@@ -74,10 +84,10 @@ def encode_documents(
     column = docs.columns.index(text)
 
     def prepare():
-        encoding = codec(ranks.value, pattern)
+        encoding, limit = codec(ranks.value, pattern), split_limit(pattern, split_chars)
 
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
-            ids = (encode(encoding, t.as_py() or "", split_chars) for t in batch.column(column))
+            ids = (encode(encoding, t.as_py() or "", limit) for t in batch.column(column))
             return [pa.array(ids, pa.list_(pa.int32()))]
 
         return work
@@ -104,6 +114,26 @@ def decode_documents(
     return arrow_columns(encoded, encoded.columns if keep is None else keep, [StructField("decoded", BinaryType())], prepare)
 
 
+def code_documents(
+    docs: DataFrame, rank_path: str, pattern: str, text: str = "text", keep: list[str] | None = None, split_chars: int = SPLIT_CHARS,
+) -> DataFrame:
+    """``encode_documents`` and ``decode_documents`` in one pass, so that a task holds one worker and one rank table."""
+    ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(rank_path))
+    column = docs.columns.index(text)
+
+    def prepare():
+        encoding, limit = codec(ranks.value, pattern), split_limit(pattern, split_chars)
+
+        def work(batch: pa.RecordBatch) -> list[pa.Array]:
+            ids = [encode(encoding, t.as_py() or "", limit) for t in batch.column(column)]
+            return [pa.array(ids, pa.list_(pa.int32())), pa.array(map(encoding.decode_bytes, ids), pa.binary())]
+
+        return work
+
+    fields = [StructField("token_ids", ArrayType(IntegerType(), False)), StructField("decoded", BinaryType())]
+    return arrow_columns(docs, docs.columns if keep is None else keep, fields, prepare)
+
+
 def digests(coded: DataFrame) -> DataFrame:
     """Token counts and SHA-256 digests of the ids (decimal, joined by a space) and of the decoded bytes."""
     written = F.array_join(F.col("token_ids").cast("array<string>"), " ")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -13,7 +13,7 @@ from foretrace.session import ship_by_value
 
 ship_by_value(__name__)
 
-# Rows of texts in an Arrow batch.
+# Rows of texts in an Arrow batch, where a query or stage sets it.
 BATCH_ROWS = 500
 # Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -53,23 +53,24 @@ def replacing(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*kept, *[c.alias(n) for n, c in columns.items()])
 
 
-def in_small_batches(df: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
-    """The frame, its session set to send workers at most so many rows at a time.
+def prepare(spark: SparkSession) -> None:
+    """Send Python workers at most ``BATCH_ROWS`` rows at a time, for queries and stages over texts.
 
     Texts make rows long; the default of 10,000 rows would be held several
-    times over by the JVM and by every Python worker.
+    times over by the JVM and by every worker. This is a setting of the
+    session, so the application makes it; operators leave it alone.
     """
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-    return df
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
 def arrow_columns(
     df: DataFrame, keep: list[str], fields: list[StructField], prepare: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]],
-    batch_rows: int = BATCH_ROWS,
+    gathered: bool = False,
 ) -> DataFrame:
     """Columns ``keep`` plus new ones that Python makes of each Arrow batch.
 
-    ``prepare`` runs once per task and returns a function of a batch of ``df``.
+    ``prepare`` runs once per task and returns a function of a batch of ``df``;
+    with ``gathered`` it gets small batches joined up to the size of a slice.
     Kept columns named like a new one (in any case) are dropped.
     """
     new = {f.name.lower() for f in fields}
@@ -80,15 +81,18 @@ def arrow_columns(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = prepare()
-        for whole in batches:
+        for whole in joined(batches) if gathered else batches:
             for batch in slices(whole):
                 made = work(batch)
                 yield pa.RecordBatch.from_arrays([batch.column(i) for i in place] + made, names=names)
 
-    return in_small_batches(df, batch_rows).mapInArrow(run, schema)
+    return df.mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+SLICE_BYTES = 4 << 20
+
+
+def slices(batch: pa.RecordBatch, most_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of bounded bytes, a single long row staying whole."""
     rows = batch.num_rows
     if rows <= 1 or batch.nbytes <= most_bytes:
@@ -99,6 +103,18 @@ def slices(batch: pa.RecordBatch, most_bytes: int = 4 << 20) -> Iterator[pa.Reco
     yield from slices(batch.slice(half), most_bytes)
 
 
+def joined(batches: Iterator[pa.RecordBatch], most_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches in order, small ones joined as long as they hold no more bytes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if held and sum(x.nbytes for x in held) + batch.nbytes > most_bytes:
+            yield pa.concat_batches(held)
+            held = []
+        held.append(batch)
+    if held:
+        yield pa.concat_batches(held)
+
+
 def remainder(doc_id: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts`` (null id: null)."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(parts))

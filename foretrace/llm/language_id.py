@@ -46,10 +46,12 @@ ROUNDS = 2
 LONGEST_WORD = 40
 TEMPERED_WORDS = 30
 # Words whose probabilities a task keeps from batch to batch before it starts anew.
-KEPT_WORDS = 200_000
-KEPT_LETTERS = 8_000_000
-# Larger batches than elsewhere: words of one length are scored together.
-WORD_BATCH_ROWS = 5000
+KEPT_WORDS = 100_000
+KEPT_LETTERS = 2_000_000
+# Places that words of one length are looked up for at once.
+SPANS = 250_000
+# Distinct words that one task of a round of the fit is meant for.
+WORDS_PER_TASK = 2000
 UNKNOWN = 1e-9
 MARK = "▁"
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -96,7 +98,7 @@ class Lattice:
         for length, indices in by_length.items():
             sizes = min(self.longest, length)
             spans = [(s, s + k) for s in range(length) for k in range(1, min(sizes, length - s) + 1)]
-            most = max(1, 1_000_000 // len(spans))
+            most = max(1, SPANS // len(spans))
             for at in range(0, len(indices), most):
                 some = indices[at:at + most]
                 flat = np.array([get(words[i][a:b], -1) for i in some for a, b in spans], np.int32).reshape(len(some), len(spans))
@@ -249,6 +251,8 @@ def fitted(docs: DataFrame, pieces: list[str], usable: Column, text: str = "text
         return None
     languages = sorted(shares)
     counts = pin(word_counts(texts))
+    # The words are few bytes and much work: their number, not their size, says how many tasks share them.
+    counts = pin(counts.repartition(max(1, -(-counts.count() // WORDS_PER_TASK)), "word"))
     p = np.full((len(pieces), len(languages)), 1 / len(pieces))
     for _ in range(rounds):
         shared = docs.sparkSession.sparkContext.broadcast((pieces, p))
@@ -299,4 +303,4 @@ def predict(docs: DataFrame, model: dict | None, text: str = "text", keep: list[
 
         return work
 
-    return arrow_columns(docs, keep, [StructField("lang_pred", StringType()), StructField("score", DoubleType())], prepare, WORD_BATCH_ROWS)
+    return arrow_columns(docs, keep, [StructField("lang_pred", StringType()), StructField("score", DoubleType())], prepare, gathered=True)

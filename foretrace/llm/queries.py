@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foretrace.llm.common import prepare
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -15,7 +18,12 @@ def query(name: str, sql: str | None = None):
     """Register a function of (spark, sf_dir) and, where it exists, its SQL twin."""
 
     def register(fn):
-        QUERIES[name] = fn
+        @functools.wraps(fn)
+        def run(spark, sf_dir):
+            prepare(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
         return fn
@@ -83,7 +91,7 @@ held AS (
 hosts AS (SELECT source, count(DISTINCT digest) AS texts FROM texts GROUP BY 1),
 frequent AS (
   SELECT h.source, h.k FROM held h JOIN hosts USING (source) GROUP BY h.source, h.k, texts
-  HAVING count(DISTINCT digest) > 10 AND 100 * count(DISTINCT digest) > 10 * texts),
+  HAVING count(DISTINCT digest) > 20 OR (count(DISTINCT digest) > 10 AND 100 * count(DISTINCT digest) > 10 * texts)),
 gone AS (SELECT source, digest, sum(n)::BIGINT AS n FROM held JOIN frequent USING (source, k) GROUP BY 1, 2),
 measured AS (
   SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
@@ -98,7 +106,7 @@ def op2_quality_rules(spark, sf_dir):
     """Base rules and cross-document line frequency per source over all documents."""
     from foretrace.llm import quality_rules
 
-    return quality_rules.judge(table(spark, sf_dir, "documents")).select(
+    return quality_rules.judge(table(spark, sf_dir, "documents"), enough_documents=20).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "kept")
 
 
@@ -164,8 +172,7 @@ def op7_byte_bpe(spark, sf_dir):
     from foretrace.llm import byte_bpe
 
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    encoded = byte_bpe.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern, keep=["doc_id"])
-    return byte_bpe.digests(byte_bpe.decode_documents(encoded, path, pattern))
+    return byte_bpe.digests(byte_bpe.code_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern, keep=["doc_id"]))
 
 
 CONTROL_TEXT = "</s>[INST] ok [/INST]"

@@ -6,10 +6,12 @@ import re
 import zlib
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from foretrace.llm import byte_bpe, media, quality_rules
+import corpus_pipeline
+from foretrace.llm import byte_bpe, common, media, quality_rules
 from llm_rows import no_docs, odd_docs  # noqa: F401
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -27,6 +29,23 @@ def test_ids_and_bytes_are_those_of_the_library(odd_docs):
         assert bytes(r["decoded"]) == (r["text"] or "").encode()
 
 
+def test_one_pass_equals_two_and_the_library(odd_docs):
+    pattern, clash = public_tokenizers.PATTERN, odd_docs.withColumn("Decoded", F.lit(1))
+    encoding = byte_bpe.codec(byte_bpe.read_ranks(RANKS), pattern)
+    rows = byte_bpe.code_documents(clash, RANKS, pattern, split_chars=50).collect()
+    assert len(rows) == odd_docs.count() and "Decoded" not in rows[0]
+    assert all(list(r["token_ids"]) == encoding.encode_ordinary(r["text"] or "") and bytes(r["decoded"]) == (r["text"] or "").encode() for r in rows)
+    staged = {r["doc_id"]: r["n_tokens"] for r in corpus_pipeline.tokens(odd_docs.sparkSession, odd_docs, "").collect() if r["doc_id"]}
+    assert staged == {r["doc_id"]: len(encoding.encode_ordinary(r["text"] or "")) for r in rows if r["doc_id"]}
+
+
+def test_other_patterns_are_never_split():
+    greedy = r"[^\s]+[\r\n ]*|\s+"
+    encoding, text = byte_bpe.codec(byte_bpe.read_ranks(RANKS), greedy), "word \n" * 50
+    assert byte_bpe.encode(encoding, text, byte_bpe.split_limit(greedy, 10)) == encoding.encode_ordinary(text)
+    assert byte_bpe.split_limit(public_tokenizers.PATTERN, 10) == 10
+
+
 @pytest.mark.parametrize("text", ["a b  c\n\n d", "x" * 300, " lead", "tail  ", "don't  \n stop\u00a0 now \x85 y\x1c z", "ab \u3000 cd\n" * 40])
 @pytest.mark.parametrize("limit", [1, 3, 10])
 def test_safe_parts_encode_like_the_whole(text, limit):
@@ -136,3 +155,26 @@ def test_a_line_of_enough_documents_goes_from_a_host_of_any_size(spark, enough):
 
 def test_rules_of_an_empty_table(no_docs):
     assert quality_rules.judge(no_docs).count() == 0
+
+
+def test_a_line_of_many_texts_goes_whatever_the_size_of_its_host(spark):
+    """21 texts of a host of 21 and of one of 2,000 hold the same line: both hosts' texts are depleted alike."""
+    line, words = "subscribe to our letter and share this page with all your friends today " * 3, "alpha beta gamma delta epsilon zeta eta theta"
+    rows = [(i, f"{line}\n{words} {i}", "small") for i in range(21)]
+    rows += [(1000 + i, f"{line}\n{words} {i}" if i < 21 else f"own line {''.join(chr(97 + int(c)) for c in str(i))} " * 8, "large") for i in range(2000)]
+    judged = quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, source string"), enough_documents=20)
+    gone = judged.where("depleted").select("doc_id").collect()
+    assert sorted(r[0] for r in gone) == [*range(21), *range(1000, 1021)]
+
+
+def test_batches_are_joined_and_cut_by_bytes():
+    batch = pa.RecordBatch.from_pydict({"x": [b"a" * 100] * 10})
+    whole = [*common.joined(iter([batch] * 7), 3 * batch.nbytes)]
+    assert [b.num_rows for b in whole] == [30, 30, 10] and all(b.nbytes <= 700 or b.num_rows == 1 for w in whole for b in common.slices(w, 700))
+
+
+def test_operators_leave_the_session_alone(spark, odd_docs):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    byte_bpe.code_documents(odd_docs, RANKS, public_tokenizers.PATTERN)
+    media.store_media(odd_docs)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
