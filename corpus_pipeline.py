@@ -2,8 +2,9 @@
 
 Each stage is one operator over all that the stage before kept, written as
 Parquet and read again. ORACLE_SQL is None: the classifier, the language model
-and the tokenizer have no SQL form; tests hold every stage against a plain
-version on small tables.
+and the tokenizer have no SQL form. Tests hold near duplicates, mixture and
+tokens against plain versions on small tables, and the vote and the sum over
+segmentations that the first two stages rest on.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foretrace.llm import byte_bpe, jaccard_join, language_id, mixing, quality_classifier
-from foretrace.llm.common import remainder
+from foretrace.llm.common import prepare, remainder
 from foretrace.llm.queries import CURRICULUM, table
 from foretrace.session import fresh_path
 
@@ -22,6 +23,7 @@ ACCEPTED_LANGUAGE = 0.5
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score reaches the accepted quality."""
+    prepare(spark)
     labels = table(spark, sf_dir, "labels")
     model = quality_classifier.fitted(docs, labels, remainder(F.col("doc_id"), 5) != 0)
     scored = quality_classifier.score(renamed(docs, "score"), model)
@@ -32,6 +34,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that is recognised with some certainty."""
     import public_tokenizers
 
+    prepare(spark)
     pieces = language_id.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
     model = language_id.fitted(docs, pieces, remainder(F.col("doc_id"), 4) != 2)
     found = language_id.predict(renamed(docs, "lang_pred", "score"), model)
@@ -41,6 +44,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five-word shingles, 80 percent."""
+    prepare(spark)
     return jaccard_join.one_of_each(docs, width=5, percent=80)
 
 
@@ -55,8 +59,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    encoded = byte_bpe.encode_documents(docs.select("doc_id", "text"), path, pattern, keep=["doc_id"])
-    return byte_bpe.digests(byte_bpe.decode_documents(encoded, path, pattern))
+    prepare(spark)
+    return byte_bpe.digests(byte_bpe.code_documents(docs.select("doc_id", "text"), path, pattern, keep=["doc_id"]))
 
 
 def renamed(docs: DataFrame, *results: str) -> DataFrame:
