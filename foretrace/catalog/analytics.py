@@ -27,12 +27,20 @@ def by_experience(v: Views):
     return rounded(A.by_experience(scored(v).join(games, "game_id")))
 
 
-_U = "((game_id * 7919 + replicate * 104729 + game_id * replicate % 10007 * 31) % 1000003)::DOUBLE / 1000003"
 
 
-@query("brier_bootstrap", f"""WITH drawn AS (SELECT game_id, brier - power(closing_prob_home - actual_home_win, 2) AS d, unnest(range(0, 201)) AS replicate
-  FROM scored WHERE brier IS NOT NULL AND closing_prob_home IS NOT NULL),
-weighted AS (SELECT replicate, d, CASE WHEN replicate = 0 THEN 1 ELSE {' + '.join(f"CAST({_U} >= {p} AS BIGINT)" for p in A.POISSON_STEPS)} END AS w FROM drawn),
+def _mixed(x: str, name: str) -> str:
+    """Columns that end in the 32-bit mix of x."""
+    return f"""(({x}) & 4294967295)::UBIGINT AS {name}0, (xor({name}0, {name}0 >> 16) * {A.MIX[0]}) & 4294967295 AS {name}1,
+  (xor({name}1, {name}1 >> 13) * {A.MIX[1]}) & 4294967295 AS {name}2, xor({name}2, {name}2 >> 16) AS {name}"""
+
+
+@query("brier_bootstrap", f"""WITH sample AS (SELECT brier - power(closing_prob_home - actual_home_win, 2) AS d, game_id::UBIGINT AS k
+  FROM scored WHERE brier IS NOT NULL AND closing_prob_home IS NOT NULL AND actual_home_win IS NOT NULL),
+hashed AS (SELECT d, {_mixed(f'(k >> 32) + {A.GOLDEN}', 'a')}, {_mixed('xor(a, k & 4294967295)', 'h')} FROM sample),
+drawn AS (SELECT d, h, unnest(range(0, 201)) AS replicate FROM hashed),
+numbers AS (SELECT d, replicate, {_mixed(f'h + replicate::UBIGINT * {A.GOLDEN}', 'x')}, x / 4294967296.0::DOUBLE AS u FROM drawn),
+weighted AS (SELECT replicate, d, CASE WHEN replicate = 0 THEN 1 ELSE {' + '.join(f"CAST(u >= {p}::DOUBLE AS BIGINT)" for p in A.POISSON_STEPS)} END AS w FROM numbers),
 means AS (SELECT replicate, count(*) AS n, sum(d * w) / sum(w) AS mean FROM weighted GROUP BY replicate)
 SELECT max(n) AS n, {r('max(mean) FILTER (replicate = 0)', 'difference')}, {r('quantile_cont(mean, 0.025) FILTER (replicate > 0)', 'low')},
   {r('quantile_cont(mean, 0.975) FILTER (replicate > 0)', 'high')} FROM means""")

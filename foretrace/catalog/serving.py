@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 
 from foretrace.catalog.registry import query, r, rounded
 from foretrace.operators import asof as A
+from foretrace.session import fresh_path
+from foretrace.sources import pruned as P
+from foretrace.sources.scans import save_table
 from foretrace.sources.views import Views
 
 _REST = """SELECT s.game_id, s.team_id, CAST(date_diff('day', p.game_date, s.game_date) AS BIGINT) AS rest_days
@@ -48,3 +51,34 @@ def slate_context_days(v: Views):
     openers = v.matches.groupBy("season").agg(F.min("game_date").alias("season_opener"))
     slate = v.matches.select("game_id", "season", "game_date", "home_id", "away_id")
     return rounded(A.slate_contexts(slate, v.sides, v.matches, openers, row_bound=4 * v.rows("orders")).drop("season", "game_date", "home_id", "away_id"))
+
+
+_TARGET = "SELECT game_id, season, home_score, home_win, went_to_ot FROM matches WHERE game_id % 10 <> 0"
+_SOURCE = """SELECT game_id, season, home_score + 1 AS home_score, CASE WHEN game_id % 6 <> 0 THEN home_win END AS home_win, 1 - went_to_ot AS went_to_ot
+  FROM matches WHERE season >= 1997 AND game_id % 3 = 0"""
+_PICK = {
+    "replace": "CASE WHEN s.game_id IS NOT NULL THEN s.{0} ELSE t.{0} END", "coalesce": "coalesce(s.{0}, t.{0})",
+    "update": "CASE WHEN s.game_id IS NOT NULL THEN s.{0} ELSE t.{0} END", "insert": "CASE WHEN t.game_id IS NOT NULL THEN t.{0} ELSE s.{0} END"}
+
+
+def _merged(policy: str):
+    picked = ", ".join(f"{_PICK[policy].format(c)} AS {c}" for c in ("home_score", "home_win", "went_to_ot"))
+    join = "LEFT" if policy == "update" else "FULL"
+
+    @query(f"merge_stored_{policy}", f"""WITH t AS ({_TARGET}), s AS ({_SOURCE})
+SELECT coalesce(t.game_id, s.game_id) AS game_id, coalesce(t.season, s.season) AS season, {picked} FROM t {join} JOIN s ON t.game_id = s.game_id""")
+    def run(v: Views):
+        """Rows of the newer seasons merged into a stored table of all; older seasons stay untouched."""
+        path = fresh_path(v.spark, f"stored-{policy}")
+        save_table(v.matches.selectExpr("game_id", "season", "home_score", "home_win", "went_to_ot").where("game_id % 10 <> 0"), path)
+        source = v.matches.where("season >= 1997 AND game_id % 3 = 0").selectExpr(
+            "game_id", "season", "home_score + 1 AS home_score", "CASE WHEN game_id % 6 <> 0 THEN home_win END AS home_win", "1 - went_to_ot AS went_to_ot")
+        # A key filter of hashed bits for one policy, of broadcast keys for the others.
+        P.merge_stored(v.spark, path, source, ["game_id"], policy=policy, broadcast_bytes=0 if policy == "coalesce" else 8 << 20)
+        return v.spark.read.parquet(path).withColumn("season", F.col("season").cast("bigint"))
+
+    return run
+
+
+for _policy in _PICK:
+    _merged(_policy)

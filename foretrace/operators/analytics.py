@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foretrace.functions import scalars as S
 from foretrace.operators.scoring import edge_realization_rows
+from foretrace.session import ship_by_value
+
+ship_by_value(__name__)
 
 EXPERIENCE_EDGES = [0, 10, 20, 40]
 # Cumulative Poisson(1) probabilities of 0, 1, 2, ... draws.
@@ -31,27 +36,61 @@ def by_experience(scored: DataFrame, games: str = "games_played") -> DataFrame:
         F.avg((F.col("feature_coverage") >= S.MIN_FEATURE_COVERAGE).cast("double")).alias("share_covered"))
 
 
-def bootstrap_weight(key: Column, replicate: Column) -> Column:
-    """How often a resample draws a row: Poisson(1) from a uniform number of (row, replicate)."""
-    u = ((key * 7919 + replicate * 104729 + key * replicate % 10007 * 31) % 1000003).cast("double") / 1000003
-    return sum(((u >= p).cast("bigint") for p in POISSON_STEPS), F.lit(0).cast("bigint"))
+# Multipliers of a published 32-bit finalizer, and 2^32 over the golden ratio.
+MIX = (0x85EBCA6B, 0xC2B2AE35)
+GOLDEN = 0x9E3779B1
+# Rows weighed at once.
+BOOTSTRAP_ROWS = 4096
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """32-bit numbers, every bit of the result depending on every bit of the input."""
+    low = np.uint64(0xFFFFFFFF)
+    x = (x ^ (x >> np.uint64(16))) * np.uint64(MIX[0]) & low
+    x = (x ^ (x >> np.uint64(13))) * np.uint64(MIX[1]) & low
+    return x ^ (x >> np.uint64(16))
+
+
+def bootstrap_weights(keys: np.ndarray, replicates: int) -> np.ndarray:
+    """How often each resample draws each row: Poisson(1) of a hash of (row, replicate). Column 0 is the sample itself."""
+    low, k = np.uint64(0xFFFFFFFF), keys.astype(np.int64).view(np.uint64)
+    row = mixed(mixed((k >> np.uint64(32)) + np.uint64(GOLDEN) & low) ^ (k & low))
+    u = mixed(row[:, None] + np.arange(replicates + 1, dtype=np.uint64) * np.uint64(GOLDEN) & low) / 2.0 ** 32
+    weights = np.searchsorted(POISSON_STEPS, u, side="right")
+    weights[:, 0] = 1
+    return weights
+
+
+def replicate_sums(rows: DataFrame, replicates: int) -> DataFrame:
+    """(n, sums, weights): one row a task, arrays by replicate; ``rows`` has (d, k)."""
+    def run(batches):
+        n, sums, weights = 0, np.zeros(replicates + 1), np.zeros(replicates + 1, np.int64)
+        for batch in batches:
+            d, k = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for at in range(0, len(d), BOOTSTRAP_ROWS):
+                drawn = bootstrap_weights(k[at:at + BOOTSTRAP_ROWS], replicates)
+                sums += d[at:at + BOOTSTRAP_ROWS] @ drawn
+                weights += drawn.sum(0)
+            n += len(d)
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64()), "sums": pa.array([sums]), "weights": pa.array([weights])})
+
+    return rows.select("d", "k").mapInArrow(run, "n bigint, sums array<double>, weights array<bigint>")
 
 
 def brier_difference(scored: DataFrame, replicates: int = 200, price: str = "closing_prob_home", key: str = "game_id") -> DataFrame:
     """Mean Brier difference to the market and its bootstrap interval, one row.
 
-    Rows are summed per replicate before the shuffle, so it carries one row per
-    task and replicate.
+    No row is copied: a task keeps one array of sums by replicate, and only these
+    arrays are shuffled. ``key`` is a whole number (null counts as 0).
     """
-    played = scored.where(F.col("brier").isNotNull() & F.col(price).isNotNull())
+    played = scored.where(F.col("brier").isNotNull() & F.col(price).isNotNull() & F.col("actual_home_win").isNotNull())
     d = F.col("brier") - F.pow(F.col(price) - F.col("actual_home_win"), F.lit(2))
-    drawn = played.select(d.alias("d"), F.col(key).alias("k"), F.explode(F.sequence(F.lit(0), F.lit(replicates))).alias("replicate"))
-    # Replicate 0 is the sample itself.
-    weight = F.when(F.col("replicate") == 0, F.lit(1).cast("bigint")).otherwise(bootstrap_weight(F.col("k"), F.col("replicate")))
-    means = drawn.withColumn("w", weight).groupBy("replicate").agg(F.count("*").alias("n"), F.try_divide(F.sum(F.col("d") * F.col("w")), F.sum("w")).alias("mean"))
+    tasks = replicate_sums(played.select(d.cast("double").alias("d"), F.coalesce(F.col(key).cast("bigint"), F.lit(0)).alias("k")), replicates)
+    apart = tasks.select("n", F.posexplode(F.arrays_zip("sums", "weights")).alias("replicate", "x"))
+    means = apart.groupBy("replicate").agg(F.sum("n").alias("n"), F.try_divide(F.sum("x.sums"), F.sum("x.weights")).alias("mean"))
     again = F.when(F.col("replicate") > 0, F.col("mean"))
     return means.agg(
-        F.max("n").alias("n"), F.max(F.when(F.col("replicate") == 0, F.col("mean"))).alias("difference"),
+        F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.max(F.when(F.col("replicate") == 0, F.col("mean"))).alias("difference"),
         F.percentile(again, F.lit(0.025)).alias("low"), F.percentile(again, F.lit(0.975)).alias("high"))
 
 
