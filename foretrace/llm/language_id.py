@@ -51,7 +51,7 @@ KEPT_LETTERS = 2_000_000
 # Places that words of one length are looked up for at once.
 SPANS = 250_000
 # Distinct words that one task of a round of the fit is meant for.
-WORDS_PER_TASK = 2000
+WORDS_PER_TASK = 20_000
 UNKNOWN = 1e-9
 MARK = "▁"
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -179,13 +179,15 @@ class Lattice:
         for start in range(length - 1, -1, -1):
             for k in range(1, min(sizes, length - start) + 1):
                 behind[start] += behind[start + k] * p[table[:, start, k - 1], 0]
-        uses = np.zeros(self.unknown + 2)
+        used, parts = [], []
         for start in range(length):
             for k in range(1, min(sizes, length - start) + 1):
                 ids = table[:, start, k - 1]
-                part = ahead[start] * p[ids, 0] * behind[start + k] / np.maximum(ahead[length], 1e-300) * times
-                uses += np.bincount(ids + 1, weights=part, minlength=len(uses) + 1)[1:len(uses) + 1] if len(ids) else 0
-        return uses
+                held = np.flatnonzero(ids >= 0)
+                ids = ids[held]
+                used.append(ids)
+                parts.append(ahead[start, held] * p[ids, 0] * behind[start + k, held] / np.maximum(ahead[length, held], 1e-300) * times[held])
+        return np.bincount(np.concatenate(used), weights=np.concatenate(parts), minlength=self.unknown + 2)
 
 
 def padded(p: np.ndarray) -> np.ndarray:
