@@ -13,7 +13,9 @@ spark = (SparkSession.builder.master("local[2]").config("spark.ui.enabled", "fal
 from __spark_entry__ import queries
 print("rows", queries()["elo_final"](spark, "/root/testdata/sf0.001").count())
 from foretrace.streaming import replay, stateful
-games = spark.createDataFrame([(1, 0, 2024, 1, 10, 20, 1.0, 0)], "game_id bigint, league bigint, season bigint, game_num bigint, home_id bigint, away_id bigint, home_win double, went_to_ot bigint")
+games = spark.createDataFrame([(1, 0, 2024, 1, 10, 20, 1.0, 0), (2, 0, 2025, 1, 10, 20, 1.0, 0)], "game_id bigint, league bigint, season bigint, game_num bigint, home_id bigint, away_id bigint, home_win double, went_to_ot bigint")
+games = games.selectExpr("*", "timestamp_seconds(season * 100000 + game_num) AS event_time")
+# The second game moves the watermark past the first and waits itself.
 print("streamed", replay.replayed(games, "season", stateful.elo_stream, "e").count())
 """
 
