@@ -17,7 +17,8 @@ once and joined back to its rows.
 Defined results: a null url or one without ``://`` has empty host and path; a
 url that no rule fits gets a null rule and the default verdict; of rules with
 equal host and path ``block`` counts, of equally long rules the one that sorts
-first; an empty rule table leaves all to the default. Rule paths begin with
+first; an empty rule table leaves all to the default. A rule with a null host,
+path or action is left out, rule hosts fit in any case. Rule paths begin with
 ``/`` or are empty. Columns of the results' names are replaced, others kept.
 """
 
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, bisect_right
+from string import ascii_lowercase, ascii_uppercase
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -125,7 +127,9 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str =
     spark = pages.sparkSession
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     located = replacing(pages, host=host_of(F.col(f"`{url}`")), path=path_of(F.col(f"`{url}`")))
-    listed = rules.groupBy("host", "path").agg(F.max("action").alias("action")).select(
+    # A rule with a null says nothing; hosts are compared without case, as those of urls.
+    usable = rules.select(F.translate("host", ascii_uppercase, ascii_lowercase).alias("host"), "path", "action").dropna()
+    listed = usable.groupBy("host", "path").agg(F.max("action").alias("action")).select(
         key_of(labels_of(F.col("host")), F.col("path")).alias("key"), F.size(labels_of(F.col("host"))).alias("n_labels"),
         F.concat("host", "path").alias("rule"), "action")
     deepest = listed.agg(F.max("n_labels")).first()[0] or 0

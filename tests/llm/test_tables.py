@@ -127,3 +127,10 @@ def test_events_fold_to_the_last_generation_and_edit(spark):
     ]
     log = spark.createDataFrame(events, "conv_id bigint, message string, seq int, kind string, position bigint, role string, text string")
     assert [(r["role"], r["text"]) for r in chat.fold_events(log).orderBy("position").collect()] == [("user", "final"), ("assistant", "whole!"), ("", "only")]
+
+
+def test_rules_with_nulls_are_left_out_and_hosts_fit_in_any_case(spark):
+    rules = [("Example.ORG", "/A", "block"), (None, "/", "block"), ("b.net", None, "block"), ("c.com", "/", None)]
+    pages = spark.createDataFrame([(1, "http://www.EXAMPLE.org/A/x"), (2, "http://example.org/a"), (3, "http://b.net/"), (4, "http://c.com/"), (5, None)], "page_id long, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filters.judge(pages, spark.createDataFrame(rules, "host string, path string, action string")).collect()}
+    assert got == {1: ("example.org/A", "block"), **dict.fromkeys((2, 3, 4, 5), (None, "allow"))}
