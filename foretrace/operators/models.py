@@ -8,7 +8,6 @@ the season, so its rows are not copied.
 from __future__ import annotations
 
 import json
-import random
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -75,7 +74,7 @@ def walk_forward(rows: DataFrame) -> DataFrame:
 
 def folds_of(rows: DataFrame) -> list[tuple[list, object]]:
     """(training seasons, test season) pairs; only season labels reach the driver."""
-    seasons = sorted(r[0] for r in rows.select("season").distinct().collect())
+    seasons = sorted(r[0] for r in rows.select("season").where("season IS NOT NULL").distinct().collect())
     return [(seasons[:i], seasons[i]) for i in range(1, len(seasons))]
 
 
@@ -127,7 +126,11 @@ class Fit:
     def score(self, rows: DataFrame) -> DataFrame:
         """Add ``prob``; rows keep their own columns."""
         ready = with_columns_present(rows, self.columns)
-        out = self.model.transform(ready).withColumn("_raw", vector_to_array("probability")[1])
+        return self.probabilities(self.model.transform(ready)).select(*rows.columns, "prob")
+
+    def probabilities(self, out: DataFrame) -> DataFrame:
+        """Add ``prob`` to rows that the model has transformed."""
+        out = out.withColumn("_raw", vector_to_array("probability")[1])
         if self.method == "isotonic":
             out = self.calibration.transform(out).withColumn("prob", F.col("_iso"))
         elif self.method == "platt":
@@ -135,7 +138,7 @@ class Fit:
             out = out.withColumn("prob", vector_to_array("probability")[1])
         else:
             out = out.withColumn("prob", F.col("_raw"))
-        return out.select(*rows.columns, "prob")
+        return out
 
 
 def with_columns_present(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -214,23 +217,37 @@ def brier(scored: DataFrame, label: str = "target") -> float:
     return scored.agg(F.avg(F.pow(F.col("prob") - F.col(label), F.lit(2)))).first()[0]
 
 
+def union_of(parts: Sequence[DataFrame], empty: DataFrame) -> DataFrame:
+    """All parts below each other; ``empty`` gives the columns where there are none."""
+    out = empty
+    for part in parts:
+        out = out.unionByName(part)
+    return out
+
+
 def run_walk_forward(matrix: DataFrame, columns: Sequence[str], kind: str = "logistic", order: Sequence[str] = ("season", "game_num", "game_id"),
-                     calibrated: bool = False, label: str = "target", **params) -> DataFrame:
-    """Out-of-sample probabilities of every fold: (game_id, season, target, prob)."""
-    parts = []
-    for train_seasons, test_season in folds_of(matrix):
-        train = matrix.where(F.col("season").isin(train_seasons) & F.col(label).isNotNull())
-        test = matrix.where(F.col("season") == test_season)
+                     calibrated: bool = False, label: str = "target", parallel: int = 4, **params) -> DataFrame:
+    """Out-of-sample probabilities of every fold: (game_id, season, target, prob).
+
+    Folds are fitted side by side on a matrix that is written once. Fewer than
+    two seasons have no fold and give no rows.
+    """
+    from foretrace.operators.trials import side_by_side
+
+    rows = pin(matrix)
+
+    def fold(train_seasons: list, test_season) -> DataFrame:
+        train = rows.where(F.col("season").isin(train_seasons) & F.col(label).isNotNull())
+        test = rows.where(F.col("season") == test_season)
         if calibrated:
             older, newest = split_newest(train, order)
             fit = calibrate(fit_classifier(older, columns, kind, label, **params), newest, label)
         else:
             fit = fit_classifier(train, columns, kind, label, **params)
-        parts.append(fit.score(test).select("game_id", "season", label, "prob"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+        return fit.score(test).select("game_id", "season", label, "prob")
+
+    parts = side_by_side(rows.sparkSession, [lambda f=f: fold(*f) for f in folds_of(rows)], parallel)
+    return union_of(parts, rows.limit(0).select("game_id", "season", label, F.lit(None).cast("double").alias("prob")))
 
 
 def ensemble_walk_forward(matrix: DataFrame, columns: Sequence[str], kinds: Sequence[str], label: str = "target") -> DataFrame:
@@ -242,48 +259,53 @@ def ensemble_walk_forward(matrix: DataFrame, columns: Sequence[str], kinds: Sequ
 
 def stack(train: DataFrame, test: DataFrame, columns: Sequence[str], kinds: Sequence[str], order: Sequence[str],
           chunks: int = 3, label: str = "target") -> DataFrame:
-    """Stacked probabilities of ``test``.
+    """Stacked probabilities of ``test``, with the number of chunks they rest on.
 
     Base models predict each contiguous chunk from the other chunks; a logistic
     regression on those predictions combines base models refitted on all rows.
+    A chunk is left out where the others have under 100 rows; ``stack_chunks``
+    tells how many were used, and with none the base models' mean is taken.
     """
+    from foretrace.operators.trials import fit_kinds
+
     placed = pin(oof_chunks(train.where(F.col(label).isNotNull()), order, chunks))
-    rows = []
+    names = [f"p_{k}" for k in kinds]
+
+    def base(rows: DataFrame, held: DataFrame, *own: str) -> DataFrame:
+        scored = held
+        for name, fit in zip(names, fit_kinds(rows, columns, kinds, label)):
+            scored = fit.score(scored).withColumnRenamed("prob", name)
+        return scored.select(*own, *names)
+
+    parts = []
     for chunk in range(chunks):
         rest, held = placed.where(F.col("chunk") != chunk), placed.where(F.col("chunk") == chunk)
-        if rest.count() < MIN_TRAIN:
-            continue
-        scored = held.select("game_id", label)
-        for kind in kinds:
-            part = fit_classifier(rest, columns, kind, label).score(held).select("game_id", F.col("prob").alias(f"p_{kind}"))
-            scored = scored.join(part, "game_id")
-        rows.append(scored)
-    oof = rows[0]
-    for part in rows[1:]:
-        oof = oof.unionByName(part)
-    names = [f"p_{k}" for k in kinds]
-    meta = fit_classifier(pin(oof), names, "logistic", label)
-    final = test
-    for kind in kinds:
-        part = fit_classifier(train, columns, kind, label).score(test).select("game_id", F.col("prob").alias(f"p_{kind}"))
-        final = final.join(part, "game_id")
-    return meta.score(final).select(*test.columns, "prob")
+        if rest.count() >= MIN_TRAIN:
+            parts.append(base(rest, held, "game_id", label))
+    final = base(placed, test, *test.columns)
+    if not parts:
+        out = final.withColumn("prob", sum((F.col(n) for n in names), F.lit(0.0)) / len(names))
+    else:
+        out = fit_classifier(union_of(parts[1:], parts[0]), names, "logistic", label).score(final)
+    return out.select(*test.columns, "prob", F.lit(len(parts)).cast("bigint").alias("stack_chunks"))
 
 
 def random_search(matrix: DataFrame, columns: Sequence[str], kind: str, space: dict[str, Sequence], trials: int,
                   label: str = "target", seed: int = 42) -> tuple[dict, float]:
-    """Lowest-Brier parameters on the second newest season, the newest unseen."""
-    seasons = sorted(r[0] for r in matrix.select("season").distinct().collect())
-    train = matrix.where(F.col("season").isin(seasons[:-2]))
-    held = matrix.where((F.col("season") == seasons[-2]) & F.col(label).isNotNull())
-    draw = random.Random(seed)
-    best: tuple[dict, float] = ({}, float("inf"))
-    for _ in range(trials):
-        params = {name: draw.choice(list(values)) for name, values in space.items()}
-        score = brier(fit_classifier(train, columns, kind, label, **params).score(held), label)
-        if score < best[1]:
-            best = (params, score)
-    return best
+    """Lowest-Brier parameters on the second newest season, the newest unseen; every trial at its whole budget."""
+    from foretrace.operators.trials import halving_search
+
+    train, held = search_split(matrix, label)
+    best = halving_search(train, held, columns, kind, space, trials, rungs=1, label=label, seed=seed).where("survived").first()
+    return json.loads(best["params"]), best["brier"]
+
+
+def search_split(matrix: DataFrame, label: str = "target") -> tuple[DataFrame, DataFrame]:
+    """(rows before the second newest season, rows of that season with a result)."""
+    seasons = sorted(r[0] for r in matrix.select("season").where("season IS NOT NULL").distinct().collect())
+    if len(seasons) < 3:
+        raise ValueError("a search needs three seasons: to train, to choose and to leave unseen")
+    return matrix.where(F.col("season").isin(seasons[:-2])), matrix.where((F.col("season") == seasons[-2]) & F.col(label).isNotNull())
 
 
 def importances(fit: Fit) -> list[tuple[str, float]]:
@@ -295,35 +317,17 @@ def importances(fit: Fit) -> list[tuple[str, float]]:
 
 def select_features(train: DataFrame, test: DataFrame, columns: Sequence[str], sizes: Sequence[int],
                     kind: str = "forest", label: str = "target", **params) -> list[tuple[int, float]]:
-    """Brier of the top-n features, ranked inside the training seasons only."""
-    full = fit_classifier(train, columns, kind, label, **params)
-    ranked = [c for c, _ in importances(full)]
-    held = test.where(F.col(label).isNotNull())
-    out = []
-    for size in sorted({min(s, len(ranked)) for s in sizes}):
-        fit = full if size == len(ranked) else fit_classifier(train, ranked[:size], kind, label, **params)
-        out.append((size, brier(fit.score(held), label)))
-    return out
+    """(size, Brier) of the top-n features, ranked inside the training seasons only."""
+    from foretrace.operators.trials import sweep
+
+    return [(r["size"], r["brier"]) for r in sweep(train, test, columns, sizes, kind, label, **params).collect()]
 
 
 def permutation_importance(fit: Fit, rows: DataFrame, columns: Sequence[str], label: str = "target", seed: int = 7) -> DataFrame:
-    """Rise in Brier when one column is shuffled between rows.
+    """Rise in Brier when one column is shuffled between rows, as (feature, brier_rise)."""
+    from foretrace.operators.trials import permutation_table
 
-    A shuffle is a join of the rows with the column's values, both numbered by
-    a seeded random order; numbering goes through the split-safe rank.
-    """
-    held = pin(rows.where(F.col(label).isNotNull()))
-    base = brier(fit.score(held), label)
-    order = ["_h", "game_id"]
-    slots = chronological_rank(held.withColumn("_h", F.xxhash64("game_id", F.lit(seed))), order).drop("_h", "of")
-    values = chronological_rank(
-        held.select("game_id", *[F.col(c).alias(f"_v_{c}") for c in columns]).withColumn("_h", F.xxhash64("game_id", F.lit(seed + 1))), order)
-    # Every row beside another row's values, numbered and joined once for all columns.
-    mixed = pin(slots.join(values.select("position", *[f"_v_{c}" for c in columns]), "position"))
-    out = []
-    for c in columns:
-        out.append((c, brier(fit.score(mixed.withColumn(c, F.col(f"_v_{c}"))), label) - base))
-    return rows.sparkSession.createDataFrame(out, "feature string, brier_rise double")
+    return permutation_table(fit, rows, columns, label, seed).select("feature", "brier_rise")
 
 
 # ---- counts -----------------------------------------------------------------
@@ -361,7 +365,7 @@ def predict_counts(fit: Fit, rows: DataFrame, extra_factor: float = 1.0) -> Data
 
 
 def counts_walk_forward(rows: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
-    """Out-of-sample count forecasts; folds too small to trust are skipped."""
+    """Out-of-sample count forecasts; folds too small to trust are skipped, and without any there are no rows."""
     parts = []
     for train_seasons, test_season in folds_of(rows):
         train, test = rows.where(F.col("season").isin(train_seasons)), rows.where(F.col("season") == test_season)
@@ -369,10 +373,7 @@ def counts_walk_forward(rows: DataFrame, columns: Sequence[str], label: str) ->
             continue
         fit, _ = fit_counts(train, columns, label)
         parts.append(predict_counts(fit, test).select("game_id", "season", F.col(label).cast("double").alias("y"), "pred"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return union_of(parts, rows.limit(0).select("game_id", "season", *[F.lit(None).cast("double").alias(c) for c in ("y", "pred")]))
 
 
 # ---- persistence ------------------------------------------------------------
