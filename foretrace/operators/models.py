@@ -158,7 +158,7 @@ def usable_columns(rows: DataFrame, columns: Sequence[str]) -> tuple[list[str],
 def classifier(kind: str, n_rows: int, label: str = "target", **params):
     if kind == "logistic":
         # An L2 penalty of C = 1 on a summed loss is 1 / n on Spark's mean loss.
-        return LogisticRegression(labelCol=label, regParam=1.0 / max(n_rows, 1), maxIter=200, **params)
+        return LogisticRegression(labelCol=label, **{"regParam": 1.0 / max(n_rows, 1), "maxIter": 200, **params})
     if kind == "forest":
         return RandomForestClassifier(labelCol=label, **{**FOREST, **params})
     if kind == "boost":
