@@ -11,6 +11,7 @@ from foretrace.catalog.windows import CAREER_SQL, W1, _avg, team_facts
 from foretrace.operators import features as Y
 from foretrace.operators import forecasts as C
 from foretrace.operators import models as M
+from foretrace.operators import trials as T
 from foretrace.operators.history import Decayed, Total, with_history
 from foretrace.operators import scoring as E
 from foretrace.plans import matrix as A
@@ -189,24 +190,61 @@ def matrix_columns(v: Views):
     return rounded(matrix_of(v).select("game_id", *names))
 
 
-_FORM = Y.rolling_columns(["won", "xgf_pct", "goals_for"], [5, 10])
-_MODEL_COLUMNS = [*[f"{side}_{c}" for side in ("home", "away", "diff") for c in _FORM], "home_rest_days", "away_rest_days", "home_back_to_back",
-                  "away_back_to_back", "rest_advantage", "season_day", "h2h_home_win_rate_l3", "home_elo", "away_elo", "diff_elo"]
+_WRITTEN: dict[tuple, str] = {}
+
+
+def written(v: Views, name: str, build):
+    """A table that several queries read, written to the shared folder once per session and data folder."""
+    key = (v.spark.sparkContext.applicationId, v.sf_dir, name)
+    if key not in _WRITTEN:
+        path = fresh_path(v.spark, name)
+        build(v).write.parquet(path)
+        _WRITTEN[key] = path
+    return v.spark.read.parquet(_WRITTEN[key])
 
 
 def model_rows(v: Views):
-    """The matrix columns that the fits use: form, rest and ratings."""
-    from foretrace.operators import joins as J
-    from foretrace.operators import ratings as R
+    """The whole matrix: all its columns are offered to the fits."""
+    return written(v, "matrix", matrix_of)
+
+
+def model_columns(v: Views) -> list[str]:
+    return M.feature_columns(model_rows(v))
+
+
+# The matrix by family: the SQL of each is light, since only the strength family needs the rating chain.
+_NAMED = Y.team_feature_list()
+_HOME_AWAY = "FROM matches m JOIN facts hf ON m.game_id = hf.game_id AND hf.is_home AND hf.won IS NOT NULL JOIN facts af ON m.game_id = af.game_id AND NOT af.is_home"
+
+
+def _family(v: Views, names):
+    return rounded(model_rows(v).select("game_id", *names))
+
 
-    features = Y.rolling(["won", "xgf_pct", "goals_for"], [5, 10])
-    form = with_history(team_facts(v), Y.BY_SEASON, Y.IN_SEASON, features, v.match_bound)
-    wide = J.home_away(form, [f.name for f in features])
-    context = Y.context_features(v.matches, v.sides, v.match_bound)
-    elo = R.pregame(R.elo_pass(v.matches))
-    rows = v.matches.select("game_id", "season", "game_num", F.col("home_win").alias("target")).join(
-        wide, "game_id").join(context, "game_id").join(elo, "game_id")
-    return pin(rows)
+@query("matrix_team_columns", f"""WITH tf AS MATERIALIZED (SELECT game_id, is_home, won AS result, {", ".join(_in_sql(f) for f in _NAMED)}
+  FROM (SELECT *, row_number() OVER ({W1}) AS rn FROM facts))
+SELECT h.game_id, {", ".join(x for f in _NAMED for x in _three(f.name))}
+FROM (SELECT * FROM tf WHERE is_home) h JOIN (SELECT * FROM tf WHERE NOT is_home) a ON h.game_id = a.game_id WHERE h.result IS NOT NULL""")
+def matrix_team_columns(v: Views):
+    """Form of both teams: rolling, decayed and venue means, and games played."""
+    return _family(v, [f"{side}_{f.name}" for f in _NAMED for side in ("home", "away", "diff")])
+
+
+@query("matrix_goalie_columns", f"""WITH gf AS MATERIALIZED (SELECT game_id, team_id, {", ".join(f"avg({s}) OVER ({_GCAR} ROWS BETWEEN {w} PRECEDING AND 1 PRECEDING) AS {s}_l{w}" for s in Y.GOALIE_FORM_STATS for w in Y.GOALIE_FORM_WINDOWS)}
+  FROM goalie_games WHERE is_starter)
+SELECT m.game_id, {", ".join(x for c in A.GOALIE for x in _three(c, "g_", False, "hg", "ag"))}
+{_HOME_AWAY} LEFT JOIN gf hg ON m.game_id = hg.game_id AND m.home_id = hg.team_id LEFT JOIN gf ag ON m.game_id = ag.game_id AND m.away_id = ag.team_id""")
+def matrix_goalie_columns(v: Views):
+    """Form of both starting goalies."""
+    return _family(v, [f"{side}_g_{c}" for c in A.GOALIE for side in ("home", "away")])
+
+
+@query("matrix_special_columns", f"""WITH sf AS MATERIALIZED (SELECT game_id, team_id, {", ".join(f"{_p(s, w)} AS {s}_l{w}" for s in Y.SPECIAL_STATS for w in Y.SPECIAL_WINDOWS)} FROM st_games)
+SELECT m.game_id, {", ".join(x for c in A.SPECIAL for x in _three(c, "st_", True, "hs", "sa"))}
+{_HOME_AWAY} LEFT JOIN sf hs ON m.game_id = hs.game_id AND m.home_id = hs.team_id LEFT JOIN sf sa ON m.game_id = sa.game_id AND m.away_id = sa.team_id""")
+def matrix_special_columns(v: Views):
+    """Special-teams form of both teams."""
+    return _family(v, [f"{side}_st_{c}" for c in A.SPECIAL for side in ("home", "away", "diff")])
 
 
 def _split(v: Views):
@@ -216,73 +254,126 @@ def _split(v: Views):
     return rows.where(~newest), rows.where(newest)
 
 
-# Games that the fits see: both teams have facts.
-_PAIRED = "SELECT m.* FROM matches m WHERE game_id IN (SELECT game_id FROM facts GROUP BY game_id HAVING count(*) = 2)"
+# Games that the fits see: both teams have facts and the result is known.
+_PAIRED = f"SELECT m.*, hf.won AS target {_HOME_AWAY}"
+# The features by their rule: every family on its sides, without games played, and what describes the game itself.
+_FEATURES = [f"{side}_{f.name}" for f in _TEAM if f.name != "games_played" for side in ("home", "away", "diff")] + [
+    f"{side}_g_{c}" for c in A.GOALIE for side in ("home", "away")] + [f"{side}_st_{c}" for c in A.SPECIAL for side in ("home", "away", "diff")] + [
+    "home_rest_days", "away_rest_days", "rest_advantage", "home_back_to_back", "away_back_to_back", "season_day", "h2h_home_win_rate_l3",
+    "same_division", "same_conference", "home_elo", "away_elo", "diff_elo"]
 _PAST, _NEWEST = (f"season {op} (SELECT max(season) FROM matches)" for op in ("<", "="))
 
 
-@query("logistic_identity", f"""SELECT count(home_win) AS n, {r('avg(home_win)', 'mean_target')}, TRUE AS calibrated FROM ({_PAIRED}) WHERE {_PAST}""")
+@query("logistic_identity", f"""SELECT count(target) AS n, {r('avg(target)', 'mean_target')}, TRUE AS calibrated FROM ({_PAIRED}) WHERE {_PAST}""")
 def logistic_identity(v: Views):
     """With an intercept, a logistic fit's mean probability is the training rows' mean."""
     train = _split(v)[0].where(F.col("target").isNotNull())
-    fitted = M.fit_classifier(train, _MODEL_COLUMNS, "logistic").score(train)
+    fitted = M.fit_classifier(train, model_columns(v), "logistic").score(train)
     return rounded(fitted.agg(F.count("*").alias("n"), F.avg("target").alias("mean_target"), (F.abs(F.avg("prob") - F.avg("target")) < 1e-3).alias("calibrated")))
 
 
-@query("boosted_newest", f"SELECT count(*) AS n, TRUE AS in_range FROM ({_PAIRED}) WHERE {_NEWEST}")
+@query("feature_names", f"SELECT unnest({_FEATURES}) AS feature, n FROM (SELECT count(target) AS n FROM ({_PAIRED}))")
+def feature_names(v: Views):
+    """The features of the matrix: numeric, neither identifiers nor targets nor how far a season has come."""
+    rows = model_rows(v)
+    names = F.array(*[F.lit(c) for c in M.feature_columns(rows)])
+    return rows.agg(F.count("target").alias("n")).select(F.explode(names).alias("feature"), "n")
+
+
+@query("feature_profile")
+def feature_profile(v: Views):
+    """Known values, mean and spread of every feature, summed in one pass."""
+    names, rows = model_columns(v), model_rows(v)
+    sums = rows.agg(*[x for c in names for x in (F.count(c).alias(f"n_{c}"), F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}"))])
+    parts = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"n_{c}").alias("n_known"), F.col(f"m_{c}").alias("mean"), F.col(f"s_{c}").alias("spread")) for c in names])
+    return rounded(sums.select(F.explode(parts).alias("f")).select("f.*"))
+
+
+@query("boosted_newest", f"SELECT game_id, CAST(target AS BIGINT) AS target, TRUE AS in_range FROM ({_PAIRED}) WHERE {_NEWEST}")
 def boosted_newest(v: Views):
-    """Boosted trees fitted on the past score every game of the newest season."""
+    """Boosted trees fitted on all features of the past score every game of the newest season."""
     train, test = _split(v)
-    scored = M.fit_classifier(train, _MODEL_COLUMNS, "boost_shallow").score(test)
-    return scored.agg(F.count("prob").alias("n"), F.every((F.col("prob") >= 0) & (F.col("prob") <= 1)).alias("in_range"))
+    scored = M.fit_classifier(train, model_columns(v), "boost_shallow").score(test)
+    return scored.select("game_id", F.col("target").cast("bigint").alias("target"), F.col("prob").between(0, 1).alias("in_range"))
 
 
-@query("stacked_newest", f"SELECT count(*) AS n, TRUE AS in_range FROM ({_PAIRED}) WHERE {_NEWEST}")
+@query("stacked_newest", f"SELECT game_id, CAST(target AS BIGINT) AS target, CAST(3 AS BIGINT) AS stack_chunks, TRUE AS in_range FROM ({_PAIRED}) WHERE {_NEWEST}")
 def stacked_newest(v: Views):
     """A stack of two models over contiguous chunks scores every game of the newest season."""
     train, test = _split(v)
-    scored = M.stack(train, test, _MODEL_COLUMNS, ["logistic", "forest"], ["season", "game_num", "game_id"])
-    return scored.agg(F.count("prob").alias("n"), F.every((F.col("prob") >= 0) & (F.col("prob") <= 1)).alias("in_range"))
+    scored = M.stack(train, test, model_columns(v), ["logistic", "forest"], ["season", "game_num", "game_id"])
+    return scored.select("game_id", F.col("target").cast("bigint").alias("target"), "stack_chunks", F.col("prob").between(0, 1).alias("in_range"))
 
 
 @query("saved_model_scores", f"SELECT count(*) AS n, count(*) AS n_same FROM ({_PAIRED}) WHERE {_NEWEST}")
 def saved_model_scores(v: Views):
     """A saved and reloaded fit scores every row as before."""
     train, test = _split(v)
-    fit, path = M.fit_classifier(train, _MODEL_COLUMNS, "logistic"), fresh_path(v.spark, "fit")
+    fit, path = M.fit_classifier(train, model_columns(v), "logistic"), fresh_path(v.spark, "fit")
     M.save_fit(fit, path)
     again = M.load_fit(v.spark, path).score(test).select("game_id", F.col("prob").alias("again"))
     both = fit.score(test).select("game_id", "prob").join(again, "game_id")
     return both.agg(F.count("*").alias("n"), F.count_if(F.abs(F.col("prob") - F.col("again")) < 1e-12).alias("n_same"))
 
 
-_SIZES = [3, 8, 28]
+# Numbers of features the selection tries; the last is all of them.
+_SIZES = [20, 30, 50, 80, len(_FEATURES)]
 
 
-@query("feature_sweep", "SELECT unnest([3, 8, 28])::BIGINT AS size, TRUE AS scored")
-def feature_sweep(v: Views):
-    """Brier of the best features, ranked in the training seasons, by how many are used."""
+def _swept(v: Views):
     train, test = _split(v)
-    out = M.select_features(train, test, _MODEL_COLUMNS, _SIZES, "logistic")
-    return v.spark.createDataFrame(out, "size bigint, brier double").select("size", F.col("brier").between(0, 1).alias("scored"))
+    return T.sweep(train, test, model_columns(v), _SIZES, "forest")
+
+
+@query("feature_sweep", f"SELECT size, size AS n_features, n AS n_scored FROM (SELECT unnest({_SIZES})::BIGINT AS size, n FROM (SELECT count(target) AS n FROM ({_PAIRED}) WHERE {_NEWEST}))")
+def feature_sweep(v: Views):
+    """How many of the best features are used by each size, ranked in the training seasons, and the games scored."""
+    return written(v, "sweep", _swept).select("size", F.size("features").cast("bigint").alias("n_features"), "n_scored")
+
+
+@query("feature_sweep_scores")
+def feature_sweep_scores(v: Views):
+    """Brier of each size with the features it takes, best first."""
+    return rounded(written(v, "sweep", _swept).select("size", "brier", F.array_join("features", ",").alias("features")))
+
+
+_TRIALS, _RUNGS = 50, 3
+
 
+def _searched(v: Views):
+    train, held = M.search_split(model_rows(v))
+    return T.halving_search(train, held, model_columns(v), "forest", T.FOREST_SPACE, _TRIALS, rungs=_RUNGS)
 
-@query("search_best", "SELECT TRUE AS known_trees, TRUE AS known_depth, TRUE AS scored")
+
+@query("search_best", f"""SELECT rung::BIGINT AS rung, trials::BIGINT AS trials, survivors::BIGINT AS survivors, budget::BIGINT AS budget, n AS n_scored FROM (VALUES (0, 50, 17, 23), (1, 17, 6, 67), (2, 6, 1, 200)) t(rung, trials, survivors, budget),
+(SELECT count(target) AS n FROM ({_PAIRED}) WHERE season = (SELECT max(season) FROM matches WHERE {_PAST}))""")
 def search_best(v: Views):
-    """Random search over forests on the fixed season split ends at a set of its space."""
-    space = {"numTrees": [10, 20], "maxDepth": [3, 5]}
-    params, score = M.random_search(model_rows(v), _MODEL_COLUMNS, "forest", space, 3)
-    return v.spark.createDataFrame([(params["numTrees"] in space["numTrees"], params["maxDepth"] in space["maxDepth"], 0 <= score <= 1)],
-                                   "known_trees boolean, known_depth boolean, scored boolean")
+    """Fifty trials of forests over the whole space: trials, survivors, trees and games scored at every rung."""
+    return written(v, "search", _searched).groupBy("rung").agg(
+        F.count("*").alias("trials"), F.count_if("survived").alias("survivors"), F.max("budget").alias("budget"), F.max("n_scored").alias("n_scored"))
 
 
-@query("permutation_features", "SELECT unnest(['diff_elo', 'diff_won_l5', 'season_day']) AS feature, TRUE AS measured")
-def permutation_features(v: Views):
-    """Rise in Brier when a feature is shuffled, one row per feature."""
+@query("search_trials")
+def search_trials(v: Views):
+    """Every trial's settings, score and fate at every rung."""
+    return rounded(written(v, "search", _searched))
+
+
+def _permuted(v: Views):
     train, test = _split(v)
-    fit = M.fit_classifier(train, _MODEL_COLUMNS, "logistic")
-    rise = M.permutation_importance(fit, test, ["diff_elo", "diff_won_l5", "season_day"])
-    return rise.select("feature", F.col("brier_rise").between(-1, 1).alias("measured"))
+    return T.permutation_table(M.fit_classifier(train, model_columns(v), "logistic"), test)
+
+
+@query("permutation_features", f"SELECT unnest({_FEATURES}) AS feature, n_scored FROM (SELECT count(target) AS n_scored FROM ({_PAIRED}) WHERE {_NEWEST})")
+def permutation_features(v: Views):
+    """Every feature of the fit and the games scored with it shuffled."""
+    return written(v, "permuted", _permuted).select("feature", "n_scored")
+
+
+@query("permutation_scores")
+def permutation_scores(v: Views):
+    """Rise in Brier when a feature is shuffled, one row per feature of the matrix."""
+    return rounded(written(v, "permuted", _permuted))
 
 
 @query("metrics_log", f"SELECT run, model_name, season, n_test FROM ({RAW['fold_metrics']}) f, (VALUES ('first'), ('second')) t(run)")
@@ -325,7 +416,7 @@ def refresh_counts(v: Views):
 @query("logistic_walk_forward")
 def logistic_walk_forward(v: Views):
     """Out-of-sample logistic probabilities, scored per season."""
-    scored = M.run_walk_forward(model_rows(v), _MODEL_COLUMNS, "logistic")
+    scored = M.run_walk_forward(model_rows(v), model_columns(v), "logistic")
     return rounded(scored.where(F.col("target").isNotNull()).groupBy("season").agg(
         F.count("*").alias("n"), F.avg(F.pow(F.col("prob") - F.col("target"), F.lit(2))).alias("brier"), F.avg("prob").alias("mean_prob")))
 
@@ -335,7 +426,7 @@ def calibrated_forest(v: Views):
     """A forest calibrated on the newest part, scored on the newest season."""
     train, test = _split(v)
     older, newest = M.split_newest(train.where(F.col("target").isNotNull()), ["season", "game_num", "game_id"])
-    fit = M.calibrate(M.fit_classifier(older, _MODEL_COLUMNS, "forest"), newest)
+    fit = M.calibrate(M.fit_classifier(older, model_columns(v), "forest"), newest)
     return rounded(fit.score(test).select("game_id", "target", "prob"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foretrace.catalog.models import _MODEL_COLUMNS, model_rows, team_context
+from foretrace.catalog.models import model_columns, model_rows, team_context
 from foretrace.catalog.ratings import _CHAIN, _LAST
 from foretrace.catalog.registry import RAW, query, r, rounded
 from foretrace.catalog.scalars import division_table
@@ -119,8 +119,8 @@ def slate_context(v: Views):
 def slate_scoring(v: Views):
     """Train on the past, score the scheduled games, guard, price and stamp."""
     train = model_rows(v).where(F.col("season") < v.newest_season)
-    fit = M.fit_classifier(train, _MODEL_COLUMNS, "logistic")
-    out = L.score_slate(_slate_rows(v), fit, v.matches.where("game_id % 2 = 0"), price_index(v), _day(v), "logistic", F.lit(f"{v.newest_season}-05-01T12:00:00Z"))
+    fit = M.fit_classifier(train, model_columns(v), "logistic")
+    out = L.score_slate(_slate_rows(v), fit, v.matches, price_index(v), _day(v), "logistic", F.lit(f"{v.newest_season}-05-01T12:00:00Z"))
     return rounded(out.select("game_id", "model_name", "prob_home_win", "market_prob_home", "feature_coverage", "season_opener"))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import uuid
+
 from pyspark.sql import functions as F
 
 from foretrace.catalog.registry import query, r, rounded
@@ -9,8 +12,12 @@ from foretrace.functions import scalars as S
 from foretrace.operators import facts as X
 from foretrace.operators import features as Y
 from foretrace.operators.history import Previous, Recent, Rolling, first_per_group, games_before, snapshot_next, tail_mean, with_history
+from foretrace.session import fresh_path
+from foretrace.sources.stored import save_bucketed
 from foretrace.sources.views import Views
 
+# Rows of a bucket that one task sorts without trouble.
+STORED_ROWS = 1_000_000
 ID = "game_id, team_id"
 
 
@@ -35,6 +42,15 @@ def rolling_mean_prev(v: Views):
     return rounded(out.select("game_id", "team_id", *Y.rolling_columns(Y.TEAM_STATS, Y.TEAM_WINDOWS)))
 
 
+@query("rolling_stored", _ROLL_SQL)
+def rolling_stored(v: Views):
+    """The same means from facts that are stored by team: written once, then read without a shuffle."""
+    buckets = max(8, math.ceil(2 * v.rows("orders") / STORED_ROWS))
+    stored = save_bucketed(team_facts(v), fresh_path(v.spark, "facts"), f"facts_{uuid.uuid4().hex}", ["team_id"], Y.CAREER, buckets)
+    out = with_history(stored, Y.BY_SEASON, Y.IN_SEASON, Y.rolling(Y.TEAM_STATS, Y.TEAM_WINDOWS), v.match_bound)
+    return rounded(out.select("game_id", "team_id", *Y.rolling_columns(Y.TEAM_STATS, Y.TEAM_WINDOWS)))
+
+
 def _ewm_sql(stat: str) -> str:
     over = "OVER (PARTITION BY team_id, season ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     return r(f"sum({stat} * power(2.0, rn / 7.0)) {over} / "
