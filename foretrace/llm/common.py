@@ -115,6 +115,20 @@ def joined(batches: Iterator[pa.RecordBatch], most_bytes: int = SLICE_BYTES) ->
         yield pa.concat_batches(held)
 
 
+# Rows of a few numbers that one task reads at least.
+TASK_ROWS = 1 << 18
+
+
+def gathered(table: DataFrame, rows: int | None = None) -> DataFrame:
+    """A written table of short rows in no more partitions than its number of rows needs.
+
+    Every exchange writes files per task; a small table that came out of many
+    tasks would carry them through all that follows. Nothing is shuffled.
+    """
+    rows = table.count() if rows is None else rows
+    return table.coalesce(max(1, -(-rows // TASK_ROWS)))
+
+
 def remainder(doc_id: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts`` (null id: null)."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(parts))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foretrace.llm.common import gathered
 from foretrace.session import pin
 
 
@@ -27,13 +28,14 @@ def roots(links: DataFrame) -> DataFrame:
     """(a, b) for every linked node a that isn't the least of its component, b.
 
     The number of rounds grows with the logarithm of the longest path; each is
-    written to the shared checkpoint folder.
+    written to the shared checkpoint folder. Few links are read by few tasks;
+    what one task reads needs no shuffle in the next round.
     """
     sums = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     edges = pin(links.where("a <> b").select("a", "b").distinct())
     seen = sums(edges)
     while seen[0]:
-        edges = pin(small_star(large_star(edges)))
+        edges = pin(small_star(large_star(gathered(edges, seen[0]))))
         now = sums(edges)
         if now == seen:
             break

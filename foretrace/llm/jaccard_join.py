@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from foretrace.llm import components
-from foretrace.llm.common import arrow_columns, replacing, slices
+from foretrace.llm.common import arrow_columns, gathered, replacing, slices
 from foretrace.llm.shingles import U64, mixed, set_key, shingle_set
 from foretrace.session import bounded, pin, ship_by_value
 
@@ -252,9 +252,9 @@ def fits(rule: Rule, x: str, y: str) -> str:
 
 
 def pairs_of(rows: DataFrame, others: DataFrame, rule: Rule, more: str) -> DataFrame:
-    """Distinct candidate pairs (a < b) of postings with one signature."""
+    """Candidate pairs (a < b) of postings with one signature, as often as they share one."""
     joined = rows.alias("x").join(others.alias("y"), F.expr(f"x.signature = y.signature AND x.short <> y.short AND {more} AND {fits(rule, 'x', 'y')}"))
-    return joined.select(F.least("x.short", "y.short").alias("a"), F.greatest("x.short", "y.short").alias("b")).distinct()
+    return joined.select(F.least("x.short", "y.short").alias("a"), F.greatest("x.short", "y.short").alias("b"))
 
 
 def likely(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
@@ -271,7 +271,7 @@ def likely(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     schema = StructType([StructField("a", LongType()), StructField("b", LongType())])
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(test, schema).distinct()
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(test, schema)
 
 
 def needed_texts(docs: DataFrame, text: str, keys: DataFrame, classes: DataFrame) -> DataFrame:
@@ -422,19 +422,19 @@ def members(
     rule = Rule(width, percent)
     rows = pin(profiles(docs, text, rule))
     classes = distinct_sets(rows)
-    found = pin(postings(docs, text, rule, frequent_tokens(docs, text, rule, rare_limit, frequent_capacity)))
+    found = gathered(pin(postings(docs, text, rule, frequent_tokens(docs, text, rule, rare_limit, frequent_capacity))))
     small, large = found.where(F.col("size") <= rare_limit), found.where(F.col("size") > rare_limit)
     hubs = large.where("short = least")
-    tried = pin(likely(pairs_of(small, small, rule, "x.short < y.short").unionByName(pairs_of(large, hubs, rule, "true")).distinct(), classes, rule))
-    links = pin(verified(docs, text, rule, tried, classes))
+    tried = gathered(pin(likely(pairs_of(small, small, rule, "x.short < y.short").unionByName(pairs_of(large, hubs, rule, "true")).distinct(), classes, rule)))
+    links = gathered(pin(verified(docs, text, rule, tried, classes)))
     root = components.roots(links)
     # Large postings once more: sets of different components that weren't compared.
     group = classes.select("short", "key").join(root.select(F.col("a").alias("key"), "b"), "key", "left").select("short", F.coalesce("b", "key").alias("part"))
     placed = large.join(group, "short")
     several = placed.groupBy("signature").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("signature")
-    open_rows = pin(placed.join(several, "signature"))
+    open_rows = gathered(pin(placed.join(several, "signature")))
     if not open_rows.isEmpty():
-        rest = pin(open_pairs(docs, text, rule, open_rows, classes).join(tried, ["a", "b"], "left_anti"))
+        rest = gathered(pin(open_pairs(docs, text, rule, open_rows, classes).join(tried, ["a", "b"], "left_anti")))
         if not rest.isEmpty():
             root = components.roots(links.unionByName(verified(docs, text, rule, rest, classes)))
     return joined(rows, classes, root)
@@ -460,10 +460,10 @@ def links(
     """
     rule = Rule(width, percent)
     classes = distinct_sets(profiles(docs, text, rule))
-    found = pin(postings(docs, text, rule, frequent_tokens(docs, text, rule, rare_limit, frequent_capacity)))
+    found = gathered(pin(postings(docs, text, rule, frequent_tokens(docs, text, rule, rare_limit, frequent_capacity))))
     small, large = found.where(F.col("size") <= rare_limit), found.where(F.col("size") > rare_limit)
     alone = large.join(classes.select("short", F.col("key").alias("part")), "short")
-    tried = likely(pairs_of(small, small, rule, "x.short < y.short"), classes, rule).unionByName(open_pairs(docs, text, rule, alone, classes))
+    tried = likely(pairs_of(small, small, rule, "x.short < y.short").distinct(), classes, rule).unionByName(open_pairs(docs, text, rule, alone, classes))
     similar = verified(docs, text, rule, pin(tried.distinct()), classes).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     x, y = (classes.select(F.col("key").alias(k), F.struct("first", "n").alias(f"of_{k}")) for k in "ab")
     pairs = similar.join(x, "a").join(y, "b").select(F.least("of_a", "of_b").alias("x"), F.greatest("of_a", "of_b").alias("y"))
