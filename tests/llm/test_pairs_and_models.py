@@ -125,6 +125,20 @@ def tables(spark):
     return spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
 
 
+@pytest.mark.parametrize("task_rows", [1 << 18, 50])
+def test_components_match_union_find(spark, monkeypatch, task_rows):
+    """Chains, a star and random links, read by one task or by many."""
+    monkeypatch.setattr("foretrace.llm.common.TASK_ROWS", task_rows)
+    rng = np.random.default_rng(5)
+    links = [tuple(map(int, p)) for p in rng.integers(0, 200, (130, 2))] + [(500, 600 + k) for k in range(100)] + [(1000 + k, 1001 + k) for k in range(40)]
+    least = {x: x for p in links for x in p}
+    for _ in least:
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+    found = components.roots(spark.createDataFrame(links, "a bigint, b bigint"))
+    assert sorted(tuple(r) for r in found.collect()) == sorted((x, m) for x, m in least.items() if x != m)
+
+
 def test_quality_on_held_out_rows(spark, tables, odd_docs, no_docs):
     docs, labels = tables
     scored = queries()["op5_quality_classifier"](spark, "/root/testdata/sf0.01").join(labels, "doc_id").where("held_out").collect()
