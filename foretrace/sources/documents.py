@@ -105,11 +105,15 @@ def readable(docs: DataFrame, schema: str) -> DataFrame:
 
 
 def scan_status(requested: DataFrame, docs: DataFrame, schema: str) -> DataFrame:
-    """How many requested ids were parsed, unreadable or missing."""
+    """How many requested ids were parsed, unreadable or missing.
+
+    A generated row's size is a guess that is far too small, so the join is
+    merged: every status would else be broadcast by the driver.
+    """
     state = read_documents(docs.select("game_id", "doc"), schema).select(
         "game_id", F.when(F.col("_corrupt").isNotNull(), "corrupt").otherwise("parsed").alias("status"))
     state = state.groupBy("game_id").agg(F.max("status").alias("status"))
-    found = requested.select("game_id").join(state, "game_id", "left")
+    found = requested.select("game_id").join(state.hint("merge"), "game_id", "left")
     return found.groupBy(F.coalesce("status", F.lit("missing")).alias("status")).agg(F.count("*").alias("n"))
 
 

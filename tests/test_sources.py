@@ -1,8 +1,10 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from foretrace.operators import joins as J
+from foretrace.session import explained
 from foretrace.sources import documents as D
 from foretrace.sources import scans as A
 
@@ -52,6 +54,11 @@ def test_scan_status(spark, docs):
     assert {r.status: r.n for r in D.scan_status(asked, landed, D.BOX_SCHEMA).collect()} == {"parsed": 1, "corrupt": 1, "missing": 1}
 
 
+def test_statuses_are_never_broadcast(spark, docs):
+    asked, landed = spark.range(3).select(F.col("id").alias("game_id")), spark.range(3).select(F.col("id").alias("game_id"), F.lit("{}").alias("doc"))
+    assert "Broadcast" not in explained(D.scan_status(asked, landed, D.BOX_SCHEMA))
+
+
 def test_landed_files(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps(BOX, indent=2))
     (tmp_path / "b.json").write_text('{"id": ')
