@@ -74,6 +74,13 @@ def test_permuted_columns_equal_a_plain_shuffle(split):
     assert T.permutation_table(fit, test, ["b"]).count() == 1
 
 
+def test_arrays_are_never_broadcast(spark):
+    arrays = spark.range(40).select(F.col("id").alias("game_id"), F.lit(1.0).alias("target"), F.array(F.lit(1.0), F.lit(2.0)).alias("_own"))
+    pairs = spark.range(40).select(F.col("id").alias("game_id"), (39 - F.col("id")).alias("_other"))
+    both = T.arrays_side_by_side(arrays, pairs)
+    assert both.count() == 40 and "Broadcast" not in explained(both)
+
+
 def test_stack_tells_its_chunks(split):
     train, test = split
     out = M.stack(train, test, COLUMNS, ["logistic"], ["season", "game_num"])
