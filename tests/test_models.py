@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from foretrace.operators import models as M
 from foretrace.plans.projections import goalie_projections, top_projections
 from foretrace.plans.slate import mark_started, publish_guard
+from foretrace.session import explained
 
 COLUMNS = ["a", "b", "empty"]
 
@@ -43,6 +44,24 @@ def test_chunks_are_contiguous_and_equal_when_split(matrix):
     assert older.count() == 765 and newest.agg(F.min("game_id")).first()[0] == 765
 
 
+def test_wide_rows_are_cut_where_they_are(spark, matrix):
+    spread = spark.createDataFrame(matrix.repartition(6).rdd, matrix.schema).repartition(6)
+    for part in (*M.split_newest(spread, ["season", "game_num"]), M.oof_chunks(spread, ["season", "game_num"])):
+        assert part.rdd.getNumPartitions() == 6 and "Window" not in explained(part)
+
+
+def test_cuts_between_rows_of_one_key_keep_their_sizes(spark):
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate([None, 1, 1, 1, 1, 2, 3, 3, 3])], "k int, i int")
+    chunks = M.oof_chunks(rows, ["k"])
+    assert sorted(map(tuple, chunks.groupBy("k", "chunk").count().collect()), key=str) == sorted(
+        [(None, 0, 1), (1, 0, 2), (1, 1, 2), (2, 1, 1), (3, 2, 3)], key=str)
+    same = M.oof_chunks(rows.select(F.lit(1).alias("k")), ["k"], 4)
+    assert {r.chunk: r["count"] for r in same.groupBy("chunk").count().collect()} == {0: 2, 1: 2, 2: 2, 3: 3}
+    older, newest = M.split_newest(rows, ["k"], 0.2)
+    assert (older.count(), newest.count()) == (7, 2)
+    assert M.oof_chunks(rows.limit(0), ["k"]).count() == 0
+
+
 def test_calibration_method_follows_the_sample(matrix):
     fit = M.fit_classifier(matrix.where("season = 2020"), COLUMNS)
     assert fit.columns == ["a", "b"]
