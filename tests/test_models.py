@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foretrace.operators import models as M
+from foretrace.operators import trials as T
 from foretrace.plans.projections import goalie_projections, top_projections
 from foretrace.plans.slate import mark_started, publish_guard
 from foretrace.session import explained
@@ -62,6 +63,19 @@ def test_cuts_between_rows_of_one_key_keep_their_sizes(spark):
     assert M.oof_chunks(rows.limit(0), ["k"]).count() == 0
 
 
+def test_fits_write_no_copy_of_the_matrix(matrix, monkeypatch):
+    for module in (M, T):
+        for name in ("pin", "stored"):
+            real = getattr(module, name, None)
+            if real is not None:
+                def narrow(df, *label, real=real):
+                    assert not {"a", "b"} & set(df.columns)
+                    return real(df, *label)
+                monkeypatch.setattr(module, name, narrow)
+    assert M.run_walk_forward(matrix, COLUMNS, "logistic").count() == 600
+    assert len(T.fit_kinds(matrix, ["a", "b"], ["logistic"])) == 1
+
+
 def test_calibration_method_follows_the_sample(matrix):
     fit = M.fit_classifier(matrix.where("season = 2020"), COLUMNS)
     assert fit.columns == ["a", "b"]
