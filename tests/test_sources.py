@@ -101,3 +101,12 @@ def test_meetings_take_three_before_dropping_unknown(spark):
     slate = spark.createDataFrame([(9, 2, 1), (10, 5, 6)], "game_id int, home_id int, away_id int")
     got = {r.game_id: r.h2h_home_win_rate_l3 for r in J.last_meetings(slate, past, F.lit("2025-01-20").cast("date")).collect()}
     assert got == {9: 0.0, 10: None}
+
+
+def test_both_sides_of_a_game_meet_before_they_are_aggregated(spark):
+    rows = spark.createDataFrame([(1, True, 2.0), (1, False, 0.5), (2, True, 1.0), (None, True, 3.0), (None, False, 1.0)], "game_id int, is_home boolean, x double")
+    out = J.home_away(rows, ["x"])
+    assert {(r.game_id, r.home_x, r.away_x, r.diff_x) for r in out.collect()} == {(1, 2.0, 0.5, 1.5), (None, 3.0, 1.0, 2.0)}
+    plan = J.home_away(rows, ["x"])._jdf.queryExecution().executedPlan().toString()
+    # Printed from the last step down: both steps of the aggregate stand above the exchange.
+    assert plan.count("Exchange") == 1 and plan.rindex("HashAggregate") < plan.index("Exchange")
