@@ -77,15 +77,22 @@ def test_rolling_batches_cross_boundaries_split_and_repeat(spark, season_rows, t
     assert key(table.rows()) == key(want)
 
 
-def test_state_has_few_partitions_and_an_entity_lies_in_one_file_of_a_landing(spark, season_rows, monkeypatch, tmp_path):
-    monkeypatch.setattr(P, "ROWS_PER_FILE", 30)
+def test_state_has_few_partitions(spark, season_rows, monkeypatch, tmp_path):
     monkeypatch.setattr(P, "state_tasks", lambda _: 3)
     monkeypatch.setattr(P, "fresh_path", lambda _, label: str(tmp_path / label))
-    rows = season_rows.select("game_id", "team_id", "season", "game_num", "x", S.sequence_time(F.col("season"), F.col("game_num")).alias("event_time")).repartition(4)
+    rows = season_rows.where("season = 2025").select("game_id", "team_id", "season", "game_num", "x", S.sequence_time(F.col("season"), F.col("game_num")).alias("event_time"))
     order, configured = ["season", "game_num", "game_id"], spark.conf.get(P.SHUFFLE)
-    got = P.replayed(rows, "season", lambda s: S.rolling_stream(s, "team_id", ["game_id"], order, "x", [5], "season"), "t", ended(rows, "team_id"), "team_id")
-    assert got.count() == rows.count() and spark.conf.get(P.SHUFFLE) == configured
+    P.replayed(rows, "season", lambda s: S.rolling_stream(s, "team_id", ["game_id"], order, "x", [5], "season"), "t")
     assert len([f for f in (tmp_path / "t/progress/state/0").iterdir() if f.name.isdigit()]) == 3
-    landed = spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path / "landed")).where("team_id >= 0")
-    files = landed.withColumn("file", F.input_file_name()).groupBy("season", "team_id").agg(F.countDistinct("file").alias("files"))
-    assert files.where("files > 1").count() == 0
+    assert spark.conf.get(P.SHUFFLE) == configured
+
+
+def test_an_entity_lies_in_one_file_of_a_long_landing(spark, season_rows, monkeypatch, tmp_path):
+    monkeypatch.setattr(P, "fresh_path", lambda _, label: str(tmp_path / label))
+    monkeypatch.setattr(P, "FILES_PER_TRIGGER", 1)
+    monkeypatch.setattr(P, "ROWS_PER_FILE", 30)
+    rows = season_rows.repartition(4)
+    P.replay(rows, "season", lambda stream: None, None, "team_id")
+    landed = spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path / "landed")).withColumn("file", F.input_file_name())
+    files = landed.groupBy("season", "team_id").agg(F.countDistinct("file").alias("files"))
+    assert landed.count() == rows.count() and files.where("files > 1").count() == 0
