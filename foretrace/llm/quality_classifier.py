@@ -9,7 +9,7 @@ blocks, exactly, and the labels of the nearest vote with a power of their
 similarity, each label's votes divided by its share of the sample.
 
 The sample is bounded by ``labelled_rows``; its vectors (rows times dimensions)
-are what is broadcast. Every document is scored over its whole text.
+are what is broadcast, and one task fits them. Every document is scored over its whole text.
 
 Defined results: null and empty texts have a zero trigram vector and are scored
 by their bins; ties of similarity are settled by the sample's order (by id);
@@ -18,8 +18,11 @@ without labelled rows every score is 0.5; repeated rows get equal scores.
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType, StructField
@@ -94,11 +97,18 @@ def weighted(raw: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 
 def fit(raw: np.ndarray, labels: np.ndarray, dimensions: int = DIMENSIONS) -> dict:
-    """Latent space of labelled raw vectors, their places in it and their labels."""
-    idf = np.log((1 + len(raw)) / (1 + (raw[:, :TRIGRAMS] > 0).sum(0)))
-    x = weighted(raw, idf)
+    """Latent space of labelled raw vectors, their places in it and their labels.
+
+    Rows are weighted a block at a time, so the driver holds the sample and its
+    weighted form, but no temporary copies of them in double precision.
+    """
+    blocks = range(0, len(raw), BLOCK)
+    idf = np.log((1 + len(raw)) / (1 + sum((raw[at:at + BLOCK, :TRIGRAMS] > 0).sum(0) for at in blocks)))
+    x = np.empty(raw.shape, np.float32)
+    for at in blocks:
+        x[at:at + BLOCK] = weighted(raw[at:at + BLOCK], idf)
     # Right singular vectors, from the matrix of inner products of columns.
-    basis = np.linalg.eigh(x.T @ x)[1][:, ::-1][:, :dimensions]
+    basis = np.linalg.eigh(x.T @ x)[1][:, ::-1][:, :dimensions].copy()
     return {"idf": idf, "basis": basis, "vectors": unit(x @ basis), "labels": labels.astype(np.float64)}
 
 
@@ -126,11 +136,19 @@ def fitted(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "qua
     def prepare():
         return lambda batch: [pa.array((raw_vector(t.as_py() or "").tobytes() for t in batch.column(column)), pa.binary())]
 
-    rows = arrow_columns(chosen, ["doc_id", label], [StructField("raw", BinaryType())], prepare).toArrow().sort_by("doc_id")
-    if not rows.num_rows:
-        return None
-    raw = np.stack([np.frombuffer(r.as_py(), np.float32) for r in rows["raw"]])
-    return fit(raw, rows[label].to_numpy())
+    rows = arrow_columns(chosen, ["doc_id", label], [StructField("raw", BinaryType())], prepare)
+
+    def learn(batches):
+        held = [b for b in batches if b.num_rows]
+        if held:
+            sample = pa.Table.from_batches(held)
+            sample = sample.take(pc.sort_indices(sample.select(["doc_id"]), sort_keys=[("doc_id", "ascending")]))
+            raw = np.stack([np.frombuffer(r.as_buffer(), np.float32) for r in sample["raw"]])
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(raw, sample[label].to_numpy()))], pa.binary())], names=["model"])
+
+    # The sample is bounded, but it and its products are far larger than the model: a task works on them, not the driver.
+    found = rows.repartition(1).mapInArrow(learn, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else None
 
 
 def score(docs: DataFrame, model: dict | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -286,3 +286,12 @@ def test_stages_of_odd_and_empty_tables(spark, odd_docs, no_docs):
         for name, stage in corpus_pipeline.STAGES[:-1]:
             assert stage(spark, docs, SMALL).columns == docs.columns, name
             stage(spark, docs, SMALL).collect()
+
+
+def test_the_vote_is_fitted_in_a_task(spark, odd_docs, monkeypatch):
+    """The driver gets the model, not the sample's vectors and their products."""
+    labels = spark.createDataFrame([(r["doc_id"], int(i % 2)) for i, r in enumerate(odd_docs.collect())], "doc_id bigint, quality int")
+    monkeypatch.setattr(np.linalg, "eigh", lambda *_: pytest.fail("the driver fits"))
+    monkeypatch.setattr(type(odd_docs), "toArrow", lambda *_: pytest.fail("the driver collects the sample"))
+    model = quality_classifier.fitted(odd_docs, labels, F.lit(True))
+    assert model["vectors"].shape == (len(model["labels"]), quality_classifier.DIMENSIONS)
