@@ -46,3 +46,20 @@ def test_every_oracle_has_a_query_and_every_query_a_purpose():
 
 def test_entry_has_rows(spark):
     assert entry(spark).limit(1).count() == 1
+
+
+def test_rounding_is_that_of_spark_bit_for_bit(spark):
+    import random
+    import struct
+
+    from foretrace.catalog.registry import rounded
+
+    rng = random.Random(5)
+    values = [rng.uniform(-1, 1) * 10.0 ** rng.randint(-9, 17) for _ in range(4000)]
+    values += [(2 * rng.randint(-10**9, 10**9) + 1) / 2e6 for _ in range(2000)] + [k / 2**7 for k in range(-400, 400)]
+    values += [None, 0.0, -0.0, -1e-9, float("nan"), float("inf"), float("-inf"), 999999.9999995, 1e6, 5e-7, 1.5e-6, 1.7976931348623157e308, 5e-324]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    bits = [[None if r[0] is None else struct.pack("d", r[0]) for r in part.collect()]
+            for part in (rounded(df), df.selectExpr("round(x, 6) + 0.0D AS x"))]
+    assert bits[0] == bits[1]
+    assert "rint" in rounded(df)._jdf.queryExecution().toString().lower()

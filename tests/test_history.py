@@ -141,3 +141,30 @@ def test_rest_and_pair_form(spark):
         "game_id int, home_id int, away_id int, game_date date, home_win double")
     form = {r.game_id: r.h2h_home_win_rate_l3 for r in Y.pair_form(games).collect()}
     assert form == {1: None, 2: 1.0, 3: 1.0, 4: 0.5}
+
+
+@pytest.mark.parametrize("extra", [{}, {"split_rows": 20, "chunk_rows": 17}])
+def test_many_rolling_means_are_added_up_from_short_sums(spark, extra):
+    """No frame is longer than a block; nulls, masks, infinities and least counts mean what they did."""
+    rng = np.random.default_rng(3)
+    frame = pd.DataFrame({"k": np.repeat([1, 2, 3], [90, 35, 3]), "o": [*range(90), *range(35), *range(3)], "n": rng.integers(0, 9, 128),
+                          "x": rng.random(128) * 10.0 ** rng.integers(-3, 12, 128), "y": rng.random(128)})
+    frame.loc[rng.random(128) < 0.2, "x"] = np.nan
+    frame.loc[30:59, "y"] = np.nan
+    df = spark.createDataFrame(frame).select("k", "o", "n", *[F.nanvl(c, F.lit(None)).alias(c) for c in "xy"])
+    df = df.withColumn("z", F.when((F.col("o") == 40) & (F.col("k") == 1), float("inf")).otherwise(F.col("y")))
+    masked = "CASE WHEN o % 2 = 0 THEN x END"
+    features = [*Y.rolling(["x", "y", "z", "n"], [5, 10, 20]), Rolling("masked_l10", masked, 10), Rolling("x_min3", "x", 20, 3), games_before()]
+    out = with_history(df, ["k"], ["o"], features, **extra)
+    assert not extra and "RowFrame, -20, -1" not in explained(out) and "RowFrame, -5, -1" in explained(out) or extra
+    out = out.toPandas().sort_values(["k", "o"]).reset_index(drop=True)
+    sources = {**{c: out[c] for c in "xyzn"}, "masked": out.x.where(out.o % 2 == 0)}
+    for f in features[:-1]:
+        values = sources["masked" if f.source == masked else f.source]
+
+        def mean(at, values=values, f=f):
+            rows = [i for i in range(max(0, at - f.window), at) if out.k[i] == out.k[at] and not np.isnan(values[i])]
+            return values[rows].mean() if len(rows) >= max(f.min_count, 1) else np.nan
+
+        np.testing.assert_allclose(out[f.name].astype(float), [mean(i) for i in range(len(out))], rtol=1e-12, err_msg=f.name)
+    assert (out.games_played == out.groupby("k").cumcount()).all()
