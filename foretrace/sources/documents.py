@@ -7,7 +7,7 @@ document becomes many rows through ``inline``; nothing is shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -84,9 +84,13 @@ def with_corrupt(schema: str) -> T.StructType:
     return T.StructType.fromDDL(schema).add("_corrupt", T.StringType())
 
 
-def read_documents(docs: DataFrame, schema: str) -> DataFrame:
+def read_documents(docs: DataFrame, schema: str, fields: Sequence[str] = ()) -> DataFrame:
     """Parse ``doc`` into the fields of ``schema``; unreadable text lands in ``_corrupt``.
 
+    The whole schema is parsed, so the same texts are unreadable for every
+    reader; only ``fields`` (none named: all) and ``_corrupt`` become columns,
+    since copying nested fields that nobody reads costs as much as parsing.
+
     The parse sits inside a generator. A filter or a field reference above it
     then reads the parsed row; in a plain projection the optimizer would copy
     the parse into each of them. Rows without a document are told by a flag
@@ -95,13 +99,13 @@ def read_documents(docs: DataFrame, schema: str) -> DataFrame:
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
     parsed = F.from_json("doc", with_corrupt(schema), options)
     keep = [c for c in docs.columns if c != "doc"]
-    names = with_corrupt(schema).names
+    names = [n for n in with_corrupt(schema).names if not fields or n in {*fields, "_corrupt"}]
     flagged = F.transform(F.array(parsed), lambda p: F.when(p.isNotNull(), F.struct(*[p[n].alias(n) for n in names], F.lit(True).alias("_read"))))
     return docs.select(*keep, F.inline_outer(flagged)).where("_read").drop("_read")
 
 
-def readable(docs: DataFrame, schema: str) -> DataFrame:
-    return read_documents(docs.select("doc"), schema).where(F.col("_corrupt").isNull()).drop("_corrupt")
+def readable(docs: DataFrame, schema: str, fields: Sequence[str] = ()) -> DataFrame:
+    return read_documents(docs.select("doc"), schema, fields).where(F.col("_corrupt").isNull()).drop("_corrupt")
 
 
 def scan_status(requested: DataFrame, docs: DataFrame, schema: str) -> DataFrame:
@@ -127,6 +131,10 @@ def _season_text(api: Column) -> Column:
     return F.when(F.length(text) == 8, season_label(F.substring(text, 1, 4).cast("bigint"))).otherwise(text)
 
 
+# What the player lists of a boxscore are read from.
+LISTED = ["id", "season", "homeTeam", "awayTeam", "playerByGameStats"]
+
+
 def _players(box: DataFrame, groups: list[str]) -> DataFrame:
     """One row per listed player of both sides, before field mapping."""
     def side(name: str, home: bool) -> Column:
@@ -143,7 +151,7 @@ def _players(box: DataFrame, groups: list[str]) -> DataFrame:
 def skaters(docs: DataFrame) -> DataFrame:
     """Every dressed skater of each boxscore, zero lines included."""
     p = F.col("p")
-    return _players(readable(docs, BOX_SCHEMA), ["forwards", "defense"]).select(
+    return _players(readable(docs, BOX_SCHEMA, LISTED), ["forwards", "defense"]).select(
         "game_id", "season", "game_num", p["playerId"].alias("player_id"), _name(p["name"]).alias("player_name"),
         "team", "is_home", F.coalesce(p["position"], F.lit("")).alias("position"),
         S.mmss_seconds(p["toi"]).alias("toi_seconds"),
@@ -153,7 +161,7 @@ def skaters(docs: DataFrame) -> DataFrame:
 def goalies(docs: DataFrame) -> DataFrame:
     """Goalie lines with the starter flag."""
     p = F.col("p")
-    return _players(readable(docs, BOX_SCHEMA), ["goalies"]).select(
+    return _players(readable(docs, BOX_SCHEMA, LISTED), ["goalies"]).select(
         "game_id", "season", "game_num", p["playerId"].alias("player_id"), _name(p["name"]).alias("player_name"),
         "team", "is_home", F.coalesce(p["starter"], F.lit(False)).alias("starter"),
         S.mmss_seconds(p["toi"]).alias("toi_seconds"),
@@ -191,7 +199,7 @@ def landing_results(docs: DataFrame) -> DataFrame:
     home, away = F.col("homeTeam.score"), F.col("awayTeam.score")
     period = F.coalesce("period", F.lit(0))
     shootout = F.coalesce(F.col("periodDescriptor.periodType") == "SO", F.lit(False))
-    return readable(docs, LANDING_SCHEMA).select(
+    return readable(docs, LANDING_SCHEMA, ["id", "period", "periodDescriptor", "homeTeam", "awayTeam"]).select(
         F.col("id").cast("string").alias("game_id"), home.alias("home_score"), away.alias("away_score"),
         (home > away).alias("home_win"), (period >= 4).alias("went_to_ot"), ((period >= 5) | shootout).alias("went_to_so"))
 

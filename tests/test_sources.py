@@ -110,3 +110,13 @@ def test_both_sides_of_a_game_meet_before_they_are_aggregated(spark):
     plan = J.home_away(rows, ["x"])._jdf.queryExecution().executedPlan().toString()
     # Printed from the last step down: both steps of the aggregate stand above the exchange.
     assert plan.count("Exchange") == 1 and plan.rindex("HashAggregate") < plan.index("Exchange")
+
+
+def test_only_named_fields_become_columns_and_the_same_texts_are_unreadable(spark):
+    """A field that nobody reads is not copied, but a wrong type in it still tells an unreadable text."""
+    good = '{"id": 1, "homeTeam": {"score": 2}, "summary": {"teamGameStats": [{"category": "sog", "homeValue": 1.0}]}}'
+    docs = spark.createDataFrame([(good,), ('{"id": 2, "summary": {"teamGameStats": 5}}',), ('{"id": 3',), (None,)], "doc string")
+    some = D.readable(docs, D.LANDING_SCHEMA, ["id", "homeTeam"])
+    assert some.columns == ["id", "homeTeam"]
+    assert [r["id"] for r in some.collect()] == [r["id"] for r in D.readable(docs, D.LANDING_SCHEMA).collect()] == [1]
+    assert [(r["game_id"], r["home_score"]) for r in D.landing_results(docs).collect()] == [("1", 2)]
