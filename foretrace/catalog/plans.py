@@ -18,7 +18,7 @@ from foretrace.plans import matrix as A
 from foretrace.plans import projections as P
 from foretrace.plans import reports as R
 from foretrace.plans import slate as L
-from foretrace.session import pin
+from foretrace.session import stored
 from foretrace.sources.views import Views
 
 # The slate is what is left of the newest season from the first of May on.
@@ -127,9 +127,9 @@ def slate_scoring(v: Views):
 @query("player_projections")
 def player_projections(v: Views):
     """Expected shots of a roster against its next opponents."""
-    context = pin(team_context(v))
-    rows = pin(A.sog_training(v.shots, v.matches, context, None, v.shot_bound))
     columns = [*A.SOG_OWN, *[f"opp_{c}" for c in A.OPP_DEFENCE]]
+    context = stored(team_context(v).select("team_id", *Y.CAREER, *A.OPP_DEFENCE), "context")
+    rows = stored(A.sog_training(v.shots, v.matches, context, None, v.shot_bound).select("game_id", "season", "sog", *columns))
     fit, _ = M.fit_counts(rows, columns, "sog")
     slate = v.sides.where(F.col("season") == v.newest_season).groupBy("team_id").agg(
         F.max_by("opp_id", F.struct("game_num", "game_id")).alias("opp_id"))
@@ -146,10 +146,10 @@ def player_projections(v: Views):
 @query("goalie_projections")
 def goalie_projections(v: Views):
     """Expected saves and P(over) of probable starters."""
-    context = pin(team_context(v))
-    rows = pin(A.saves_training(v.shots, v.matches, context, v.shot_bound))
+    context = stored(team_context(v).select("team_id", *Y.CAREER, *dict.fromkeys([*A.OWN_TEAM, *A.OPP_TEAM])), "context")
     columns = [*Y.rolling_columns(Y.GOALIE_PROP_STATS, Y.GOALIE_PROP_WINDOWS), "is_home",
                *[f"own_{c}" for c in A.OWN_TEAM], *[f"opp_{c}" for c in A.OPP_TEAM]]
+    rows = stored(A.saves_training(v.shots, v.matches, context, v.shot_bound).select("game_id", "season", "saves", *columns))
     fit, _ = M.fit_counts(rows, columns, "saves")
     fitted = M.predict_counts(fit, rows).select(F.col("saves").cast("double").alias("y"), "pred")
     dispersion = C.nb_dispersion(fitted).first()[0]

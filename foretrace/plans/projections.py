@@ -14,6 +14,7 @@ from foretrace.operators.forecasts import MIN_IN_SEASON_SAMPLE, drift_factor
 from foretrace.operators.history import games_before, snapshot_next, with_history
 from foretrace.operators.joins import roster_identity, without
 from foretrace.operators.models import Fit, predict_counts
+from foretrace.session import stored
 
 MIN_GAMES = 5
 SKIP_POSITIONS = ["G", ""]
@@ -59,7 +60,8 @@ def player_projections(players: DataFrame, roster: DataFrame, scratched: DataFra
         players.where(F.col("player_id").isNotNull()), available.select("player_id"), "player_id", Y.CAREER, names)
     rows = roster_identity(snapshot.where(F.col("games_played") >= MIN_GAMES), available, opponents, ice_time)
     ready = predict_counts(fit, _covered(rows, fit.columns, min_coverage)).withColumn("expected", F.bround("pred", 2))
-    return top_projections(ready.drop("pred"), "expected", min_sog, top, ["player_id"])
+    # Ordering reads its input twice, for the ranges and for the rows: that should not be the histories.
+    return top_projections(stored(ready.drop("pred"), "projections"), "expected", min_sog, top, ["player_id"])
 
 
 def in_season_factor(fit: Fit, played: DataFrame, target: str, season) -> float:
@@ -92,4 +94,5 @@ def saves_projections(goalies: DataFrame, slate: DataFrame, team_context: DataFr
         .join(team_context.select(F.col("team_id").alias("opp_id"), *opp), "opp_id", "left")
     )
     ready = predict_counts(fit, _covered(rows, fit.columns, min_coverage), factor).withColumn("in_season_factor", F.bround(F.lit(float(factor)), 4))
-    return goalie_projections(ready.withColumnRenamed("pred", "expected"), lines, dispersion).orderBy(F.desc("expected"), "goalie_id")
+    ready = stored(ready.withColumnRenamed("pred", "expected"), "projections")
+    return goalie_projections(ready, lines, dispersion).orderBy(F.desc("expected"), "goalie_id")

@@ -142,3 +142,26 @@ def test_projections_round_before_the_tail(spark):
     row = goalie_projections(rows, [2.5], 0.0).where("player_id = 1").first()
     want = 1 - np.exp(-2.34) * (1 + 2.34 + 2.34**2 / 2)
     assert row.expected == 2.34 and row.p_over_2_5 == round(want, 3)
+
+
+def test_counts_fit_reads_vectors_that_are_written_once(spark, monkeypatch):
+    """Every step of the fit reads one narrow table; no row is copied by a checkpoint."""
+    written = []
+    keep = M.stored
+    monkeypatch.setattr(M, "stored", lambda df, label="rows": written.append(df.columns) or keep(df, label))
+    monkeypatch.setattr(M, "pin", lambda df: pytest.fail("a checkpoint of the rows"))
+    rows = [(2020 + i % 3, float(i % 7) if i % 11 else None, float(i % 5), i % 4) for i in range(400)]
+    df = spark.createDataFrame(rows, "season int, x double, other double, sog int")
+    fit, factor = M.fit_counts(df, ["x", "other"], "sog")
+    assert written == [["age", "_weight", "_label", "features"]]
+    newest = M.predict_counts(fit, df.where("season = 2022")).agg(F.avg("sog"), F.avg("pred")).first()
+    assert factor > 0 and abs(newest[0] - newest[1]) < 1e-9
+
+
+def test_projections_are_ordered_from_a_table(spark):
+    """An ordering reads its input twice; the histories are not below it."""
+    from __spark_entry__ import queries
+    from foretrace.session import explained
+
+    out = queries()["goalie_projections"](spark, "/root/testdata/sf0.001")
+    assert "Window" not in explained(out).split("\n\n")[0] and out.count() > 0
